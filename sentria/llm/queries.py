@@ -5,8 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sentria.llm import langid
 from sentria.llm.bpe import encode_decode
 from sentria.llm.common import table
+from sentria.llm.decontam import overlaps
+from sentria.llm.linededup import repeated_units
+from sentria.llm.quality import quality
+from sentria.llm.simhash import near_duplicates
 from sentria.llm.tokencount import token_counts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -16,9 +21,66 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op6_token_counts)}
-ORACLES: dict[str, str] = {}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=8)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_codec,
+        op2_decontamination,
+        op5_language_id,
+        op6_token_counts,
+        op8_simhash,
+        op9_line_dedup,
+        op10_quality,
+    )
+}
+
+#: Lines by position, their code points, and the first of those that agree.
+OP9_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+), placed AS (
+  SELECT doc_id, pos, line,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char,
+         trim(regexp_replace(lower(line), '[ \t-\r]+', ' ', 'g')) AS clean
+  FROM cut
+), long AS (
+  SELECT *, length(clean) - length(replace(clean, ' ', '')) + 1 AS words FROM placed
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS first_id, first_value(pos) OVER w AS first_pos,
+         count(*) OVER (PARTITION BY clean) AS copies
+  FROM long WHERE words >= 8
+  WINDOW w AS (PARTITION BY clean ORDER BY doc_id, pos)
+)
+SELECT doc_id, pos::INT AS pos, start_char::BIGINT AS start_char, (start_char + length(line))::BIGINT AS end_char,
+       words::INT AS words, first_id, first_pos::INT AS first_pos, copies
+FROM ranked WHERE doc_id <> first_id OR pos <> first_pos
+"""
+
+ORACLES = {"op9_line_dedup": OP9_SQL}

@@ -1,0 +1,57 @@
+from sentria.llm.linededup import normalise, repeated_units, without_repeats
+
+SCHEMA = "doc_id long, text string, pos string, lang string"
+A = "this is a line of ten words which is long"
+B = "another line which has more than eight words in it"
+ROWS = [
+    (3, f"{A}\nshort one\n{B}"),
+    (1, f"intro\n  This  IS a line of ten\twords which is long\nshort one"),
+    (2, f"é😀 {B}\n{B}\n{B}"),
+    (4, None),
+    (5, ""),
+    (6, A),
+    (6, A),
+    (None, A),
+    (7, "a unique line which nobody else has in the corpus"),
+]
+
+
+def brute(rows, min_words=8):
+    seen, out = {}, set()
+    for d, text in sorted({r for r in rows if r[0] is not None and r[1]}):
+        at = 0
+        for pos, line in enumerate(text.split("\n")):
+            key = normalise(line)
+            if len(key.split(" ")) >= min_words:
+                first = seen.setdefault(key, (d, pos))
+                if first != (d, pos):
+                    out.add((d, pos, at, at + len(line), first[0], first[1]))
+            at += len(line) + 1
+    return out
+
+
+def test_equals_brute_force(spark):
+    docs = spark.createDataFrame([(d, t, "x", "en") for d, t in ROWS], SCHEMA)
+    got = {(r.doc_id, r.pos, r.start_char, r.end_char, r.first_id, r.first_pos) for r in repeated_units(docs).collect()}
+    assert got == brute(ROWS)
+    assert (3, 0) in {g[:2] for g in got} and (1, 1) not in {g[:2] for g in got}
+
+
+def test_texts_and_spans(spark):
+    docs = spark.createDataFrame([(d, t, "x", "en") for d, t in ROWS], SCHEMA)
+    out = without_repeats(docs, spans_col="spans").collect()
+    assert len(out) == len(ROWS)
+    by = {r.doc_id: r for r in out}
+    assert by[3].text == "short one" and by[2].text == f"é😀 {B}\n{B}" and by[4].text is None and by[5].text == ""
+    assert by[1].text == ROWS[1][1] and by[6].text == "" and by[None].text == A and by[7].text == ROWS[8][1]
+    for r in out:
+        source = dict((d, t) for d, t in ROWS)[r.doc_id]
+        for s in r.spans:
+            assert normalise(source[s["start_char"] : s["end_char"]]) in (A, B)
+
+
+def test_paragraphs_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, f"{A}\n{B}\n\nrest"), (2, f"{A}\n{B}"), (3, A)], "doc_id long, text string")
+    assert [(r.doc_id, r.pos) for r in repeated_units(docs, unit="paragraph").collect()] == [(2, 0)]
+    assert repeated_units(docs.limit(0)).collect() == []
+    assert without_repeats(docs.limit(0)).collect() == []
