@@ -156,7 +156,7 @@ class Tagger:
 
     def __init__(self, crf: Crf):
         self.crf = crf
-        self.go = np.exp(crf.moves - crf.moves.max())
+        self.go = np.exp(crf.moves - crf.moves.max(initial=-1e300))
         self._rows = np.empty((MEMO_ENTRIES + 1, len(crf.langs)))
         self._memo: dict[str, int] = {}
 

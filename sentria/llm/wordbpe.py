@@ -27,6 +27,25 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def late_characters() -> tuple[frozenset[str], str, dict[str, str]]:
+    """Letters and numbers that are newer than Python's own Unicode tables.
+
+    The pattern module, Python and the library each have tables of another age.
+    Returns these characters; those of them that the library does not know yet, as
+    the inside of a character class; and the library's lower case of the others.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    newer = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    known = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]+"), "removed", invert=True).pre_tokenize_str("".join(newer))
+    known = {c for run, _ in known for c in run}
+    low = normalizers.Lowercase()
+    lower = {c: low.normalize_str(c) for c in newer if c in known}
+    return frozenset(newer), "".join(regex.escape(c) for c in newer if c not in known), lower
+
+
 class WordBpe:
     """What encoding, decoding and counting share. One per process and file."""
 
@@ -49,8 +68,13 @@ class WordBpe:
         symbols = byte_symbols()
         self.byte_ids = [self.ids[s] for s in symbols]
         self.last_byte_ids = [self.ids[s + self.end] for s in symbols]
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._words = regex.compile(split.replace("\\s", SPACE))
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACE)
+        self._words = regex.compile(split)
+        self._newer, strange, self._lower = late_characters()
+        if strange:
+            for kind in ("\\p{L}", "\\p{N}"):
+                split = split.replace(kind, f"[{kind}--[{strange}]]")
+        self._late_words = regex.compile(split, regex.V1)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def chunks(self, text: str) -> list[str]:
@@ -63,13 +87,15 @@ class WordBpe:
         """The words of a chunk, or the ids of special strings among them."""
         if chunk.isascii() and "<|" not in chunk:
             return self._words.findall(chunk.lower())
+        late = not self._newer.isdisjoint(chunk)
+        split, lower = (self._late_words, self._lower) if late else (self._words, {})
         out = []
         for i, part in enumerate(self._special.split(chunk)):
             if i % 2:
                 out.append(self.special[part])
             elif part:
                 # character by character: the library knows no final sigma
-                out += self._words.findall("".join([c.lower() for c in unicodedata.normalize("NFC", part)]))
+                out += split.findall("".join([lower.get(c) or c.lower() for c in unicodedata.normalize("NFC", part)]))
         return out
 
     def symbols(self, word: bytes) -> list[int]:

@@ -1,0 +1,58 @@
+import hashlib
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sentria.llm.chat import FormatError, escape, format_turns, parse, read_back, render_turn, unescape
+
+PIECES = ["<", "[", "\\", "s>", "/s>", "<s>", "</s>", "[INST]", "[/INST]", "[ROLE=", "]", "INST]", "ok", " ", "é😀", "\n", "=", "/"]
+hostile = st.lists(st.sampled_from(PIECES), max_size=12).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "a]b%[<\\"]), hostile), max_size=4))
+def test_round_trip(turns):
+    rendered = [render_turn(*t) for t in turns]
+    assert parse("".join(r[0] for r in rendered)) == turns
+    for (out, start, end), (_, text) in zip(rendered, turns):
+        assert unescape(out[start:end]) == text
+
+
+@given(hostile)
+def test_escape_is_undone(text):
+    assert unescape(escape(text)) == text
+
+
+@pytest.mark.parametrize("bad", ["x", "<s>", "<s>[INST]a", "<s>[INST]a[INST]</s>", "<s>[ROLE=a</s>", "<s>[INST]a</s>x"])
+def test_other_texts_are_refused(bad):
+    with pytest.raises(FormatError):
+        parse(bad)
+
+
+def brute(rows):
+    out = {}
+    for c in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1], render_turn(r[2] or "", r[3] or "")[0]))
+        everything = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
+        loss = "".join(r[3] or "" for r in turns if r[2] == "assistant")
+        chars = sum(len(render_turn(r[2] or "", r[3] or "")[0]) for r in turns)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out[c] = (len(turns), sha(everything), len(loss), sha(loss), chars)
+    return out
+
+
+def test_conversations_equal_brute_force(spark):
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choices(PIECES, k=rng.randrange(9)))
+    rows = [(c, t, rng.choice(["user", "assistant", "tool"]), text()) for c in range(30) for t in range(rng.randrange(1, 6))]
+    rows += [(99, t, "user", text()) for t in range(3000)]
+    rows += [(None, 1, "user", "x"), (None, 0, "assistant", "y"), (50, 1, None, None), (50, None, "user", "first"), (51, 1, "user", "a"), (51, 1, "user", "a"), (51, 1, "assistant", "b"), (52, 0, "assistant", "z" * 2_000_000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, "e", 1) for r in rows], "conv_id long, turn long, role string, text string, segment string, loss_start int")
+    segments = format_turns(df)
+    got = {r.conv_id: tuple(r)[1:] for r in read_back(segments).collect()}
+    assert got == brute(rows)
+    assert segments.where("conv_id = 52").first().loss_end > 2_000_000
+    assert read_back(format_turns(df.limit(0))).collect() == []
