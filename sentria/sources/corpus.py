@@ -60,9 +60,10 @@ class UnsafeMember(ValueError):
     """A ZIP member whose name leads out of the archive."""
 
 
-def _is_unsafe(name: str) -> bool:
-    path = PurePosixPath(name.replace("\\", "/"))
-    return path.is_absolute() or ".." in path.parts
+def _leads_out(name: Column) -> Column:
+    """An absolute path, or one with a ``..`` in it, with either slash."""
+    path = F.translate(name, "\\", "/")
+    return path.startswith("/") | path.rlike("^[A-Za-z]:") | F.array_contains(F.split(path, "/"), "..")
 
 
 def _members(content: bytes, names_only: bool):
@@ -97,7 +98,7 @@ def from_zip(spark: SparkSession, path: str) -> DataFrame:
     FileNotFoundError without an archive; UnsafeMember, a ValueError, if any member
     would lie outside, before any is read.
     """
-    unsafe = [r.member for r in _zip_rows(spark, path, True).where(F.udf(_is_unsafe, "boolean")("member")).take(1)]
+    unsafe = [r.member for r in _zip_rows(spark, path, True).where(_leads_out(F.col("member"))).take(1)]
     if unsafe:
         raise UnsafeMember(f"Unsafe path inside ZIP: {unsafe[0]}")
     return sentences(_zip_rows(spark, path, False), F.col("member"), F.col("text"))
