@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -56,3 +56,22 @@ def held_out(doc_id: Column | str, remainder: int = 2) -> Column:
     """True for the documents that no model may learn from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == remainder, F.lit(False))
+
+
+def hashed_sample(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """``n`` rows of each label (all, if it has fewer): the first by a hash of ``key``.
+
+    Labels are counted first. Of one with many rows only those whose hash falls in
+    a share that holds about 4 n of them are ranked, so what the ranking gathers of
+    a label does not grow with the table. Labels are few: classes, languages.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    parts = 1 << 30
+    bound = F.lit(parts)
+    for value, count in counts.items():
+        if count > 4 * n:
+            bound = F.when(F.col(label) == F.lit(value), int(parts * 4 * n / count) + 1).otherwise(bound)
+    near = rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) < bound)
+    others = [c for c in rows.columns if c not in (label, key)]
+    place = F.row_number().over(Window.partitionBy(label).orderBy(F.pmod(F.xxhash64(key), F.lit(parts)), key, *others))
+    return near.withColumn("place", place).where(F.col("place") <= n)

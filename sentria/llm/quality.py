@@ -13,36 +13,37 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import held_out
+from sentria.llm.common import hashed_sample, held_out
+from sentria.llm.wordtable import WordTable, buckets, codes, inner
 
-BUCKETS, DIM, NGRAMS = 1 << 18, 12, (3, 4)
+BITS, DIM, NGRAMS = 18, 12, (3, 4)
+BUCKETS = 1 << BITS
 #: The sample: so many labelled texts of each class, none longer than so many characters.
 PER_CLASS, SAMPLE_CHARS = 800, 20_000
 EPOCHS, RATE, SEED = 6, 4.0, 7
-MEMO_CHARS, MEMO_ENTRIES = 48, 250_000
+#: Words that are looked up together.
+GROUP = 50_000
 
 
-def word_features(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word and of the character n-grams of ``<word>``."""
-    marked = f"<{word}>"
-    out = [crc32(marked.encode("utf-8")) % buckets]
-    for n in NGRAMS:
-        out += [crc32(marked[i : i + n].encode("utf-8")) % buckets for i in range(len(marked) - n + 1)]
-    return out
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of each word and of each character n-gram of ``<word>``."""
+    points, starts, lengths = codes([f"<{w}>" for w in words])
+    whole = np.array([word_hash(w) for w in words], np.uint64)
+    parts = [(whole, np.arange(len(words)))] + [inner(points, starts, lengths, n, n) for n in NGRAMS]
+    return buckets(np.concatenate([h for h, _ in parts]), BITS), np.concatenate([o for _, o in parts])
 
 
 def word_hash(word: str) -> int:
     return crc32(word.encode("utf-8"))
 
 
-def pair_features(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+def pair_features(hashes: np.ndarray) -> np.ndarray:
     """Buckets of neighbouring words. The hash is of the difference of the words'
     own, so that all repetitions of a word, whichever it is, fall together."""
-    mixed = (hashes[1:] - hashes[:-1]) * np.int64(0x2545F4914F6CDD1D)
-    return (mixed >> np.int64(20)) % buckets
+    return buckets((hashes[1:] - hashes[:-1]).view(np.uint64), BITS)
 
 
 @dataclass
@@ -61,18 +62,12 @@ class Model:
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """Stochastic gradient descent, one text a step, the rate falling to zero."""
     rng = np.random.default_rng(seed)
-    known: dict[str, list[int]] = {}
     docs = []
     for text in texts:
-        ids: list[int] = []
-        for word in text.split():
-            found = known.get(word)
-            if found is None:
-                found = known[word] = word_features(word)
-            ids += found
-        hashes = np.array([word_hash(w) for w in text.split()], np.int64)
-        docs.append(np.unique(np.concatenate([np.array(ids, np.int64), pair_features(hashes)]), return_counts=True))
-    del known
+        words = text.split()
+        ids, _ = word_features(words)
+        hashes = np.array([word_hash(w) for w in words], np.int64)
+        docs.append(np.unique(np.concatenate([ids, pair_features(hashes)]), return_counts=True))
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     steps, step = epochs * len(docs), 0
@@ -98,15 +93,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """At most ``per_class`` texts of each class, the first by a hash of their id.
 
     Only rows that may be learned from, with an id, a label of 0 or 1 and a text of
-    1 to ``max_chars`` characters. Ids are ranked before any text is read: the
-    ranking keeps ``per_class`` rows of each class in every partition, so neither
-    class is ever gathered whole.
+    1 to ``max_chars`` characters. Ids are chosen before any text is gathered.
     """
     known = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null and label in (0, 1)").where(~held_out("key"))
     lengths = docs.select(F.col(id_col).alias("key"), F.length(text_col).alias("n")).where(F.col("n").between(1, max_chars))
     fit = known.groupBy("key").agg(F.max("label").alias("label")).join(lengths.select("key").distinct(), "key", "left_semi")
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key"))
-    chosen = fit.withColumn("place", place).where(F.col("place") <= per_class).select("key", "label")
+    chosen = hashed_sample(fit, "label", "key", per_class).select("key", "label")
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most 2 * per_class ids
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("words")).where(F.length("words").between(1, max_chars))
     rows = {}
@@ -119,27 +111,39 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self._memo: dict[str, tuple[float, int, int]] = {}
-
-    def _word(self, word: str) -> tuple[float, int, int]:
-        ids = word_features(word, len(self.model.weight))
-        out = float(self.model.weight[ids].sum()), len(ids), word_hash(word)
-        if len(word) <= MEMO_CHARS:
-            if len(self._memo) >= MEMO_ENTRIES:
-                self._memo.clear()
-            self._memo[word] = out
+        self.table = WordTable(3, self._make)
+
+    def _make(self, words: list[str]) -> np.ndarray:
+        """Of each word: its features' share of the logit, their number, its hash."""
+        ids, owner = word_features(words)
+        sums = np.bincount(owner, self.model.weight[ids], len(words))
+        return np.stack([sums, np.bincount(owner, minlength=len(words)), [word_hash(w) for w in words]], 1)
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        out: list[float] = []
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append((text or "").split())
+            size += len(held[-1])
+            if size >= GROUP:
+                out += self._group(held)
+                held, size = [], 0
+        return out + self._group(held)
+
+    def _group(self, docs: list[list[str]]) -> list[float]:
+        rows = self.table.look_up([w for words in docs for w in words])
+        out, at = [], 0
+        for words in docs:
+            own = rows[at : at + len(words)]
+            at += len(words)
+            logit = self.model.bias
+            if words:
+                pairs = self.model.weight[pair_features(own[:, 2].astype(np.int64))]
+                logit += (own[:, 0].sum() + pairs.sum()) / (own[:, 1].sum() + len(pairs))
+            out.append(float(1 / (1 + np.exp(-np.clip(logit, -500, 500)))))
         return out
 
-    def score(self, text: str | None) -> float:
-        known, make = self._memo.get, self._word
-        parts = [known(w) or make(w) for w in (text or "").split()]
-        logit = self.model.bias
-        if parts:
-            pairs = pair_features(np.array([p[2] for p in parts], np.int64), len(self.model.weight))
-            total = sum([p[0] for p in parts]) + float(self.model.weight[pairs].sum())
-            logit += total / (sum([p[1] for p in parts]) + len(pairs))
-        return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
-
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.7) -> DataFrame:
     """(id, held_out, score, predicted) of every row, whole texts, no shuffle.
@@ -155,7 +159,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
-            scores = pa.array([scorer.score(t.as_py()) for t in batch.column(1)], pa.float64())
+            scores = pa.array(scorer.scores(batch.column(1).to_pylist()), pa.float64())
             yield pa.record_batch([batch.column(0), scores], names=[id_col, "score"])
 
     out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double")
