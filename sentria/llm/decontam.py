@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentria.llm.common import written
+from sentria.llm.rolling import mixed, rolling
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: A benchmark of up to this many characters is sent to every task; a larger one
@@ -26,35 +27,12 @@ MIN_MATCH, COVERAGE = 5, 0.5
 BROADCAST_CHARS = 16_000_000
 
 _TOKEN = re.compile(r"\w+")
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
-
-
-def rolling(codes: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hash of every window of ``width`` codes (uint64, modulo 2**64)."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(_BASE, len(codes) - 1), dtype=np.uint64)])
-    return (sums[width:] - sums[:-width]) * _powers(_INVERSE, n - 1)  # each window from the same power
-
-
-def mixed(codes: np.ndarray) -> np.ndarray:
-    """Token numbers spread over 64 bits, so that sums of few of them differ."""
-    x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 def _free(marked: np.ndarray, width: int) -> np.ndarray:
     """True for windows of ``width`` with nothing marked inside."""
     sums = np.concatenate([[0], np.cumsum(marked)])

@@ -1,8 +1,15 @@
-"""Substring deduplication by hashing lines or paragraphs.
+"""Substring deduplication by hashing lines or paragraphs, and the phrases in them.
 
 Units are normalised and digested where they lie; digests are grouped over the
 whole corpus; of equal units the earliest ranked stays and all others go, each
 with its place in the original text.
+
+A passage that stands within a line is no line, so hashing lines alone leaves it.
+Therefore runs of ``PHRASE`` words are units too. Of the runs that begin at
+``APART`` words in a row the one with the lowest digest is taken, whatever stands
+before or after: two texts that share PHRASE + APART - 1 words in a row have taken
+the same runs there, and these cover what is shared but for fewer than APART words
+at either end.
 """
 
 from __future__ import annotations
@@ -10,18 +17,25 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentria.llm.common import free_name, written
+from sentria.llm.rolling import mixed, rolling
 
 #: What parts the units, as text and as it joins them again.
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
 #: Units of fewer words repeat by chance and stay.
 MIN_WORDS = 8
+#: Words of a phrase, and how far apart the beginnings of two may lie.
+PHRASE, APART = 16, 10
+MEMO_ENTRIES = 250_000
 
 _SPACES = re.compile(r"[ \t-\r]+")
+_WORD = re.compile(r"\S+")
 
 
 def normalise(unit: str) -> str:
@@ -81,21 +95,142 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.select(F.col("id").alias(id_col), "pos", "start_char", "end_char", "words", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"), "copies")
 
 
+class Phrases:
+    """The phrases of texts, with a bounded memory of words' hashes."""
+
+    def __init__(self):
+        self._memo: dict[str, int] = {}
+
+    def _hash(self, word: str) -> int:
+        if len(self._memo) >= MEMO_ENTRIES:
+            self._memo.clear()
+        h = self._memo[word] = xxhash.xxh64_intdigest(word.lower().encode()) or 1
+        return h
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, first digest, second digest) of each phrase taken."""
+        words = text.split()
+        if len(words) < PHRASE:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        known, make = self._memo.get, self._hash
+        codes = np.array([known(w) or make(w) for w in words], np.uint64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        if int(lengths.sum()) + len(words) - 1 == len(text):  # one space between words
+            starts = np.cumsum(lengths + 1) - lengths - 1
+        else:
+            starts = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64, len(words))
+        digests = mixed(rolling(codes, PHRASE))
+        span = min(APART, len(digests))
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(digests, span).argmin(1) + np.arange(len(digests) - span + 1))
+        last = at + PHRASE - 1
+        return starts[at], starts[last] + lengths[last], digests[at], mixed(rolling(mixed(codes), PHRASE)[at])
+
+
+def phrases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, start_char, end_char, d1, d2) of the phrases of every text with an id."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        taken = Phrases()
+        for batch in batches:
+            found = [taken.of(t.as_py() or "") for t in batch.column(1)]
+            rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
+            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c.view(np.int64)) for c in cols)], names=["id", "start_char", "end_char", "d1", "d2"])
+
+    return docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, f"id {id_type}, start_char long, end_char long, d1 long, d2 long")
+
+
+def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start_char, end_char, first_id) of each phrase whose like ranks earlier.
+
+    The first pass counts 64-bit digests and no more; only phrases that it finds
+    twice are looked at again, with places and another 64 bits.
+    """
+    twice = written(phrases(docs, id_col, text_col).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "digests")
+    # both sides without an order of their own: a partition with a very common phrase can be split
+    hits = written(phrases(docs, id_col, text_col).join(twice, "d1"), "phrases")
+    first = hits.groupBy("d1", "d2").agg(F.min(F.struct("id", "start_char")).alias("first"), F.max(F.struct("id", "start_char")).alias("last"))
+    first = written(first.where("first < last").drop("last"), "first")
+    gone = hits.join(first, ["d1", "d2"]).where(F.struct("id", "start_char") != F.col("first"))
+    return gone.select("id", "start_char", "end_char", F.col("first.id").alias("first_id"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per stretch to remove: (id, start_char, end_char, units, first_id).
+
+    Repeated lines (or paragraphs) and repeated phrases, joined where they overlap;
+    ``first_id`` is where the stretch's first unit stays. Rank is (id, place). A
+    text's stretches are gathered by id, so no more of them meet than the text has
+    units. Null and empty texts have none; an empty table gives an empty result;
+    rows repeated under one id are one text; rows without an id have no stretches.
+    """
+    lines = repeated_units(docs, id_col, text_col, unit, min_words).select(F.col(id_col).alias("id"), "start_char", "end_char", "first_id")
+    gone = lines.unionByName(repeated_phrases(docs, id_col, text_col))
+    lists = gone.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char", "first_id"))).alias("spans"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows, out = [], []
+            for row, spans in enumerate(batch.column(1).to_pylist()):
+                joined = []
+                for s in spans:
+                    if joined and s["start_char"] <= joined[-1][1]:
+                        joined[-1][1] = max(joined[-1][1], s["end_char"])
+                        joined[-1][2] += 1
+                    else:
+                        joined.append([s["start_char"], s["end_char"], 1, s["first_id"]])
+                rows += [row] * len(joined)
+                out += joined
+            cols = list(zip(*out)) if out else [(), (), (), ()]
+            ids = batch.column(0)
+            yield pa.record_batch(
+                [ids.take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], ids.type)],
+                names=["id", "start_char", "end_char", "units", "first_id"],
+            )
+
+    spans = lists.mapInArrow(run, f"id {id_type}, start_char long, end_char long, units int, first_id {id_type}")
+    return spans.withColumnRenamed("id", id_col)
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the spans and the spaces after them. A line that is all cut
+    goes with its end."""
+    out, at = "", 0
+    for start, end in spans:
+        out += text[at:start]
+        at = end
+        while at < len(text) and text[at] == " ":
+            at += 1
+        if not out or out.endswith("\n"):
+            if at < len(text) and text[at] == "\n":
+                at += 1
+            elif at == len(text):
+                out = out[:-1]
+    return out + text[at:]
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS, spans_col: str | None = None) -> DataFrame:
-    """``docs`` with the repeated units taken out of their texts.
+    """``docs`` with the repeated stretches taken out of their texts.
 
     All rows and columns stay. A text that loses nothing is left as it is, byte for
-    byte; one that loses every unit is empty. ``spans_col``: also an array of the
-    (start_char, end_char) of what went, in code points of the original text.
+    byte. ``spans_col``: also an array of the (start_char, end_char) of what went, in
+    code points of the original text.
     """
-    gone = repeated_units(docs, id_col, text_col, unit, min_words)
+    gone = repeated_spans(docs, id_col, text_col, unit, min_words)
     lost, key = free_name(docs, "_lost"), free_name(docs, "_lost_id")
-    # a text's own units: no more of them than the text has lines
-    lists = gone.groupBy(F.col(id_col).alias(key)).agg(F.array_sort(F.collect_set(F.struct("pos", "start_char", "end_char"))).alias(lost))
+    lists = gone.groupBy(F.col(id_col).alias(key)).agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias(lost))
     joined = docs.join(lists, F.col(id_col) == F.col(key), "left").drop(key)
-    taken = F.transform(F.col(lost), lambda s: s["pos"])
-    rest = F.array_join(F.filter(F.split(F.col(text_col), BREAKS[unit], -1), lambda u, i: ~F.array_contains(taken, i)), BREAKS[unit])
-    out = joined.withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest))
+    at = joined.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            new = [t if not s else cut(t, [(x["start_char"], x["end_char"]) for x in s]) for t, s in zip(texts, spans)]
+            yield batch.set_column(at, batch.field(at), pa.array(new, batch.column(at).type))
+
+    out = joined.mapInArrow(run, joined.schema)
     if spans_col:
-        out = out.withColumn(spans_col, F.transform(F.coalesce(lost, F.array()), lambda s: F.struct(s["start_char"], s["end_char"])))
+        return out.withColumn(spans_col, F.coalesce(lost, F.array().cast(out.schema[lost].dataType))).drop(lost)
     return out.drop(lost)

@@ -11,7 +11,7 @@ from sentria.llm.bpe import encode_decode
 from sentria.llm.chat import format_turns, read_back
 from sentria.llm.common import table
 from sentria.llm.decontam import overlaps
-from sentria.llm.linededup import repeated_units
+from sentria.llm.linededup import repeated_spans, repeated_units
 from sentria.llm.quality import quality
 from sentria.llm.simhash import near_duplicates
 from sentria.llm.tokencount import token_counts
@@ -60,6 +60,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"), unit="line", min_words=8)
+
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can express: whole lines."""
     return repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=8)
 
 
@@ -79,6 +84,7 @@ QUERIES = {
         op7_chat_format,
         op8_simhash,
         op9_line_dedup,
+        repeated_lines,
         op10_quality,
     )
 }
@@ -142,4 +148,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLES = {"op3_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES = {"op3_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "repeated_lines": OP9_SQL}

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from sentria.llm.decontam import overlaps, rolling, mixed, tiling, tokens, uncontaminated
+from sentria.llm.decontam import overlaps, tiling, tokens, uncontaminated
+from sentria.llm.rolling import mixed, rolling
 
 DOCS = "doc_id long, text string, item_id string, coverage string"
 ITEMS = "item_id long, text string, doc_id long"

@@ -1,4 +1,6 @@
-from sentria.llm.linededup import normalise, repeated_units, without_repeats
+import random
+
+from sentria.llm.linededup import APART, PHRASE, Phrases, cut, normalise, repeated_spans, repeated_units, without_repeats
 
 SCHEMA = "doc_id long, text string, pos string, lang string"
 A = "this is a line of ten words which is long"
@@ -37,21 +39,92 @@ def test_equals_brute_force(spark):
     assert (3, 0) in {g[:2] for g in got} and (1, 1) not in {g[:2] for g in got}
 
 
+def brute_spans(rows, min_words=8):
+    """Repeated lines and phrases joined; phrases are compared word by word."""
+    spans, seen = {}, set()
+    for d, _, start, end, *_ in brute(rows, min_words):
+        spans.setdefault(d, set()).add((start, end))
+    for d, text in sorted({r for r in rows if r[0] is not None and r[1]}):
+        for start, end in zip(*(x.tolist() for x in Phrases().of(text)[:2])):
+            key = tuple(text[start:end].lower().split())
+            assert len(key) == PHRASE
+            if key in seen:
+                spans.setdefault(d, set()).add((start, end))
+            seen.add(key)
+    out = {}
+    for d, found in spans.items():
+        joined = []
+        for start, end in sorted(found):
+            if joined and start <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+            else:
+                joined.append((start, end))
+        out[d] = joined
+    return out
+
+
 def test_texts_and_spans(spark):
     docs = spark.createDataFrame([(d, t, "x", "en") for d, t in ROWS], SCHEMA)
     out = without_repeats(docs, spans_col="spans").collect()
-    assert len(out) == len(ROWS)
-    by = {r.doc_id: r for r in out}
-    assert by[3].text == "short one" and by[2].text == f"é😀 {B}\n{B}" and by[4].text is None and by[5].text == ""
-    assert by[1].text == ROWS[1][1] and by[6].text == "" and by[None].text == A and by[7].text == ROWS[8][1]
+    assert len(out) == len(ROWS) and out[0].__fields__ == ["doc_id", "text", "pos", "lang", "spans"]
+    want, sources = brute_spans(ROWS), dict(ROWS)
     for r in out:
-        source = dict((d, t) for d, t in ROWS)[r.doc_id]
-        for s in r.spans:
-            assert normalise(source[s["start_char"] : s["end_char"]]) in (A, B)
+        spans = want.get(r.doc_id, [])
+        assert [tuple(s) for s in r.spans] == spans
+        assert r.text == (cut(sources[r.doc_id], spans) if spans else sources[r.doc_id])
+    by = {r.doc_id: r.text for r in out}
+    assert by[3] == "short one" and by[1] == ROWS[1][1] and by[6] == "" and by[None] == A and by[4] is None and by[5] == ""
+
+
+def test_cut():
+    assert cut("a b c", [(2, 3)]) == "a c" and cut("x\nyy\nz", [(2, 4)]) == "x\nz" and cut("x\nyy", [(2, 4)]) == "x"
+    assert cut("yy\nz", [(0, 2)]) == "z" and cut("yy", [(0, 2)]) == "" and cut("a  b\nc", [(3, 4)]) == "a  \nc" and cut("ab", []) == "ab"
+
+
+def passages(seed=1):
+    """Texts with one passage within a line, at another place in each."""
+    rng = random.Random(seed)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, rows, places = some(60), [], {}
+    for d in range(8):
+        before, after = some(rng.randrange(40)), some(rng.randrange(1, 40))
+        glue = rng.choice([" ", "  ", "\n"])
+        rows.append((d, glue.join([" ".join([*before, *shared, *after]), " ".join(some(30))])))
+        places[d] = len(before)
+    return rows, shared, places
+
+
+def test_passages_within_lines(spark):
+    rows, shared, places = passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in repeated_spans(docs).collect():
+        assert r.first_id == 0
+        got.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
+    assert {d: sorted(s) for d, s in got.items()} == brute_spans(rows)
+    assert set(got) == set(range(1, 8))
+    for d, text in rows[1:]:
+        ((start, end),) = got[d]
+        words = text[start:end].split()
+        assert len(words) > len(shared) - 2 * APART and " ".join(words) in " ".join(shared)
+    kept = {r.doc_id: r.text for r in without_repeats(docs).collect()}
+    assert kept[0] == rows[0][1] and all(len(kept[d].split()) < len(t.split()) - 40 for d, t in rows[1:])
+
+
+def test_random_texts_equal_brute_force(spark):
+    rng = random.Random(3)
+    pool = [" ".join(f"v{rng.randrange(5000)}" for _ in range(rng.randrange(3, 50))) for _ in range(40)]
+    rows = [(d, "".join(rng.choice(pool) + rng.choice([" ", "\n", "  "]) for _ in range(rng.randrange(9)))) for d in range(60)]
+    rows += [(100, "le " * 300), (101, "Le  le\n" * 50), (102, "x" * 50_000), (103, " ".join(pool) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in repeated_spans(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
+    assert {d: sorted(s) for d, s in got.items()} == brute_spans(rows)
 
 
 def test_paragraphs_and_empty_table(spark):
     docs = spark.createDataFrame([(1, f"{A}\n{B}\n\nrest"), (2, f"{A}\n{B}"), (3, A)], "doc_id long, text string")
     assert [(r.doc_id, r.pos) for r in repeated_units(docs, unit="paragraph").collect()] == [(2, 0)]
-    assert repeated_units(docs.limit(0)).collect() == []
+    assert repeated_units(docs.limit(0)).collect() == [] and repeated_spans(docs.limit(0)).collect() == []
     assert without_repeats(docs.limit(0)).collect() == []

@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 from test_decontam import plain_tiling
+from test_linededup import brute_spans
 from test_simhash import brute as groups
 from tokenizers import Tokenizer
 
@@ -11,7 +12,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from sentria.llm import langid
 from sentria.llm.decontam import COVERAGE, tokens
-from sentria.llm.linededup import MIN_WORDS, normalise
+from sentria.llm.linededup import cut
 from sentria.llm.queries import TOKENIZER
 
 
@@ -20,16 +21,8 @@ def plain_pipeline(rows, crf, items):
     kept = [r for r, (lang, score) in zip(rows, langid.Tagger(crf).read([t for _, t in rows])) if lang != "und" and score >= langid.MIN_SCORE]
     first = {d: c for d, _, c in groups(kept)}
     kept = sorted(r for r in kept if first[r[0]] == r[0])
-    seen, texts = set(), []
-    for d, text in kept:
-        lines = []
-        for line in text.split("\n"):
-            key = normalise(line)
-            if len(key.split(" ")) < MIN_WORDS or key not in seen:
-                lines.append(line)
-            if len(key.split(" ")) >= MIN_WORDS:
-                seen.add(key)
-        texts.append((d, "\n".join(lines)))
+    spans = brute_spans(kept)
+    texts = [(d, cut(text, spans.get(d, []))) for d, text in kept]
     library, out = Tokenizer.from_file(TOKENIZER), {}
     for d, text in texts:
         words = tokens(text)
@@ -39,8 +32,8 @@ def plain_pipeline(rows, crf, items):
             if len(item) >= 5 and len(set(item) & held) >= COVERAGE * len(set(item)):
                 # only words of the item can be in a tile
                 near = [w if w in set(item) else "" for w in words]
-                cut = [w for i, w in enumerate(near) if w or (i and near[i - 1])]
-                hit = hit or sum(n for *_, n in plain_tiling(cut, item, 5)) >= COVERAGE * len(item)
+                part = [w for i, w in enumerate(near) if w or (i and near[i - 1])]
+                hit = hit or sum(n for *_, n in plain_tiling(part, item, 5)) >= COVERAGE * len(item)
         if not hit:
             ids = library.encode(text, add_special_tokens=False).ids
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
