@@ -16,13 +16,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import held_out
+from sentria.llm.common import hashed_sample, held_out
+from sentria.llm.wordtable import WordTable, buckets, codes, inner, windows
 
 UNKNOWN = "und"
-BUCKETS = 1 << 17
+BITS = 17
+BUCKETS = 1 << BITS
 #: The sample: so many labelled texts of each language, none longer than so many characters.
 PER_LANG, SAMPLE_CHARS = 150, 12_000
 #: Words of each language's lexicon, by how often the sample has them.
@@ -30,9 +32,8 @@ LEXICON = 400
 #: Training sequences: their length in words, and how many words run on in one language.
 SEQUENCE, RUN = 64, (3, 48)
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.15, 11
-MEMO_CHARS, MEMO_ENTRIES = 48, 200_000
 #: Words that go through forward-backward together.
-GROUP = 600_000
+GROUP = 400_000
 
 #: A text is rejected if its best language has a lower mean than this.
 MIN_SCORE = 0.35
@@ -45,16 +46,23 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def word_features(word: str, lexicon: dict[str, list[int]], buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word's affixes (1 to 4 letters), n-grams (2, 3) and lexicon entries."""
-    out = [crc32(f"^{word[:n]}".encode()) % buckets for n in range(1, min(4, len(word)) + 1)]
-    out += [crc32(f"{word[-n:]}$".encode()) % buckets for n in range(1, min(4, len(word)) + 1)]
+def word_features(found: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of every word's affixes (1 to 4 letters), n-grams (2 and 3
+    letters) and lexicon entries."""
+    points, starts, lengths = codes(found)
+    hashes, owners = [], []
+    for n in range(1, 5):
+        long = np.flatnonzero(lengths >= n)
+        hashes += [windows(points, n, 10 + n)[starts[long]], windows(points, n, 20 + n)[starts[long] + lengths[long] - n]]
+        owners += [long, long]
     for n in (2, 3):
-        out += [crc32(word[i : i + n].encode()) % buckets for i in range(len(word) - n + 1)]
-    if word in lexicon:
-        out += [crc32(f"={word}".encode()) % buckets]
-        out += [crc32(f"lexicon {k}".encode()) % buckets for k in lexicon[word]]
-    return out
+        h, owner = inner(points, starts, lengths, n, n)
+        hashes.append(h)
+        owners.append(owner)
+    listed = [(i, crc32(w.encode()) if k < 0 else k) for i, w in enumerate(found) if w in lexicon for k in (-1, *lexicon[w])]
+    hashes.append(np.array([k for _, k in listed], np.uint64) ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    owners.append(np.array([i for i, _ in listed], np.int64))
+    return buckets(np.concatenate(hashes), BITS), np.concatenate(owners)
 
 
 @dataclass
@@ -64,8 +72,10 @@ class Crf:
     moves: np.ndarray  # log-weights of going from one language to the next
     lexicon: dict[str, list[int]]
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weight[word_features(word, self.lexicon, len(self.weight))].sum(0)
+    def emissions(self, found: list[str]) -> np.ndarray:
+        """words x languages: the summed weights of each word's features."""
+        ids, owner = word_features(found, self.lexicon)
+        return np.stack([np.bincount(owner, self.weight[ids, k], len(found)) for k in range(len(self.langs))], 1)
 
 
 def _step(a: np.ndarray) -> np.ndarray:
@@ -98,11 +108,13 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
             n = int(rng.integers(*RUN))
             runs.append((ids[at : at + n], y))
             at += n
-    order = rng.permutation(len(runs))
-    xs = np.array([w for i in order for w in runs[i][0]], np.int32)
-    ys = np.array([runs[i][1] for i in order for _ in runs[i][0]], np.int8)
+    turn = rng.permutation(len(runs))
+    xs = np.array([w for i in turn for w in runs[i][0]], np.int32)
+    ys = np.array([runs[i][1] for i in turn for _ in runs[i][0]], np.int8)
     n = len(xs) // SEQUENCE
-    feats = [np.array(word_features(w, lexicon), np.int32) for w in numbers]
+    ids, owner = word_features(list(numbers), lexicon)
+    order = np.argsort(owner, kind="stable")
+    feats = np.split(ids[order], np.cumsum(np.bincount(owner, minlength=len(numbers)))[:-1]) if numbers else []
     weight, moves = np.zeros((BUCKETS, k)), np.zeros((k, k))
     seen_w, seen_m = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
     if n == 0:
@@ -142,12 +154,10 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
     """At most ``per_lang`` whole texts of each language, the first by a hash of
-    their id, from rows that may be learned from. The ranking keeps ``per_lang``
-    rows of a language in every partition before it shuffles."""
+    their id, from rows that may be learned from."""
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("words"), F.col(lang_col).alias("label"))
     rows = rows.where("key is not null and label is not null and words is not null").where(~held_out("key")).where(F.length("words").between(1, max_chars) & (F.col("label") != UNKNOWN))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key", "words"))
-    chosen = rows.withColumn("place", place).where(F.col("place") <= per_lang).orderBy("label", "place").collect()
+    chosen = hashed_sample(rows, "label", "key", per_lang).orderBy("label", "place").collect()
     return [r["words"] for r in chosen], [r["label"] for r in chosen]
 
 
@@ -157,25 +167,15 @@ class Tagger:
     def __init__(self, crf: Crf):
         self.crf = crf
         self.go = np.exp(crf.moves - crf.moves.max(initial=-1e300))
-        self._rows = np.empty((MEMO_ENTRIES + 1, len(crf.langs)))
-        self._memo: dict[str, int] = {}
+        self.table = WordTable(len(crf.langs), self._make)
 
-    def _row(self, word: str) -> int:
-        e = self.crf.emission(word)
-        place = len(self._memo) + 1
-        self._rows[place] = np.exp(e - e.max()) + 1e-30
-        self._memo[word] = place
-        return place
+    def _make(self, found: list[str]) -> np.ndarray:
+        e = self.crf.emissions(found)
+        return np.exp(e - e.max(1, keepdims=True)) + 1e-30
 
     def emissions(self, found: list[str]) -> np.ndarray:
         """A row of potentials for each word."""
-        known, make = self._memo.get, self._row
-        if len(self._memo) + len(found) > MEMO_ENTRIES:
-            self._memo.clear()
-            if len(found) > MEMO_ENTRIES // 2:  # a very long text, in parts
-                half = len(found) // 2
-                return np.concatenate([self.emissions(found[:half]), self.emissions(found[half:])])
-        return self._rows[[known(w) or make(w) for w in found]]
+        return self.table.look_up(found)
 
     def posteriors(self, psi: list[np.ndarray]) -> list[np.ndarray]:
         """Forward-backward over many sequences at once, step by step; sequences
@@ -213,28 +213,28 @@ class Tagger:
     def read(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, mean posterior) of each text."""
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int, list[str]]] = []
         size = 0
-
-        def flush():
-            for (i, _), post in zip(held, self.posteriors([p for _, p in held])):
-                mean = post.mean(0)
-                best = int(mean.argmax())
-                out[i] = self.crf.langs[best], min(1.0, float(mean[best]))
-            held.clear()
-
         for i, text in enumerate(texts):
             found = words(text)
             if found and self.crf.langs:
-                held.append((i, self.emissions(found)))
+                held.append((i, found))
                 size += len(found)
                 if size >= GROUP:
-                    flush()
-                    size = 0
+                    self._group(held, out)
+                    held, size = [], 0
         if held:
-            flush()
+            self._group(held, out)
         return out
 
+    def _group(self, held: list[tuple[int, list[str]]], out: list[tuple[str, float]]) -> None:
+        psi = self.emissions([w for _, found in held for w in found])
+        cuts = np.cumsum([len(found) for _, found in held])[:-1]
+        for (i, _), post in zip(held, self.posteriors(np.split(psi, cuts))):
+            mean = post.mean(0)
+            best = int(mean.argmax())
+            out[i] = self.crf.langs[best], min(1.0, float(mean[best]))
+
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **kw) -> Crf:
     """A model from a bounded sample of ``docs``; of no languages if none is known."""
