@@ -32,9 +32,11 @@ SENTENCES = T.StructType(
 def sentences(texts: DataFrame, source: Column, text: Column, *keep: str) -> DataFrame:
     """The sentences of whole texts. Null texts have none. Line ends are \\n, \\r\\n
     and \\r alone; a line of punctuation is kept and normalises to nothing."""
-    lines = texts.select(*keep, source.alias("source_text"), F.posexplode(F.split(text, LINE_END, -1)).alias("pos", "original_sentence"))
-    lines = lines.where(~is_blank("original_sentence"))
-    return lines.select(*keep, "original_sentence", normalize("original_sentence").alias("normalized_sentence"), "source_text", (F.col("pos") + 1).alias("offset"))
+    # each line is normalised once, before the lines part: whatever later filters and
+    # scores say of the normalised text, the optimizer cannot repeat the work there
+    cut = F.transform(F.split(text, LINE_END, -1), lambda line: F.struct(line.alias("original_sentence"), normalize(line).alias("normalized_sentence")))
+    lines = texts.select(*keep, source.alias("source_text"), F.posexplode(cut).alias("pos", "line")).select(*keep, "source_text", "pos", "line.*")
+    return lines.where(~is_blank("original_sentence")).select(*keep, "original_sentence", "normalized_sentence", "source_text", (F.col("pos") + 1).alias("offset"))
 
 
 def from_table(df: DataFrame, id_col: str, text_col: str, folder: str, keep_id: bool = False) -> DataFrame:
