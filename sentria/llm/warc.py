@@ -170,11 +170,20 @@ def _normalise_file(source: str, target: str) -> int:
             done += len(member)
     with store.open_output_stream(f"{draft}{SIDECAR}") as out:
         out.write("".join(lines).encode())
-    store.move(draft, f"{folder}/{name}")
-    store.move(f"{draft}{SIDECAR}", f"{folder}/{name}{SIDECAR}")
+    for suffix in ("", SIDECAR):
+        _publish(store, draft + suffix, f"{folder}/{name}{suffix}")
     return len(lines)
 
 
+def _publish(store: fs.FileSystem, draft: str, final: str) -> None:
+    """Give a whole file its name. If another run of the task has done so, its file
+    holds the same bytes, and stays: not every store moves onto a file."""
+    if store.get_file_info(final).type == fs.FileType.NotFound:
+        store.move(draft, final)
+    else:
+        store.delete_file(draft)
+
+
 def normalise(spark: SparkSession, source: str, target: str) -> int:
     """Rewrite every archive in ``source`` into ``target``; returns the records.
 
