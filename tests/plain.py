@@ -1,12 +1,10 @@
 """The definition of normalising, scoring and candidates, in plain Python."""
 
-import re
 import string
 
 
 def normalize(text):
-    spaced = text.lower().translate(str.maketrans(string.punctuation, " " * 32))
-    return re.sub(r"\s+", " ", spaced).strip()
+    return " ".join("".join(" " if c in string.punctuation else c for c in text.lower()).split())
 
 
 def window_score(q, t):
