@@ -3,7 +3,7 @@ import zipfile
 import pytest
 
 from sentria.service import Completion, CompletionService, configure_logging, initialize_corpus, shutdown_logging
-from sentria.sources.corpus import UnsafeMember, from_table, from_text_tree, from_zip
+from sentria.sources.corpus import SENTENCES, UnsafeMember, from_table, from_text_tree, from_zip
 
 
 def rows(df):
@@ -60,6 +60,7 @@ def test_missing_archive(spark, tmp_path):
 
 def test_tables(spark):
     df = spark.createDataFrame([(1, "x\n\ny"), (2, None), (3, "")], "doc_id long, text string")
+    assert [(f.name, f.dataType) for f in from_table(df, "doc_id", "text", "documents").schema] == [(f.name, f.dataType) for f in SENTENCES]
     assert rows(from_table(df, "doc_id", "text", "documents")) == [("documents/1.txt", 1, "x", "x"), ("documents/1.txt", 3, "y", "y")]
 
 
