@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentria.llm.common import free_name, written
-from sentria.llm.rolling import mixed, rolling
+from sentria.llm.rolling import lowest, mixed, rolling
 
 #: What parts the units, as text and as it joins them again.
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
@@ -104,7 +104,7 @@ class Phrases:
     def _hash(self, word: str) -> int:
         if len(self._memo) >= MEMO_ENTRIES:
             self._memo.clear()
-        h = self._memo[word] = xxhash.xxh64_intdigest(word.lower().encode()) or 1
+        h = self._memo[word] = (xxhash.xxh64_intdigest(word.lower().encode()) >> 1) or 1
         return h
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ class Phrases:
         if len(words) < PHRASE:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         known, make = self._memo.get, self._hash
-        codes = np.array([known(w) or make(w) for w in words], np.uint64)
+        codes = np.array([known(w) or make(w) for w in words], np.int64).view(np.uint64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         if int(lengths.sum()) + len(words) - 1 == len(text):  # one space between words
             starts = np.cumsum(lengths + 1) - lengths - 1
@@ -121,7 +121,7 @@ class Phrases:
             starts = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64, len(words))
         digests = mixed(rolling(codes, PHRASE))
         span = min(APART, len(digests))
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(digests, span).argmin(1) + np.arange(len(digests) - span + 1))
+        at = lowest(digests, span)
         last = at + PHRASE - 1
         return starts[at], starts[last] + lengths[last], digests[at], mixed(rolling(mixed(codes), PHRASE)[at])
 

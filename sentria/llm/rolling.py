@@ -8,8 +8,18 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
+    """base**0 to base**n; kept, and made anew in double the length when too short."""
+    held = _known.get(base)
+    if held is None or len(held) <= n:
+        size = max(1 << 12, 2 * n)
+        held = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]), dtype=np.uint64)
+        if size <= 1 << 22:
+            _known[base] = held
+    return held[: n + 1]
 
 
 def rolling(codes: np.ndarray, width: int) -> np.ndarray:
@@ -17,10 +27,28 @@ def rolling(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(_BASE, len(codes) - 1), dtype=np.uint64)])
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * _powers(_BASE, len(codes) - 1), out=sums[1:])
     return (sums[width:] - sums[:-width]) * _powers(_INVERSE, n - 1)  # each window from the same power
 
 
+def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every ``width`` neighbours, by doubling."""
+    out, done = values, 1
+    while done < width:
+        step = min(done, width - done)
+        out = pick(out[:-step], out[step:])
+        done += step
+    return out
+
+
+def lowest(values: np.ndarray, width: int) -> np.ndarray:
+    """Places whose value is the least of some ``width`` neighbours, ties all."""
+    least = sliding(values, width, np.minimum)
+    ends = np.zeros(width - 1, values.dtype)  # values are not negative
+    return np.flatnonzero(sliding(np.concatenate([ends, least, ends]), width, np.maximum) == values)
+
+
 def mixed(codes: np.ndarray) -> np.ndarray:
     """Token numbers spread over 64 bits, so that sums of few of them differ."""
     x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
