@@ -23,6 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sentria.llm.common import slices
 from sentria.llm.wordbpe import WordBpe, word_bpe
 
 #: Chunks of text up to this length are remembered, this many of them per process.
@@ -130,6 +131,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per process; what is remembered of texts lives in a Codec and goes with it."""
+    return Encoder(word_bpe(path))
+
+
 class Decoder:
     """Token ids in, text out, one id at a time.
 
@@ -197,7 +204,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.bpe = word_bpe(path)
-        self.encoder, self.decoder = Encoder(self.bpe), Decoder(self.bpe)
+        self.encoder, self.decoder = encoder(path), Decoder(self.bpe)
         self._memo: dict[str, tuple[str, str, int]] = {}
         self._words: dict[str, tuple[str, str, int]] = {}
 
@@ -233,11 +240,6 @@ class Codec:
         return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
-
-
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """Each text's token count and the SHA-256 of its ids and of their decoding.
 
@@ -250,8 +252,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        c = codec(path)
-        for batch in batches:
+        c = Codec(path)
+        for batch in slices(batches):
             n, ids, decoded, kept = [], [], [], []
             for text in batch.column(1):
                 i, d, k = c.both(text.as_py() or "")

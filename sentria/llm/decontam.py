@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import written
+from sentria.llm.common import slices, written
 from sentria.llm.rolling import mixed, rolling
 
 MIN_MATCH, COVERAGE = 5, 0.5
@@ -262,7 +262,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     def run(batches):
         known = _Items(sent.value, min_match)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([not _covering(known, t.as_py(), min_match, threshold) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import hashed_sample, held_out
+from sentria.llm.common import hashed_sample, held_out, slices
 from sentria.llm.wordtable import WordTable, buckets, codes, inner, windows
 
 UNKNOWN = "und"
@@ -33,7 +33,7 @@ LEXICON = 400
 SEQUENCE, RUN = 64, (3, 48)
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.15, 11
 #: Words that go through forward-backward together.
-GROUP = 400_000
+GROUP = 300_000
 
 #: A text is rejected if its best language has a lower mean than this.
 MIN_SCORE = 0.35
@@ -255,7 +255,7 @@ def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         tagger = Tagger(sent.value)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             found = tagger.read(batch.column(1).to_pylist())
             yield pa.record_batch(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -274,7 +274,7 @@ def accepted(docs: DataFrame, crf: Crf, text_col: str = "text", min_score: float
 
     def run(batches):
         tagger = Tagger(sent.value)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             keep = [lang != UNKNOWN and score >= min_score for lang, score in tagger.read(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

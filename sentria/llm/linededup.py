@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import free_name, written
+from sentria.llm.common import free_name, slices, written
 from sentria.llm.rolling import lowest, mixed, rolling
 
 #: What parts the units, as text and as it joins them again.
@@ -32,7 +32,7 @@ BREAKS = {"line": "\n", "paragraph": "\n\n"}
 MIN_WORDS = 8
 #: Words of a phrase, and how far apart the beginnings of two may lie.
 PHRASE, APART = 16, 10
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
 
 _SPACES = re.compile(r"[ \t-\r]+")
 _WORD = re.compile(r"\S+")
@@ -54,7 +54,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     gap = BREAKS[unit]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows = [], []
             for row, text in enumerate(batch.column(1)):
                 at = 0
@@ -132,9 +132,9 @@ def phrases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         taken = Phrases()
-        for batch in batches:
+        for batch in slices(batches):
             found = [taken.of(t.as_py() or "") for t in batch.column(1)]
-            rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            rows = np.repeat(np.arange(len(found)), np.array([len(f[0]) for f in found], np.int64))
             cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
             yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c.view(np.int64)) for c in cols)], names=["id", "start_char", "end_char", "d1", "d2"])
 
@@ -225,7 +225,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = joined.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             new = [t if not s else cut(t, [(x["start_char"], x["end_char"]) for x in s]) for t, s in zip(texts, spans)]
             yield batch.set_column(at, batch.field(at), pa.array(new, batch.column(at).type))

@@ -1,9 +1,10 @@
 """Quality scores from supervised subword embeddings.
 
 A text is the average of the learned vectors of its words, of their character
-n-grams and of its pairs of neighbouring words, all hashed into one table; a softmax layer turns the average into two
-class probabilities. Table and layer are learned together by stochastic gradient
-descent in numpy, on a bounded sample of labelled texts.
+n-grams and of its pairs of neighbouring words, all hashed into one table; a
+softmax layer turns the average into two class probabilities. Table and layer are
+learned together by stochastic gradient descent in numpy, on a bounded sample of
+labelled texts.
 """
 
 from __future__ import annotations

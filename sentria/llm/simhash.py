@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import written
+from sentria.llm.common import slices, written
 from sentria.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
