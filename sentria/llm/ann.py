@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentria.llm.common import written
 
@@ -78,7 +79,8 @@ class Forest:
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector) of the rows that take part: an id, and a vector without null or
     non-finite components that is not zero."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kept = "float" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "double"  # moved as narrow as they came
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kept}>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists("vector", lambda x: x != 0)
     return rows.where("id is not null and vector is not null").where(F.coalesce(sound, F.lit(False)))
 
@@ -114,7 +116,7 @@ def search(queries: DataFrame, shards: DataFrame, k: int = 10, block: int = BLOC
             for i in range(batch.num_rows):
                 dim = batch.column(0)[i].as_py()
                 asked = batch.column(1)[i].values.to_numpy()
-                points, matrix = (batch.column(c)[i].values.to_numpy().reshape(-1, dim) for c in (2, 3))
+                points, matrix = (batch.column(c)[i].values.to_numpy().astype(np.float64).reshape(-1, dim) for c in (2, 3))
                 ids = batch.column(4)[i].as_py()
                 found = Forest(matrix).candidates(points, visits)
                 for query, point, near in zip(asked.tolist(), points, found):
