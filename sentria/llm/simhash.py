@@ -72,6 +72,11 @@ def linked(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tupl
         near[i : i + 256] = np.bitwise_count(left[i : i + 256, None].view(np.uint64) ^ right[None, :].view(np.uint64)) <= radius
     if same:
         np.fill_diagonal(near, False)
+    return spanning(near, left, right)
+
+
+def spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the true places of ``near`` connect, one a member."""
     rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
     if not len(rows):
         return left[:0], left[:0]
@@ -149,10 +154,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates, **kw) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest
     id. An id that occurs on several rows is one document and stays with all its
-    rows; rows without an id stay, since nothing can name their group."""
-    found = near_duplicates(docs, id_col, text_col, **kw)
+    rows; rows without an id stay, since nothing can name their group. ``groups``
+    finds the components."""
+    found = groups(docs, id_col, text_col, **kw)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
     return docs.join(gone, id_col, "left_anti")
