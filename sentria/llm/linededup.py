@@ -28,7 +28,7 @@ from sentria.llm.rolling import lowest, mixed, rolling
 
 #: What parts the units, as text and as it joins them again.
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
-#: Units of fewer words repeat by chance and stay.
+#: Units of fewer words stay, unless the caller asks for less; op9 and the pipeline take all that are not empty.
 MIN_WORDS = 8
 #: Words of a phrase, and how far apart the beginnings of two may lie.
 PHRASE, APART = 16, 10
