@@ -9,16 +9,17 @@ order, so a passage whose sentences were rearranged is covered like the original
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentria.llm.common import slices, written
+from sentria.llm.common import free_name, slices, written
 from sentria.llm.rolling import mixed, rolling
 
 MIN_MATCH, COVERAGE = 5, 0.5
@@ -90,30 +91,30 @@ def tiling(text: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> li
 
 
 class _Items:
-    """The benchmark in one process: token numbers, seeds, and each item's codes."""
+    """Benchmark texts in one process: token numbers, seeds, and each text's codes.
+    A text is known by its place in ``rows``, so no two share codes."""
 
     def __init__(self, rows: list[tuple[int, str]], min_match: int):
+        self.ids = [item for item, _ in rows]
         self.numbers: dict[str, int] = {}
-        self.codes: dict[int, np.ndarray] = {}
-        seeds, owners = [], []
-        for item, text in rows:
+        self.codes: list[np.ndarray] = []
+        seeds, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for place, (_, text) in enumerate(rows):
             codes = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens(text)], np.int64)
-            if len(codes) >= min_match:
-                self.codes[item] = codes
-                h = np.unique(rolling(mixed(codes), min_match))
-                seeds.append(h)
-                owners.append(np.full(len(h), item, np.int64))
-        seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owners = seeds[order], owners[order]
+            self.codes.append(codes)
+            h = np.unique(rolling(mixed(codes), min_match))
+            seeds.append(h)
+            owners.append(np.full(len(h), place, np.int64))
+        found, owned = np.concatenate(seeds), np.concatenate(owners)
+        order = np.argsort(found, kind="stable")
+        self.seeds, self.owners = found[order], owned[order]
 
     def read(self, text: str | None) -> np.ndarray:
         get = self.numbers.get
         return np.array([get(t, -1) for t in tokens(text)], np.int64)
 
     def sharing(self, codes: np.ndarray, min_match: int) -> dict[int, np.ndarray]:
-        """item -> places of the text's windows that are a seed of it. A window with
+        """place of an item -> places of the text's windows that are a seed of it. A window with
         a token that no item has is no seed and is never looked up."""
         if len(codes) < min_match or not len(self.seeds):
             return {}
@@ -159,35 +160,42 @@ def _out(ids: pa.Array, rows: list, id_col: str) -> pa.RecordBatch:
 
 
 def _measured(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id is not null and item_text is not null")
+    """The distinct (item_id, item_text) that can take part, and their characters."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id is not null and item_text is not null").distinct()
     return items, items.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).head()[0]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = COVERAGE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """(id, item_id, n_tiles, covered_tokens, item_tokens, coverage) of each text
-    and benchmark item whose tiles cover at least ``threshold`` of the item.
+    """(id, item_id, n_tiles, covered_tokens, item_tokens, coverage) of each row of
+    ``docs`` and each benchmark text whose tiles cover at least ``threshold`` of it.
 
     Tokens are runs of word characters in lower case. Null and empty texts match
     nothing; items of under ``min_match`` tokens, and those without an id, cannot be
-    told from chance and take no part. Repeated rows of ``docs`` give repeated rows.
-    Either table may be empty. Other columns are not read. A benchmark of up to
-    ``broadcast_chars`` characters goes to every task whole and the texts are not
-    shuffled; a larger one is joined to the texts by seed.
+    told from chance and take no part. Rows of ``docs`` are judged one by one, by
+    their own text: repeated rows give repeated results, and rows without an id
+    theirs. Several texts under one item_id are compared one by one; a benchmark row
+    repeated whole counts once. Either table may be empty. Other columns are not
+    read. A benchmark of up to ``broadcast_chars`` characters goes to every task
+    whole and the texts are not shuffled; a larger one meets them by seed, with the
+    same results.
     """
     items, size = _measured(benchmark, item_col, item_text_col)
     if size <= broadcast_chars:
         return _by_broadcast(docs, items, id_col, text_col, min_match, threshold)
-    return _by_shuffle(docs, items, id_col, text_col, min_match, threshold)
+    key = free_name(docs, "_text")
+    hits = _covered_texts(docs.select(text_col), items, text_col, min_match, threshold)
+    fields = [f.split()[0] for f in _FIELDS.split(", ")]
+    return docs.select(id_col, _text_key(text_col).alias(key)).join(hits.withColumnRenamed("text_key", key), key).select(id_col, *fields)
 
 
 def _covering(known: _Items, text: str | None, min_match: int, threshold: float) -> list[tuple]:
     """(item, tiles, covered tokens, item tokens, coverage) of the items that a text covers."""
     codes, out = known.read(text), []
-    for item, places in sorted(known.sharing(codes, min_match).items()):
-        size = len(known.codes[item])
-        n, covered = _score(codes, known.codes[item], places, min_match)
-        if covered >= threshold * size:
-            out.append((item, n, covered, size, covered / size))
+    for place, places in sorted(known.sharing(codes, min_match).items()):
+        item = known.codes[place]
+        n, covered = _score(codes, item, places, min_match)
+        if covered >= threshold * len(item):
+            out.append((known.ids[place], n, covered, len(item), covered / len(item)))
     return out
 
 
@@ -202,62 +210,92 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
 
     def run(batches):
         known = _Items(sent.value, min_match)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(row, *hit) for row, text in enumerate(batch.column(1)) for hit in _covering(known, text.as_py(), min_match, threshold)]
             yield _out(batch.column(0), rows, id_col)
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, {_FIELDS}")
 
 
+def _text_key(text_col: str):
+    """What names a text wherever it stands; null for null. The cost of one pass in the JVM."""
+    return F.sha2(F.col(text_col).cast("binary"), 256)
+
+
 def _seeds(df: DataFrame, key: str, text: str, min_match: int) -> DataFrame:
-    """(key, seed): the distinct hashes of ``min_match`` tokens of each text."""
+    """(key, seed, times): the distinct hashes of ``min_match`` tokens of each text."""
 
     def run(batches):
-        for batch in batches:
-            owners, found = [], []
+        for batch in slices(batches):
+            owners, found, times = [], [], []
             for row, t in enumerate(batch.column(1)):
                 parts = [w.encode() for w in tokens(t.as_py())]
-                own = {xxhash.xxh64_intdigest(b" ".join(parts[i : i + min_match])) for i in range(len(parts) - min_match + 1)}
+                own = Counter(xxhash.xxh64_intdigest(b" ".join(parts[i : i + min_match])) for i in range(len(parts) - min_match + 1))
                 owners += [row] * len(own)
                 found += own
+                times += own.values()
             seeds = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(0).take(pa.array(owners, pa.int32())), seeds], names=[key, "seed"])
+            yield pa.record_batch([batch.column(0).take(pa.array(owners, pa.int32())), seeds, pa.array(times, pa.int32())], names=[key, "seed", "times"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, seed long")
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, seed long, times int")
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, min_match: int, threshold: float) -> DataFrame:
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("doc_text")).where("doc_text is not null")
-    texts = texts.withColumn("row", F.xxhash64("id", "doc_text"))
-    items = written(items, "items")
-    item_seeds = written(_seeds(items, "item_id", "item_text", min_match), "seeds")
-    doc_seeds = _seeds(texts, "row", "doc_text", min_match)
-    pairs = doc_seeds.join(item_seeds, "seed").select("row", "item_id").distinct()
-    met = texts.join(written(pairs, "pairs"), "row").join(items, "item_id").select("id", "item_id", "item_text", "doc_text")
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _telling(met: DataFrame, item_seeds: DataFrame, min_match: int, threshold: float) -> DataFrame:
+    """(place, seed): seeds enough of each item that any text that covers it has one.
+
+    A shared window covers ``min_match`` tokens at most, so a covering text shares at
+    least threshold * tokens / min_match of an item's windows. An item's commonest
+    seeds may go while fewer windows than that go with them: every text that covers
+    it still has one of the others. So a seed that very many texts have makes no
+    pairs, unless an item has nothing rarer.
+    """
+    common = met.groupBy("seed").agg(F.count("*").alias("texts"))
+    order = Window.partitionBy("place").orderBy(F.desc("texts"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = item_seeds.join(common, "seed")
+    ranked = ranked.withColumn("gone", F.sum("times").over(order)).withColumn("needed", F.ceil((F.col("windows") + min_match - 1) * threshold / min_match - 1e-9))
+    return ranked.where(F.col("gone") >= F.col("needed")).select("place", "seed")
+
+
+def _covered_texts(docs: DataFrame, items: DataFrame, text_col: str, min_match: int, threshold: float) -> DataFrame:
+    """(text_key, item_id, ...) of each distinct text and the items that it covers.
+
+    Whether a text covers an item depends on nothing but the two, so copies are
+    compared once, and no row of ``docs`` is named by its id.
+    """
+    texts = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("doc_text")).where("doc_text is not null")
+    items = written(items.withColumn("place", F.xxhash64("item_id", "item_text")), "items")
+    item_seeds = _seeds(items, "place", "item_text", min_match)
+    item_seeds = written(item_seeds.withColumn("windows", F.sum("times").over(Window.partitionBy("place"))), "seeds")
+    met = _seeds(texts, "text_key", "doc_text", min_match).join(item_seeds.select("seed").distinct(), "seed", "left_semi")
+    met = written(met.select("text_key", "seed").distinct(), "met")
+    pairs = written(met.join(_telling(met, item_seeds, min_match, threshold), "seed").select("text_key", "place").distinct(), "pairs")
+    # copies of a text meet as keys first: only one of them is moved for an item
+    once = texts.join(pairs.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.first("doc_text").alias("doc_text"))
+    both = pairs.join(items, "place").join(written(once, "texts"), "text_key").select("text_key", "item_id", "item_text", "doc_text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for row, (item, item_text, text) in enumerate(zip(*(batch.column(k) for k in (1, 2, 3)))):
                 known = _single(item_text.as_py(), min_match)
                 rows += [(row, item.as_py(), *hit[1:]) for hit in _covering(known, text.as_py(), min_match, threshold)]
-            yield _out(batch.column(0), rows, id_col)
+            yield _out(batch.column(0), rows, "text_key")
 
-    return met.mapInArrow(run, f"`{id_col}` {id_type}, {_FIELDS}")
+    return written(both.mapInArrow(run, f"text_key string, {_FIELDS}"), "hits")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = COVERAGE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item covers, all columns as they are.
+    """The rows of ``docs`` that no benchmark text covers, all columns as they are.
 
-    With a benchmark small enough to broadcast each row is judged where it lies,
-    without a shuffle. With a larger one rows are dropped by id, and rows without an
-    id stay.
+    Each row is judged by its own text, whatever its id. With a benchmark of up to
+    ``broadcast_chars`` characters that happens where it lies, without a shuffle;
+    with a larger one by joins, with the same rows left.
     """
     items, size = _measured(benchmark, item_col, item_text_col)
     if size > broadcast_chars:
-        hit = _by_shuffle(docs, items, id_col, text_col, min_match, threshold).select(id_col)
-        return docs.join(hit, id_col, "left_anti")
+        key = free_name(docs, "_text")
+        hit = _covered_texts(docs.select(text_col), items, text_col, min_match, threshold).select(F.col("text_key").alias(key)).distinct()
+        return docs.withColumn(key, _text_key(text_col)).join(hit, key, "left_anti").select(*docs.columns)
     sent, at = _sent(items), docs.columns.index(text_col)
 
     def run(batches):

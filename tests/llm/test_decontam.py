@@ -98,12 +98,62 @@ def test_planted_passages(spark, limit):
     assert {g[:2] for g in got} == {(10, 1), (11, 1), (13, 1), (13, 2), (None, 1), (18, 2)}
 
 
-def test_kept_rows_and_empty_tables(spark):
+def awkward():
+    """Several texts under one item_id, repeated benchmark rows, null and repeated ids."""
     docs, items = case()
+    one, five = items[0][1], passage(5, 30)
+    items += [(1, five, 9), items[0], (7, one, 9), (None, five, 9)]
+    docs += [(20, f"{passage(20, 40)} {five}", "a", "b"), (20, passage(21, 60), "a", "b"), (None, passage(22, 30), "a", "b"), (None, five, "a", "b"), (None, None, "a", "b")]
+    return docs, items
+
+
+def test_both_paths_agree_on_awkward_tables(spark):
+    docs, items = awkward()
     df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
-    for limit, without_id in ((16_000_000, 0), (0, 1)):
+    want, clean = [], []
+    for d, t, *_ in docs:
+        hits = []
+        for i, text in {(i, text) for i, text, _ in items if i is not None and len(tokens(text)) >= 5}:
+            item = tokens(text)
+            tiles = plain_tiling(tokens(t)[-400:], item, 5)
+            if 2 * sum(n for *_, n in tiles) >= len(item):
+                hits.append((d, i, sum(n for *_, n in tiles), len(item)))
+        want += hits
+        clean += [] if hits else [(d, t)]
+    for limit in (16_000_000, 0):
+        got = overlaps(df, bench, broadcast_chars=limit).select("doc_id", "item_id", "covered_tokens", "item_tokens").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
         kept = uncontaminated(df, bench, broadcast_chars=limit)
-        assert kept.columns == df.columns
-        ids = [r.doc_id for r in kept.collect()]
-        assert sorted(i for i in ids if i) == [12, 14, 15, 16, 17] and ids.count(None) == without_id
-    assert overlaps(df, bench.limit(0)).collect() == [] and overlaps(df.limit(0), bench).collect() == []
+        assert kept.dtypes == df.dtypes
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(clean, key=str)
+    assert (20, passage(21, 60)) in clean and (None, None) in clean and (20, 1) in {w[:2] for w in want} and {(None, 1), (None, 7)} <= {w[:2] for w in want}
+
+
+def test_both_paths_agree_on_random_tables(spark):
+    rng = random.Random(9)
+    few = [f"w{i}" for i in range(40)]
+    items = [(i % 5, " ".join(rng.choices(few, k=rng.randrange(4, 30))), 0) for i in range(12)]
+    common = " ".join(few[:8])
+    docs = []
+    for d in range(80):
+        parts = [" ".join(rng.choices(few, k=rng.randrange(12)))]
+        for _ in range(rng.randrange(3)):
+            words = rng.choice(items)[1].split()
+            at = rng.randrange(len(words))
+            parts.append(" ".join(words[at:] + words[:at]))
+        docs.append((d, " ".join([common, *parts]), "a", "b"))  # eight words that all texts have
+    items.append((50, f"{common} and more", 0))
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    near, far = (sorted(map(tuple, overlaps(df, bench, broadcast_chars=limit).collect())) for limit in (10**6, 0))
+    assert near == far and len(near) > 80
+    some, rest = (sorted(r.doc_id for r in uncontaminated(df, bench.where("item_id < 50"), broadcast_chars=limit).collect()) for limit in (10**6, 0))
+    assert some == rest and 0 < len(some) < 80
+
+
+@pytest.mark.parametrize("limit", [16_000_000, 0])
+def test_empty_tables(spark, limit):
+    docs, items = case()
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    assert overlaps(df, bench.limit(0), broadcast_chars=limit).collect() == [] and overlaps(df.limit(0), bench, broadcast_chars=limit).collect() == []
+    assert uncontaminated(df.limit(0), bench, broadcast_chars=limit).collect() == []
+    assert uncontaminated(df, bench.limit(0), broadcast_chars=limit).count() == len(docs)
