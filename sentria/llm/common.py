@@ -66,6 +66,22 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def text_key(text: Column | str) -> Column:
+    """60 bits of a text's MD5 as a long, -1 for null: together with an id it names a
+    text even where other texts have the same id. DuckDB can compute it too."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(-1).cast("long"))
+
+
+def single_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, text) of the rows with an id and a text; a row repeated under
+    its id is there once. Only texts that do repeat are shuffled whole."""
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    again = written(rows.groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    once = rows.join(again, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
+    return rows.join(again, ["id", "text_key"], "left_anti").unionByName(once)
+
+
 def held_out(doc_id: Column | str, remainder: int = 2) -> Column:
     """True for the documents that no model may learn from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import free_name, slices, written
+from sentria.llm.common import free_name, single_texts, slices, text_key, written
 from sentria.llm.rolling import lowest, mixed, rolling
 
 #: What parts the units, as text and as it joins them again.
@@ -43,56 +44,58 @@ def normalise(unit: str) -> str:
     return _SPACES.sub(" ", unit.lower()).strip(" ")
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, pos, start_char, end_char, words, digest) of each unit of at least ``min_words``.
-
-    ``pos``: number of the unit in its text, from 0; ``start_char`` and ``end_char``: its code
-    points; ``digest``: 128 bits of the normalised unit. Rows without an id have no
-    units, for nothing could say where they are.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _units(texts: DataFrame, unit: str, min_words: int) -> DataFrame:
+    """(id, text_key, pos, start_char, end_char, words, digest) of each unit of at least ``min_words``."""
+    id_type = texts.schema["id"].dataType.simpleString()
     gap = BREAKS[unit]
 
     def run(batches):
         for batch in slices(batches):
-            ids, rows = [], []
-            for row, text in enumerate(batch.column(1)):
+            owners, rows = [], []
+            for row, text in enumerate(batch.column(2)):
                 at = 0
-                for pos, u in enumerate((text.as_py() or "").split(gap)):
+                for pos, u in enumerate(text.as_py().split(gap)):
                     clean = normalise(u)
                     words = clean.count(" ") + 1 if clean else 0
                     if words >= min_words:
-                        ids.append(row)
+                        owners.append(row)
                         rows.append((pos, at, at + len(u), words, hashlib.blake2b(clean.encode(), digest_size=16).digest()))
                     at += len(u) + len(gap)
             cols = list(zip(*rows)) if rows else [()] * 5
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            owners = pa.array(owners, pa.int32())
             yield pa.record_batch(
-                [batch.column(0).take(pa.array(ids, pa.int32()))] + [pa.array(c, k) for c, k in zip(cols, kinds)],
-                names=[id_col, "pos", "start_char", "end_char", "words", "digest"],
+                [batch.column(0).take(owners), batch.column(1).take(owners)] + [pa.array(c, k) for c, k in zip(cols, kinds)],
+                names=["id", "text_key", "pos", "start_char", "end_char", "words", "digest"],
             )
 
-    schema = f"`{id_col}` {id_type}, pos int, start_char long, end_char long, words int, digest binary"
-    return docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, schema)
+    return texts.mapInArrow(run, f"id {id_type}, text_key long, pos int, start_char long, end_char long, words int, digest binary")
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit to remove: (id, pos, start_char, end_char, words, first_id, first_pos,
-    copies).
-
-    Rank is (id, pos): the unit with the lowest stays, wherever else its like
-    stands, in the same text or another. ``copies`` counts all of them, the one
-    that stays included. Null and empty texts have no units; an empty table gives
-    an empty result; rows repeated under one id are one text, whose units count
-    once. Other columns are not read.
-    """
-    found = written(units(docs, id_col, text_col, unit, min_words).withColumnRenamed(id_col, "id"), "units")
+def _repeated_units(texts: DataFrame, unit: str, min_words: int) -> DataFrame:
+    found = written(_units(texts, unit, min_words), "units")
     # counts and minima are combined before the shuffle, so a very common unit is a few rows there
-    groups = found.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "pos")).alias("first"))
+    groups = found.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_key", "pos")).alias("first"))
     groups = written(groups.where("copies > 1"), "groups")
     # both sides are plain tables: a partition with a very common unit can be split
-    gone = found.join(groups, "digest").where(F.struct("id", "pos") != F.col("first"))
-    return gone.select(F.col("id").alias(id_col), "pos", "start_char", "end_char", "words", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"), "copies")
+    return found.join(groups, "digest").where(F.struct("id", "text_key", "pos") != F.col("first"))
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per unit to remove: (id, text_key, pos, start_char, end_char, words, first_id,
+    first_pos, copies).
+
+    ``pos``: number of the unit in its text, from 0; ``start_char`` and ``end_char``:
+    its code points. Rank is (id, text_key, pos): the unit with the lowest stays,
+    wherever else its like stands, in the same text or another. ``copies`` counts
+    all of them, the one that stays included. Null and empty texts have no units;
+    an empty table gives an empty result; rows repeated under one id are one text,
+    whose units count once; other texts under the same id are told apart by
+    ``text_key``. Rows without an id have no units, for nothing could say where
+    they are. Other columns are not read.
+    """
+    gone = _repeated_units(single_texts(docs, id_col, text_col), unit, min_words)
+    return gone.select(F.col("id").alias(id_col), "text_key", "pos", "start_char", "end_char", "words", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"), "copies")
 
 
 class Phrases:
@@ -107,91 +110,161 @@ class Phrases:
         h = self._memo[word] = (xxhash.xxh64_intdigest(word.lower().encode()) >> 1) or 1
         return h
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, first digest, second digest) of each phrase taken."""
-        words = text.split()
+    def digests(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, first digest, second digest) of each phrase taken."""
         if len(words) < PHRASE:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         known, make = self._memo.get, self._hash
         codes = np.array([known(w) or make(w) for w in words], np.int64).view(np.uint64)
+        found = mixed(rolling(codes, PHRASE))
+        at = lowest(found, min(APART, len(found)))
+        return at, found[at], mixed(rolling(mixed(codes), PHRASE)[at])
+
+    def of(self, text: str) -> tuple[np.ndarray, ...]:
+        """(start, end, end of the word before, start of the word after, first digest,
+        second digest) of each phrase taken."""
+        words = text.split()
+        at, d1, d2 = self.digests(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         if int(lengths.sum()) + len(words) - 1 == len(text):  # one space between words
             starts = np.cumsum(lengths + 1) - lengths - 1
         else:
             starts = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64, len(words))
-        digests = mixed(rolling(codes, PHRASE))
-        span = min(APART, len(digests))
-        at = lowest(digests, span)
+        ends = starts + lengths
         last = at + PHRASE - 1
-        return starts[at], starts[last] + lengths[last], digests[at], mixed(rolling(mixed(codes), PHRASE)[at])
+        return starts[at], ends[last], np.concatenate([[0], ends])[at], np.concatenate([starts, [len(text)]])[last + 1], d1, d2
+
+
+def _digests(texts: DataFrame) -> DataFrame:
+    """(d1): the phrases of every text, by their first digest alone."""
+
+    def run(batches):
+        taken = Phrases()
+        for batch in slices(batches):
+            found = [taken.digests(t.as_py().split())[1] for t in batch.column(0)]
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["d1"])
+
+    return texts.select("text").mapInArrow(run, "d1 long")
+
 
+_PLACES = ("start_char", "end_char", "before", "after", "d1", "d2")
 
-def phrases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, start_char, end_char, d1, d2) of the phrases of every text with an id."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+
+def _phrases(texts: DataFrame) -> DataFrame:
+    """The phrases of every text with their places."""
+    id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
         taken = Phrases()
         for batch in slices(batches):
-            found = [taken.of(t.as_py() or "") for t in batch.column(1)]
-            rows = np.repeat(np.arange(len(found)), np.array([len(f[0]) for f in found], np.int64))
-            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
-            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c.view(np.int64)) for c in cols)], names=["id", "start_char", "end_char", "d1", "d2"])
+            found = [taken.of(t.as_py()) for t in batch.column(2)]
+            rows = pa.array(np.repeat(np.arange(len(found)), np.array([len(f[0]) for f in found], np.int64)), pa.int64())
+            cols = [np.concatenate([np.zeros(0, np.int64), *(f[k].view(np.int64) for f in found)]) for k in range(len(_PLACES))]
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, cols)], names=["id", "text_key", *_PLACES])
+
+    return texts.mapInArrow(run, f"id {id_type}, text_key long, " + ", ".join(f"{c} long" for c in _PLACES))
+
 
-    return docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, f"id {id_type}, start_char long, end_char long, d1 long, d2 long")
+#: What a stretch is: a repeated line; a phrase that ranks earlier elsewhere, or in
+#: the same text; the first place of a repeated phrase, in texts with the latter.
+LINE, FAR, NEAR, KEPT = range(4)
 
 
-def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start_char, end_char, first_id) of each phrase whose like ranks earlier.
+def _repeated_phrases(texts: DataFrame) -> DataFrame:
+    """(id, text_key, start_char, end_char, first_id, kind) of each phrase whose like
+    ranks earlier, and, of texts that repeat their own phrases, of those that stay.
 
     The first pass counts 64-bit digests and no more; only phrases that it finds
     twice are looked at again, with places and another 64 bits.
     """
-    twice = written(phrases(docs, id_col, text_col).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "digests")
+    twice = written(_digests(texts).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "digests")
     # both sides without an order of their own: a partition with a very common phrase can be split
-    hits = written(phrases(docs, id_col, text_col).join(twice, "d1"), "phrases")
-    first = hits.groupBy("d1", "d2").agg(F.min(F.struct("id", "start_char")).alias("first"), F.max(F.struct("id", "start_char")).alias("last"))
-    first = written(first.where("first < last").drop("last"), "first")
-    gone = hits.join(first, ["d1", "d2"]).where(F.struct("id", "start_char") != F.col("first"))
-    return gone.select("id", "start_char", "end_char", F.col("first.id").alias("first_id"))
-
+    hits = written(_phrases(texts).join(twice, "d1"), "phrases")
+    place = F.struct("id", "text_key", "start_char")
+    first = hits.groupBy("d1", "d2").agg(F.min(F.struct("id", "text_key", "start_char", "before", "after")).alias("first"), F.max(place).alias("last"))
+    first = first.where(F.struct("first.id", "first.text_key", "first.start_char") < F.col("last")).drop("last")
+    first = written(first, "first")
+    own = (F.col("first.id") == F.col("id")) & (F.col("first.text_key") == F.col("text_key"))
+    gone = hits.join(first, ["d1", "d2"]).where(place != F.struct("first.id", "first.text_key", "first.start_char"))
+    gone = gone.select("id", "text_key", "start_char", "end_char", F.col("first.id").alias("first_id"), F.when(own, NEAR).otherwise(FAR).alias("kind"))
+    gone = written(gone, "gone")
+    periodic = gone.where(F.col("kind") == NEAR).select("id", "text_key").distinct()
+    stay = first.select("first.*").join(periodic, ["id", "text_key"], "left_semi")
+    return gone.unionByName(stay.select("id", "text_key", F.col("before").alias("start_char"), F.col("after").alias("end_char"), F.col("id").alias("first_id"), F.lit(KEPT).alias("kind")))
+
+
+def _without(start: int, end: int, kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a stretch beside those that stay (sorted)."""
+    out = []
+    for a, b in kept[max(0, bisect_right(kept, (start,)) - 1) :]:
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                out.append((start, a))
+            start = b
+    return out + [(start, end)] * (start < end)
+
+
+def joined(spans: list[tuple]) -> list[tuple[int, int, int, list]]:
+    """(start, end, units, first ids) of what to remove, from (start, end, first_id, kind).
+
+    A phrase is never removed where a phrase of the same text stays: text that goes
+    round in circles keeps its first round, whole phrases of it.
+    """
+    kept: list[list[int]] = []
+    for start, end, *_ in sorted(s for s in spans if s[3] == KEPT):
+        if kept and start <= kept[-1][1]:
+            kept[-1][1] = max(end, kept[-1][1])
+        else:
+            kept.append([start, end])
+    fixed = [tuple(k) for k in kept]
+    pieces = []
+    for start, end, first, kind in spans:
+        if kind != KEPT:
+            pieces += [(a, b, first) for a, b in (_without(start, end, fixed) if kind == NEAR else [(start, end)])]
+    out: list[tuple[int, int, int, set]] = []
+    for start, end, first in sorted(pieces):
+        if out and start <= out[-1][1]:
+            was = out[-1]
+            out[-1] = (was[0], max(end, was[1]), was[2] + 1, was[3] | {first})
+        else:
+            out.append((start, end, 1, {first}))
+    return [(a, b, n, sorted(firsts)) for a, b, n, firsts in out]
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per stretch to remove: (id, start_char, end_char, units, first_id).
 
-    Repeated lines (or paragraphs) and repeated phrases, joined where they overlap;
-    ``first_id`` is where the stretch's first unit stays. Rank is (id, place). A
-    text's stretches are gathered by id, so no more of them meet than the text has
-    units. Null and empty texts have none; an empty table gives an empty result;
-    rows repeated under one id are one text; rows without an id have no stretches.
-    """
-    lines = repeated_units(docs, id_col, text_col, unit, min_words).select(F.col(id_col).alias("id"), "start_char", "end_char", "first_id")
-    gone = lines.unionByName(repeated_phrases(docs, id_col, text_col))
-    lists = gone.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char", "first_id"))).alias("spans"))
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _spans(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int) -> DataFrame:
+    """(id, text_key, spans): the stretches to remove of each text that has any."""
+    texts = single_texts(docs, id_col, text_col)
+    lines = _repeated_units(texts, unit, min_words).select("id", "text_key", "start_char", "end_char", F.col("first.id").alias("first_id"), F.lit(LINE).alias("kind"))
+    gone = lines.unionByName(_repeated_phrases(texts))
+    lists = gone.groupBy("id", "text_key").agg(F.collect_set(F.struct("start_char", "end_char", "first_id", "kind")).alias("found"))
+    id_type = texts.schema["id"].dataType.simpleString()
+    fields = [("start_char", pa.int64()), ("end_char", pa.int64()), ("units", pa.int32())]
 
     def run(batches):
-        for batch in batches:
-            rows, out = [], []
-            for row, spans in enumerate(batch.column(1).to_pylist()):
-                joined = []
-                for s in spans:
-                    if joined and s["start_char"] <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], s["end_char"])
-                        joined[-1][2] += 1
-                    else:
-                        joined.append([s["start_char"], s["end_char"], 1, s["first_id"]])
-                rows += [row] * len(joined)
-                out += joined
-            cols = list(zip(*out)) if out else [(), (), (), ()]
+        for batch in slices(batches):
             ids = batch.column(0)
-            yield pa.record_batch(
-                [ids.take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], ids.type)],
-                names=["id", "start_char", "end_char", "units", "first_id"],
-            )
+            kind = pa.list_(pa.struct([*fields, ("first_ids", pa.list_(ids.type))]))
+            out = [[{"start_char": a, "end_char": b, "units": n, "first_ids": firsts} for a, b, n, firsts in joined([tuple(x.values()) for x in found])] for found in batch.column(2).to_pylist()]
+            yield pa.record_batch([ids, batch.column(1), pa.array(out, kind)], names=["id", "text_key", "spans"])
+
+    found = lists.mapInArrow(run, f"id {id_type}, text_key long, spans array<struct<start_char: long, end_char: long, units: int, first_ids: array<{id_type}>>>")
+    return found.where(F.size("spans") > 0)
+
 
-    spans = lists.mapInArrow(run, f"id {id_type}, start_char long, end_char long, units int, first_id {id_type}")
-    return spans.withColumnRenamed("id", id_col)
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per stretch to remove: (id, text_key, start_char, end_char, units, first_ids).
+
+    Repeated lines (or paragraphs) and repeated phrases, joined where they overlap;
+    ``first_ids`` are the texts in which the units of the stretch stay. Rank is
+    (id, text_key, place). Of phrases that a text itself repeats the first places
+    stay whole. A text's stretches are gathered by text, so no more of them meet
+    than the text has units. Null and empty texts have none; an empty table gives
+    an empty result; rows repeated under one id are one text, other texts under
+    the same id have another ``text_key``; rows without an id have no stretches.
+    """
+    return _spans(docs, id_col, text_col, unit, min_words).select(F.col("id").alias(id_col), "text_key", F.inline("spans"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -214,15 +287,16 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS, spans_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated stretches taken out of their texts.
 
-    All rows and columns stay. A text that loses nothing is left as it is, byte for
-    byte. ``spans_col``: also an array of the (start_char, end_char) of what went, in
-    code points of the original text.
+    All rows and columns stay, rows repeated under one id each with the same text.
+    A text that loses nothing is left as it is, byte for byte, and so is one without
+    an id. ``spans_col``: also what went, an array of (start_char, end_char, units,
+    first_ids) with places in code points of the original text.
     """
-    gone = repeated_spans(docs, id_col, text_col, unit, min_words)
-    lost, key = free_name(docs, "_lost"), free_name(docs, "_lost_id")
-    lists = gone.groupBy(F.col(id_col).alias(key)).agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias(lost))
-    joined = docs.join(lists, F.col(id_col) == F.col(key), "left").drop(key)
-    at = joined.columns.index(text_col)
+    gone = _spans(docs, id_col, text_col, unit, min_words)
+    lost, key, of_text = (free_name(docs, c) for c in ("_lost", "_lost_id", "_lost_text"))
+    lists = gone.select(F.col("id").alias(key), F.col("text_key").alias(of_text), F.col("spans").alias(lost))
+    met = docs.join(lists, (F.col(id_col) == F.col(key)) & (text_key(text_col) == F.col(of_text)), "left").drop(key, of_text)
+    at = met.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches):
@@ -230,7 +304,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             new = [t if not s else cut(t, [(x["start_char"], x["end_char"]) for x in s]) for t, s in zip(texts, spans)]
             yield batch.set_column(at, batch.field(at), pa.array(new, batch.column(at).type))
 
-    out = joined.mapInArrow(run, joined.schema)
+    out = met.mapInArrow(run, met.schema)
     if spans_col:
         return out.withColumn(spans_col, F.coalesce(lost, F.array().cast(out.schema[lost].dataType))).drop(lost)
     return out.drop(lost)

@@ -11,7 +11,7 @@ from sentria.llm.bpe import encode_decode
 from sentria.llm.chat import format_turns, read_back
 from sentria.llm.common import table
 from sentria.llm.decontam import overlaps
-from sentria.llm.linededup import repeated_spans, repeated_units
+from sentria.llm.linededup import repeated_units, without_repeats
 from sentria.llm.quality import quality
 from sentria.llm.simhash import near_duplicates
 from sentria.llm.tokencount import token_counts
@@ -60,7 +60,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"), unit="line", min_words=1)
+    """Each document's text without what an earlier place has, and what went from where."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs, unit="line", min_words=1, spans_col="spans")
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,25 +94,25 @@ QUERIES = {
 #: Lines by position, their code points, and the first of those that agree.
 OP9_SQL = r"""
 WITH cut AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+  SELECT doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS text_key, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
 ), placed AS (
-  SELECT doc_id, pos, line,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char,
+  SELECT doc_id, text_key, pos, line,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, text_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char,
          trim(regexp_replace(lower(line), '[ \t-\r]+', ' ', 'g')) AS clean
   FROM cut
 ), long AS (
   SELECT *, length(clean) - length(replace(clean, ' ', '')) + 1 AS words FROM placed
 ), ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS first_id, first_value(pos) OVER w AS first_pos,
+  SELECT *, first_value(doc_id) OVER w AS first_id, first_value(text_key) OVER w AS first_key, first_value(pos) OVER w AS first_pos,
          count(*) OVER (PARTITION BY clean) AS copies
   FROM long WHERE words >= 8
-  WINDOW w AS (PARTITION BY clean ORDER BY doc_id, pos)
+  WINDOW w AS (PARTITION BY clean ORDER BY doc_id, text_key, pos)
 )
-SELECT doc_id, pos::INT AS pos, start_char::BIGINT AS start_char, (start_char + length(line))::BIGINT AS end_char,
+SELECT doc_id, text_key, pos::INT AS pos, start_char::BIGINT AS start_char, (start_char + length(line))::BIGINT AS end_char,
        words::INT AS words, first_id, first_pos::INT AS first_pos, copies
-FROM ranked WHERE doc_id <> first_id OR pos <> first_pos
+FROM ranked WHERE doc_id <> first_id OR text_key <> first_key OR pos <> first_pos
 """
 
 #: SHA-1 in base32: each 5 hexadecimal digits are 4 letters.

@@ -1,6 +1,11 @@
+import hashlib
 import random
 
-from sentria.llm.linededup import APART, PHRASE, Phrases, cut, normalise, repeated_spans, repeated_units, without_repeats
+import duckdb
+import xxhash
+
+from sentria.llm.linededup import APART, PHRASE, cut, normalise, repeated_spans, repeated_units, without_repeats
+from sentria.llm.queries import OP9_SQL, repeated_lines
 
 SCHEMA = "doc_id long, text string, pos string, lang string"
 A = "this is a line of ten words which is long"
@@ -18,64 +23,168 @@ ROWS = [
 ]
 
 
+def key(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def ranked(rows):
+    """(id, key, text) of every distinct text with an id, in rank order."""
+    return sorted({(d, key(t), t) for d, t in rows if d is not None and t})
+
+
 def brute(rows, min_words=8):
-    seen, out = {}, set()
-    for d, text in sorted({r for r in rows if r[0] is not None and r[1]}):
+    places = {}
+    for d, k, text in ranked(rows):
         at = 0
         for pos, line in enumerate(text.split("\n")):
-            key = normalise(line)
-            if len(key.split(" ")) >= min_words:
-                first = seen.setdefault(key, (d, pos))
-                if first != (d, pos):
-                    out.add((d, pos, at, at + len(line), first[0], first[1]))
+            clean = normalise(line)
+            if clean and len(clean.split(" ")) >= min_words:
+                places.setdefault(clean, []).append((d, k, pos, at, at + len(line)))
             at += len(line) + 1
-    return out
+    return {(*p, found[0][0], found[0][2], len(found)) for found in places.values() for p in found[1:]}
+
+
+def units_of(df):
+    return [(r.doc_id, r.text_key, r.pos, r.start_char, r.end_char, r.first_id, r.first_pos, r.copies) for r in df.collect()]
 
 
 def test_equals_brute_force(spark):
     docs = spark.createDataFrame([(d, t, "x", "en") for d, t in ROWS], SCHEMA)
-    got = {(r.doc_id, r.pos, r.start_char, r.end_char, r.first_id, r.first_pos) for r in repeated_units(docs).collect()}
-    assert got == brute(ROWS)
-    assert (3, 0) in {g[:2] for g in got} and (1, 1) not in {g[:2] for g in got}
+    got = units_of(repeated_units(docs))
+    assert len(got) == len(set(got)) and set(got) == brute(ROWS)
+    assert (3, 0) in {(g[0], g[2]) for g in got} and (1, 1) not in {(g[0], g[2]) for g in got}
+
+
+def test_sql_equals_spark_on_awkward_rows(spark, tmp_path):
+    """Repeated rows, several texts under one id, null ids and texts: the same rows by SQL."""
+    rows = [*ROWS, (6, f"{B}\n{A}"), (6, f"{A}\nand more"), (3, None), (8, f"{A}\n\n{A}"), (None, B), (9, "É " + A)]
+    spark.createDataFrame([(d, t, "x", "en") for d, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = c.execute(OP9_SQL)
+    names = sorted(d[0] for d in found.description)
+    df = repeated_lines(spark, str(tmp_path))
+    assert names == sorted(df.columns)
+    want = c.execute(f"SELECT {', '.join(names)} FROM ({OP9_SQL})").fetchall()
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(want) and len(want) > 8
+    assert set(units_of(df)) == brute(rows)
+
+
+def test_repeated_rows_count_once(spark):
+    docs = spark.createDataFrame([(1, A), (6, A), (6, A)], "doc_id long, text string")
+    assert [(r.doc_id, r.copies) for r in repeated_units(docs).collect()] == [(6, 2)]
+    assert [(r.doc_id, r.first_ids) for r in repeated_spans(docs).collect()] == [(6, [1])]
+
+
+def phrase_starts(words):
+    """The words at which phrases are taken, by the definition: of the runs that begin
+    at APART words in a row those with the lowest digest, all if the text has fewer runs."""
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x + 1) * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 29
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 32
+
+    codes = [(xxhash.xxh64_intdigest(w.lower().encode()) >> 1) or 1 for w in words]
+    runs = [mix(sum(c * pow(base, i, 1 << 64) for i, c in enumerate(codes[s : s + PHRASE])) & mask) for s in range(len(codes) - PHRASE + 1)]
+    span = min(APART, len(runs))
+    return sorted({s for w in range(len(runs) - span + 1) for s in range(w, w + span) if runs[s] == min(runs[w : w + span])}) if runs else []
+
+
+def places(text):
+    """(start, end) of every word."""
+    out, at = [], 0
+    for w in text.split():
+        at = text.index(w, at)
+        out.append((at, at + len(w)))
+        at += len(w)
+    return out
 
 
 def brute_spans(rows, min_words=8):
-    """Repeated lines and phrases joined; phrases are compared word by word."""
-    spans, seen = {}, set()
-    for d, _, start, end, *_ in brute(rows, min_words):
-        spans.setdefault(d, set()).add((start, end))
-    for d, text in sorted({r for r in rows if r[0] is not None and r[1]}):
-        for start, end in zip(*(x.tolist() for x in Phrases().of(text)[:2])):
-            key = tuple(text[start:end].lower().split())
-            assert len(key) == PHRASE
-            if key in seen:
-                spans.setdefault(d, set()).add((start, end))
-            seen.add(key)
+    """{(id, key): [(start, end, first ids)]}: character by character, what any repeated
+    unit covers; phrases are compared word by word."""
+    far, near, firsts, seen = {}, {}, {}, {}
+    for d, k, _, start, end, first, *_ in brute(rows, min_words):
+        far.setdefault((d, k), []).append((start, end, first))
+    again = {}
+    for d, k, text in ranked(rows):
+        at = places(text)
+        for s in phrase_starts(text.split()):
+            phrase = tuple(text.lower().split()[s : s + PHRASE])
+            start, end = at[s][0], at[s + PHRASE - 1][1]
+            if phrase in seen:
+                again[phrase] = seen[phrase]
+                own = seen[phrase][:2] == (d, k)
+                (near if own else far).setdefault((d, k), []).append((start, end, seen[phrase][0]))
+            else:
+                before = at[s - 1][1] if s else 0
+                after = at[s + PHRASE][0] if s + PHRASE < len(at) else len(text)
+                seen[phrase] = (d, k, before, after)
+    for d, k, before, after in again.values():
+        firsts.setdefault((d, k), []).append((before, after))
     out = {}
-    for d, found in spans.items():
-        joined = []
-        for start, end in sorted(found):
-            if joined and start <= joined[-1][1]:
-                joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+    for name in far.keys() | near.keys():
+        stay = {c for a, b in firsts.get(name, ()) for c in range(a, b)}
+        pieces = [(set(range(a, b)), f) for a, b, f in far.get(name, ())] + [(set(range(a, b)) - stay, f) for a, b, f in near.get(name, ())]
+        gone = sorted(set().union(*(p for p, _ in pieces)))
+        # stretches that touch are one, as are those of which one ends where the next begins
+        spans = []
+        for c in gone:
+            if spans and c == spans[-1][1]:
+                spans[-1][1] = c + 1
             else:
-                joined.append((start, end))
-        out[d] = joined
+                spans.append([c, c + 1])
+        empty = {a for a, b, _ in far.get(name, ()) if a == b}
+        spans += [[a, a] for a in empty if not any(x <= a <= y for x, y in spans)]
+        found = [(a, b, sorted({f for p, f in pieces if p & set(range(a, b))})) for a, b in sorted(spans)]
+        if found:
+            out[name] = found
     return out
 
 
+def by_text(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault((r.doc_id, r.text_key), []).append((r.start_char, r.end_char, r.first_ids))
+    return {k: sorted(v) for k, v in got.items()}
+
+
 def test_texts_and_spans(spark):
     docs = spark.createDataFrame([(d, t, "x", "en") for d, t in ROWS], SCHEMA)
     out = without_repeats(docs, spans_col="spans").collect()
     assert len(out) == len(ROWS) and out[0].__fields__ == ["doc_id", "text", "pos", "lang", "spans"]
     want, sources = brute_spans(ROWS), dict(ROWS)
     for r in out:
-        spans = want.get(r.doc_id, [])
-        assert [tuple(s) for s in r.spans] == spans
-        assert r.text == (cut(sources[r.doc_id], spans) if spans else sources[r.doc_id])
+        spans = want.get((r.doc_id, key(sources[r.doc_id])), []) if sources[r.doc_id] and r.doc_id is not None else []
+        assert [(s.start_char, s.end_char, s.first_ids) for s in r.spans] == spans
+        assert r.text == (cut(sources[r.doc_id], [s[:2] for s in spans]) if spans else sources[r.doc_id])
     by = {r.doc_id: r.text for r in out}
     assert by[3] == "short one" and by[1] == ROWS[1][1] and by[6] == "" and by[None] == A and by[4] is None and by[5] == ""
 
 
+def test_text_that_goes_round_keeps_a_whole_phrase(spark):
+    cycle, long = "one two three four five six ", " ".join(f"c{i}" for i in range(23))
+    rows = [(1, "before it all " + "ha " * 60 + "after it all"), (2, "start " + cycle * 20 + "stop"), (3, f"a {long}  {long}\n{long} {long} z"), (4, "ha " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in without_repeats(docs).collect()}
+    assert kept[1] == "before it all " + "ha " * PHRASE + "after it all"
+    words = kept[2].split()
+    assert words[0] == "start" and words[-1] == "stop" and PHRASE <= len(words) - 2 < 2 * PHRASE and " ".join(words[1:-1]) in cycle * 20
+    assert set(kept[3].split()) == {"a", "z", *long.split()} and len(kept[3].split()) < 2 * PHRASE + 25
+    assert kept[4].split() == ["ha"] * 0  # all of it stands in text 1
+    assert by_text(repeated_spans(docs)) == brute_spans(rows)
+
+
+def test_texts_that_share_an_id_are_cut_apart(spark):
+    rows = [(1, f"{A}\nfirst"), (6, f"{A}\nsecond of two"), (6, "a line and a tail that nobody has cut"), (6, f"{A}\nsecond of two"), (6, f"head\n{A}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in without_repeats(docs).collect()) == sorted([rows[0][1], "second of two", rows[2][1], "second of two", "head"])
+    assert by_text(repeated_spans(docs)) == brute_spans(rows)
+
+
 def test_cut():
     assert cut("a b c", [(2, 3)]) == "a c" and cut("x\nyy\nz", [(2, 4)]) == "x\nz" and cut("x\nyy", [(2, 4)]) == "x"
     assert cut("yy\nz", [(0, 2)]) == "z" and cut("yy", [(0, 2)]) == "" and cut("a  b\nc", [(3, 4)]) == "a  \nc" and cut("ab", []) == "ab"
@@ -97,11 +206,9 @@ def passages(seed=1):
 def test_passages_within_lines(spark):
     rows, shared, places = passages()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {}
-    for r in repeated_spans(docs).collect():
-        assert r.first_id == 0
-        got.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
-    assert {d: sorted(s) for d, s in got.items()} == brute_spans(rows)
+    found = by_text(repeated_spans(docs))
+    assert found == brute_spans(rows) and all(f == [0] for s in found.values() for *_, f in s)
+    got = {d: [x[:2] for x in s] for (d, _), s in found.items()}
     assert set(got) == set(range(1, 8))
     for d, text in rows[1:]:
         ((start, end),) = got[d]
@@ -117,10 +224,7 @@ def test_random_texts_equal_brute_force(spark):
     rows = [(d, "".join(rng.choice(pool) + rng.choice([" ", "\n", "  "]) for _ in range(rng.randrange(9)))) for d in range(60)]
     rows += [(100, "le " * 300), (101, "Le  le\n" * 50), (102, "x" * 50_000), (103, " ".join(pool) * 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {}
-    for r in repeated_spans(docs).collect():
-        got.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
-    assert {d: sorted(s) for d, s in got.items()} == brute_spans(rows)
+    assert by_text(repeated_spans(docs)) == brute_spans(rows)
 
 
 def test_paragraphs_and_empty_table(spark):
