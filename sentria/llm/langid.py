@@ -38,12 +38,17 @@ GROUP = 300_000
 #: A text is rejected if its best language has a lower mean than this.
 MIN_SCORE = 0.35
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of what \w holds beside digits; numerals such as fractions are still among it.
+_RUN = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall((text or "").lower())
+    """Runs of letters (Unicode L), in lower case."""
+    found = _RUN.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    parted = (w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w) for w in found)
+    return " ".join(parted).split()
 
 
 def word_features(found: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +87,26 @@ def _step(a: np.ndarray) -> np.ndarray:
     return a / a.sum(-1, keepdims=True)
 
 
+def gradient(scores: np.ndarray, moves: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative log-likelihood of labels ``y`` (sequences x places): its
+    gradient by every score (sequences x places x languages) and by every move."""
+    k, size = len(moves), scores.shape[1]
+    psi = np.exp(scores - scores.max(2, keepdims=True))
+    go = np.exp(moves - moves.max())
+    ahead, behind = np.empty_like(psi), np.ones_like(psi)
+    ahead[:, 0] = _step(psi[:, 0])
+    for t in range(1, size):
+        ahead[:, t] = _step(psi[:, t] * (ahead[:, t - 1] @ go))
+    for t in range(size - 2, -1, -1):
+        behind[:, t] = _step((psi[:, t + 1] * behind[:, t + 1]) @ go.T)
+    post = _step(ahead * behind)
+    pair = ahead[:, :-1, :, None] * go * (psi * behind)[:, 1:, None, :]
+    pair /= pair.sum((2, 3), keepdims=True)
+    post[np.arange(len(y))[:, None], np.arange(size), y] -= 1
+    there = np.bincount((y[:, :-1].astype(int) * k + y[:, 1:]).ravel(), minlength=k * k).reshape(k, k)
+    return post, pair.sum((0, 1)) - there
+
+
 def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Crf:
     """Maximum likelihood by stochastic gradients, each weight with its own rate.
 
@@ -128,19 +153,7 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
             flat = np.concatenate([feats[w] for w in kinds])
             owner = np.repeat(np.arange(len(kinds)), sizes)
             scores = np.stack([np.bincount(owner, weight[flat, j], len(kinds)) for j in range(k)], 1)
-            psi = np.exp(scores - scores.max(1, keepdims=True))[back.reshape(x.shape)]
-            go = np.exp(moves - moves.max())
-            ahead, behind = np.empty_like(psi), np.ones_like(psi)
-            ahead[:, 0] = _step(psi[:, 0])
-            for t in range(1, SEQUENCE):
-                ahead[:, t] = _step(psi[:, t] * (ahead[:, t - 1] @ go))
-            for t in range(SEQUENCE - 2, -1, -1):
-                behind[:, t] = _step((psi[:, t + 1] * behind[:, t + 1]) @ go.T)
-            post = _step(ahead * behind)
-            pair = ahead[:, :-1, :, None] * go * (psi * behind)[:, 1:, None, :]
-            pair /= pair.sum((2, 3), keepdims=True)
-            post[np.arange(len(x))[:, None], np.arange(SEQUENCE), y] -= 1
-            grad_m = pair.sum((0, 1)) - np.bincount((y[:, :-1].astype(int) * k + y[:, 1:]).ravel(), minlength=k * k).reshape(k, k)
+            post, grad_m = gradient(scores[back.reshape(x.shape)], moves, y)
             by_word = np.stack([np.bincount(back.ravel(), post[..., j].ravel(), len(kinds)) for j in range(k)], 1)
             used, slot = np.unique(flat, return_inverse=True)
             grad = np.stack([np.bincount(slot, by_word[owner, j], len(used)) for j in range(k)], 1) / len(x)

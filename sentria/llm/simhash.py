@@ -14,10 +14,10 @@ from itertools import product, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import slices, written
+from sentria.llm.common import free_name, slices, text_key, written
 from sentria.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -52,15 +52,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(id, text_key, fp) of every row; fp is the fingerprint as a signed long."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches):
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["id", "text_key", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), text_col)
+    return rows.mapInArrow(run, f"id {id_type}, text_key long, fp long")
 
 
 def linked(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +118,10 @@ def _near_links(distinct: DataFrame, radius: int) -> DataFrame:
     for x in there:
         inside = inside & x.between(0, 16)
     left = tiles.withColumn("step", step).where(inside).select(F.col("cell").alias("from"), F.col("part").alias("from_part"), F.col("fps").alias("left"), code(there).alias("cell"))
-    left = left.join(F.broadcast(full.select("cell")), "cell", "left_semi")
-    pairs = left.join(tiles.select("cell", "part", F.col("fps").alias("right")), "cell")
-    pairs = pairs.where((F.col("from") != F.col("cell")) | (F.col("from_part") <= F.col("part")))
+    # a row for each tile it meets, so that the tiles of a full cell meet in many tasks
+    first = F.when(F.col("from") == F.col("cell"), F.col("from_part")).otherwise(0)
+    left = left.join(F.broadcast(full), "cell").withColumn("part", F.explode(F.sequence(first, (F.col("parts") - 1).cast("int")))).drop("parts")
+    pairs = left.join(tiles.select("cell", "part", F.col("fps").alias("right")), ["cell", "part"])
     pairs = pairs.select("left", "right", ((F.col("from") == F.col("cell")) & (F.col("from_part") == F.col("part"))).alias("same"))
 
     def run(batches):
@@ -134,6 +136,27 @@ def _near_links(distinct: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def lowest(named: DataFrame) -> DataFrame:
+    """(root, first): the (id, text_key) of least rank in each group, null without an id."""
+    return named.groupBy("root").agg(F.min("least").alias("first"))
+
+
+def rank() -> Column:
+    """What a row is ranked by: its id, then its text; null without an id."""
+    return F.when(F.col("id").isNotNull(), F.struct("id", "text_key"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(id, text_key, fp, first) of every row, ``first`` the (id, text_key) of least
+    rank that links of ``radius`` or fewer differing bits reach."""
+    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min(rank()).alias("least")), "distinct")
+    roots = components(_near_links(distinct.select("fp"), radius))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = written(named.join(lowest(named), "root").select("fp", "first"), "named")
+    return fps.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) of every row.
 
@@ -144,21 +167,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a component. An empty table gives an empty result. Other columns are not
     read. Equal fingerprints are grouped before any comparison.
     """
-    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(_near_links(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(named.join(lowest, "root").select("fp", "component_id"), "named")
-    found = fps.join(named, "fp")
-    return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = groups(docs, id_col, text_col, shingle, radius)
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"))
+
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=groups, **kw) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the text of least (id, text_key).
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates, **kw) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest
-    id. An id that occurs on several rows is one document and stays with all its
-    rows; rows without an id stay, since nothing can name their group. ``groups``
-    finds the components."""
+    A text is judged by itself, whatever other texts its id has: one that is like no
+    other stays. The rows of one text under one id are one document, and stay or go
+    together. Rows without an id stay, since nothing can name them. ``groups`` finds
+    the groups: (id, text_key, first) of every row.
+    """
+    id_key, of_text = free_name(docs, "_gone_id"), free_name(docs, "_gone_text")
     found = groups(docs, id_col, text_col, **kw)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    gone = found.where(rank() != F.col("first")).select(F.col("id").alias(id_key), F.col("text_key").alias(of_text)).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col(id_key)) & (text_key(text_col) == F.col(of_text)), "left_anti")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from sentria.llm.jaccard import near_copies
+from sentria.llm.jaccard import groups, near_copies
 from sentria.llm.simhash import representatives
 
 SCHEMA = "doc_id long, text string, key string, root string"
@@ -54,7 +54,7 @@ def test_near_copies_equal_exact_jaccard(spark):
     assert len(found) == len(rows) and got == want
     assert len(links) > 60 and all(got[a] == got[b] for a, b in links if None not in (a, b))  # recall 1
     assert {r.component_id for r in found if r.doc_id is None} == {9005}
-    stay = {r.doc_id for r in representatives(docs, groups=near_copies).collect()}
+    stay = {r.doc_id for r in representatives(docs, groups=groups).collect()}
     assert stay == set(want.values()) | {None}
     assert near_copies(docs.limit(0)).collect() == []
 

@@ -1,6 +1,7 @@
 """Language ID and quality scores: held-out accuracy, and what odd rows give."""
 
 import itertools
+import unicodedata
 from zlib import crc32
 
 import numpy as np
@@ -46,6 +47,111 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
 
 
+def test_only_letters_are_words():
+    assert langid.words("½ ² Ⅷ ① ٣ 5 _ é\u0301") == ["é"] and langid.words("Héllo x²y 日本一 a½") == ["héllo", "x", "y", "日本一", "a"]
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        if unicodedata.category(c)[0] in "LN":
+            assert bool(langid.words(c)) == (unicodedata.category(c)[0] == "L"), c
+
+
+def test_texts_without_letters_are_in_no_language(spark):
+    crf = langid.train(["the house by the garden " * 20, "le jardin de la maison " * 20], ["en", "fr"])
+    rows = [(1, "½ ²"), (2, "Ⅷ"), (3, "① ٣ 7"), (4, "x²")]
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), crf).collect()}
+    assert [out[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and out[4][0] in ("en", "fr")
+
+
+def test_training_follows_the_gradient():
+    """After an epoch every feature speaks for its own language, and languages go on."""
+    texts, labels = ["aa ab ba " * 30, "cc cd dc " * 30], ["x", "y"]
+    crf = langid.train(texts, labels, epochs=1)
+    ids = {w: langid.word_features([w], crf.lexicon)[0] for w in ("aa", "ab", "cc", "dc")}
+    for w, lang in (("aa", 0), ("ab", 0), ("cc", 1), ("dc", 1)):
+        assert (crf.weight[ids[w], lang] > 0).all() and (crf.weight[ids[w], 1 - lang] < 0).all()
+    assert crf.moves[0, 0] > crf.moves[0, 1] and crf.moves[1, 1] > crf.moves[1, 0]
+
+
+def plain_likelihood(psi_scores, moves, y):
+    """Log-probability of one labelling by enumeration."""
+    def total(path):
+        return sum(psi_scores[i][k] for i, k in enumerate(path)) + sum(moves[a][b] for a, b in zip(path, path[1:]))
+
+    every = [total(p) for p in itertools.product(range(len(moves)), repeat=len(psi_scores))]
+    return total(y) - np.log(np.sum(np.exp(every)))
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        scores, moves = rng.standard_normal((1, 5, 3)), rng.standard_normal((3, 3))
+        y = rng.integers(0, 3, (1, 5))
+        grad_e, grad_m = langid.gradient(scores, moves, y)
+        step = 1e-5
+        for t in range(5):
+            for k in range(3):
+                up, down = scores.copy(), scores.copy()
+                up[0, t, k] += step
+                down[0, t, k] -= step
+                want = (plain_likelihood(up[0], moves, y[0]) - plain_likelihood(down[0], moves, y[0])) / (2 * step)
+                assert abs(-grad_e[0, t, k] - want) < 1e-6
+        for a in range(3):
+            for b in range(3):
+                up, down = moves.copy(), moves.copy()
+                up[a, b] += step
+                down[a, b] -= step
+                want = (plain_likelihood(scores[0], up, y[0]) - plain_likelihood(scores[0], down, y[0])) / (2 * step)
+                assert abs(-grad_m[a, b] - want) < 1e-6
+
+
+def plain_quality(model, text):
+    """The score of one text by the definition, feature by feature."""
+    words = (text or "").split()
+    crc = lambda w: crc32(w.encode())
+    bucket = lambda h: int(quality.buckets(np.array([h], np.int64).view(np.uint64), quality.BITS)[0])
+    found = []
+    for w in words:
+        found.append(bucket(crc(w)))
+        for n in quality.NGRAMS:
+            for i in range(len(w) + 2 - n + 1):
+                gram = f"<{w}>"[i : i + n]
+                h = n * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                for c in gram:
+                    h = (h ^ ord(c)) * 0x100000001B3 & (1 << 64) - 1
+                found.append(int(quality.buckets(np.array([h], np.uint64), quality.BITS)[0]))
+    found += [bucket(crc(b) - crc(a)) for a, b in zip(words, words[1:])]
+    logit = model.bias + (sum(model.weight[i] for i in found) / len(found) if found else 0.0)
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.standard_normal(quality.BUCKETS) * 3, 0.2)
+    texts = [None, "", "one", "one one one", "Ünï cödé 日本語 x", " spaced \t out\nlines ", " ".join(f"w{i % 37}" for i in range(500)), "a b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score_texts(df, model).collect()}
+    for i, t in enumerate(texts):
+        want = plain_quality(model, t)
+        assert abs(got[i][0] - want) < 1e-9 and got[i][1] == int(got[i][0] >= 0.7)
+
+
+def test_a_training_step_equals_plain_arithmetic():
+    """One text, one epoch: table, layer and bias after the step, written out."""
+    text, label, rate = "good words here good", 1, 2.0
+    got = quality.train([text], [label], epochs=1, rate=rate, seed=3)
+    rng = np.random.default_rng(3)
+    table = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (quality.BUCKETS, quality.DIM)).astype(np.float32)
+    words = text.split()
+    ids = [*quality.word_features(words)[0].tolist(), *quality.pair_features(np.array([crc32(w.encode()) for w in words], np.int64)).tolist()]
+    mean = [sum(float(table[i, j]) for i in ids) / len(ids) for j in range(quality.DIM)]
+    # the layer is zero at first: both classes have 0.5, and the table does not move
+    off = [0.5, 0.5 - 1]
+    layer = [[-rate * 0.1 * mean[j] * off[c] for c in (0, 1)] for j in range(quality.DIM)]
+    bias = [-rate * 0.02 * off[c] for c in (0, 1)]
+    change = np.array([row[1] - row[0] for row in layer])
+    assert abs(got.bias - (bias[1] - bias[0])) < 1e-6
+    assert np.allclose(got.weight, table.astype(np.float64) @ change, atol=1e-6)
+
+
 def odd(spark):
     rows = [(1, None, "en", 1), (2, "", "en", 1), (3, "123 --- !!", None, 1), (4, "the house " * 100_000, "en", 1), (None, "the house", "en", 1), (5, "the house", "en", 1), (5, "the house", "en", 1)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")

@@ -69,6 +69,49 @@ def test_components_equal_brute_force(spark):
     assert stay == {c for _, _, c in brute(rows)} | {None}
 
 
+def test_texts_that_share_an_id_stay_or_go_by_themselves(spark):
+    text, other = "a text of a few words which others have", "something that nobody else has written down so far"
+    rows = [(3, text), (8, text), (8, other), (8, text), (3, text), (9, None), (9, ""), (None, text), (10, other + " in all")]
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    kept = representatives(docs)
+    assert kept.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    fps = [plain_fingerprint(t) for _, t in rows]
+    assert sorted({bin(fps[2] ^ f).count("1") for f in fps})[:2] > [0, 3]  # no other is near it
+    assert got == sorted([(3, text), (3, text), (8, other), (None, text), (9, None), (10, other + " in all")], key=str)
+
+
+def test_tiles_of_a_full_cell_meet_in_parts(spark, monkeypatch):
+    """A cell of many tiles gives the links that a comparison of all gives."""
+    import sentria.llm.simhash as module
+
+    monkeypatch.setattr(module, "TILE", 4)
+    rng = np.random.default_rng(4)
+    low = [int(sum(1 << int(b) for b in rng.choice(16, 3, replace=False))) for _ in range(150)]
+    fps = sorted({a << 48 | b << 32 | 7 << 16 | 7 for a, b in zip(low, reversed(low))} | {7 << 16 | 6, 7 << 16 | 7, 0})
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    links = {tuple(sorted(map(int, (r.a, r.b)))) for r in module._near_links(df, 3).collect()}
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in links:
+        a, b = (int(np.int64(x).view(np.uint64)) for x in (a, b))
+        root[find(a)] = find(b)
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if bin(a ^ b).count("1") <= 3:
+                assert find(a) == find(b)
+    want = {f: f for f in fps}
+    for _ in fps:
+        for a in fps:
+            want[a] = min(want[b] for b in fps if bin(a ^ b).count("1") <= 3)
+    assert len({find(f) for f in fps}) == len(set(want.values())) < len(fps)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
