@@ -19,15 +19,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sentria.llm.common import slices
-from sentria.llm.wordbpe import WordBpe, word_bpe
+from sentria.llm.wordbpe import OpenChunk, WordBpe, byte_symbols, pieces, word_bpe
 
 #: Chunks of text up to this length are remembered, this many of them per process.
 MEMO_CHARS, MEMO_ENTRIES = 48, 200_000
+#: Characters of a piece of text, about.
+PIECE = 1 << 14
 
 _ID_BITS = 24
 _ID, _NEVER = (1 << _ID_BITS) - 1, 1 << 62
@@ -59,7 +62,7 @@ def lookahead(rules: list[tuple[str, str]]) -> int:
 
 
 class Encoder:
-    """Symbols in, token ids out as soon as they are stable."""
+    """What transducers of one merge list share."""
 
     def __init__(self, bpe: WordBpe, block: int = 1024):
         self.bpe, self.block = bpe, block
@@ -68,68 +71,69 @@ class Encoder:
         self._ranked = {pair: rank << _ID_BITS | merged for pair, (rank, merged) in bpe.merges.items()}
 
     def _settle(self, ids: list[int]) -> list[int]:
-        """The segmentation of a short run of symbols: again and again the lowest
+        """The segmentation of a run of symbols, in place: again and again the lowest
         rank of all adjacent pairs, the leftmost of equals."""
-        ids, found = list(ids), self._ranked.get
-        pairs = [found(p, _NEVER) for p in zip(ids, ids[1:])]
+        found = self._ranked.get
+        pairs = list(map(found, zip(ids, ids[1:]), repeat(_NEVER)))
         while pairs:
             best = min(pairs)
             if best == _NEVER:
                 break
-            i = pairs.index(best)
-            ids[i : i + 2] = [best & _ID]
-            del pairs[i]
+            i, merged = pairs.index(best), best & _ID
+            ids[i] = merged
+            del ids[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = found((ids[i - 1], ids[i]), _NEVER)
+                pairs[i - 1] = found((ids[i - 1], merged), _NEVER)
             if i < len(pairs):
-                pairs[i] = found((ids[i], ids[i + 1]), _NEVER)
+                pairs[i] = found((merged, ids[i + 1]), _NEVER)
         return ids
 
-    def stream(self, symbols: Iterable[int]) -> Iterator[int]:
-        """Token ids of one word; never holds more than block + lookahead symbols."""
-        held: list[int] = []
-        room = self.block + self.lookahead
-        for s in symbols:
-            held.append(s)
-            if len(held) == room:
-                used = 0
-                for t in self._settle(held):
-                    width = self._width(t)
-                    if used + width > self.block:
-                        break
-                    used += width
-                    yield t
-                if used:
-                    del held[:used]
-                else:  # a token longer than the block: wait for more
-                    room += self.block
-                    continue
-                room = self.block + self.lookahead
-        yield from self._settle(held)
-
-    @lru_cache(maxsize=60_000)  # noqa: B019  one encoder per process
-    def _width(self, token: int) -> int:
+    def width(self, token: int) -> int:
+        """How many symbols a token is made of."""
         text = self.bpe.text_of[token]
         return len(text.removesuffix(self.bpe.end) if self.bpe.end else text)
 
-    def _symbols(self, word: bytes) -> Iterator[int]:
-        ids = self.bpe.byte_ids
-        for b in memoryview(word)[:-1]:
-            yield ids[b]
-        yield self.bpe.last_byte_ids[word[-1]]
+    def stream(self, symbols: Iterable[int]) -> Iterator[int]:
+        """Token ids of one word, as soon as they are stable."""
+        t = Transducer(self)
+        for s in symbols:
+            yield from t.push([s])
+        yield from t.end()
 
-    def encode_word(self, word: str) -> list[int]:
-        raw = word.encode("utf-8")
-        if len(raw) <= self.block:
-            return self._settle(self.bpe.symbols(raw))
-        return list(self.stream(self._symbols(raw)))
 
-    def encode_chunk(self, chunk: str) -> list[int]:
+class Transducer:
+    """Symbols in, token ids out as soon as they are stable.
+
+    Between calls fewer than block + lookahead symbols are held, whatever has been
+    read. A word's last symbol bears the end marker and merges with nothing after
+    it, so there all that is held is stable.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        self._held: list[int] = []
+        self._room = encoder.block + encoder.lookahead
+
+    def push(self, symbols: list[int]) -> list[int]:
+        self._held += symbols
         out: list[int] = []
-        for word in self.bpe.words(chunk):
-            out += [word] if isinstance(word, int) else self.encode_word(word)
+        while len(self._held) >= self._room:
+            block, used = self._room - self.encoder.lookahead, 0
+            for t in self.encoder._settle(self._held[: self._room]):
+                width = self.encoder.width(t)
+                if used + width > block:
+                    break
+                used += width
+                out.append(t)
+            # of a token longer than the block nothing is stable yet: wait for more
+            self._room = self.encoder.lookahead + (self.encoder.block if used else block + self.encoder.block)
+            del self._held[:used]
         return out
 
+    def end(self) -> list[int]:
+        held, self._held = self._held, []
+        return self.encoder._settle(held)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -147,30 +151,43 @@ class Decoder:
     """
 
     def __init__(self, bpe: WordBpe, form: str = "surface"):
-        from sentria.llm.wordbpe import byte_symbols
-
         self.bpe, self.form = bpe, form
         self._byte_of = {s: b for b, s in enumerate(byte_symbols())}
+        self._special = frozenset(bpe.special.values())
+        self._whole: dict[int, str] = {}  # what tokens of whole characters spell
         self.reset()
 
     def reset(self) -> None:
         self._first, self._need, self._held = True, 0, bytearray()
 
-    def push(self, token: int) -> str:
-        text = self.bpe.text_of[token]
+    def push(self, *tokens: int) -> str:
+        """What more ids bring."""
+        text_of = self.bpe.text_of
         if self.form == "surface":
-            out = text if self._first else " " + text
-            self._first = False
+            out = " ".join([text_of[t] for t in tokens])
+            if out and not self._first:
+                out = " " + out
+            self._first = self._first and not tokens
             return out
-        if token in self.bpe.special.values():
+        known, out = self._whole, ""
+        for t in tokens:
+            out += (not self._held and known.get(t)) or self._spelled(t)
+        return out
+
+    def _spelled(self, token: int) -> str:
+        """What the machine puts out for one token, byte by byte. Where it rests before
+        and after, that is remembered."""
+        text, rests = self.bpe.text_of[token], not self._held
+        if token in self._special:
             return self.finish() + text
         ends = bool(self.bpe.end) and text.endswith(self.bpe.end)
-        out = []
-        for c in text.removesuffix(self.bpe.end) if ends else text:
-            out.append(self._byte(self._byte_of[c]))
+        found = [self._byte(self._byte_of[c]) for c in (text.removesuffix(self.bpe.end) if ends else text)]
         if ends:
-            out += [self.finish(), " "]
-        return "".join(out)
+            found += [self.finish(), " "]
+        out = "".join(found)
+        if rests and not self._held:
+            self._whole[token] = out
+        return out
 
     def _byte(self, b: int) -> str:
         """One step of the byte machine: ``_need`` bytes are still missing."""
@@ -199,54 +216,118 @@ class Decoder:
         return out
 
 
+#: What comes out for a stretch of text: ids joined by a space, their two decodings,
+#: and how many ids there are.
+Made = tuple[str, str, str, int]
+
+
 class Codec:
-    """Whole texts, with a bounded memory of chunks already seen."""
+    """Texts of any length through the transducer and the two decoders.
 
-    def __init__(self, path: str):
-        self.bpe = word_bpe(path)
-        self.encoder, self.decoder = encoder(path), Decoder(self.bpe)
-        self._memo: dict[str, tuple[str, str, int]] = {}
-        self._words: dict[str, tuple[str, str, int]] = {}
+    A text is read in pieces, and what they give goes on at once. Between chunks
+    without white space between them the machines are at rest, so the outputs for a
+    bounded number of short chunks and words are remembered.
+    """
 
-    def _made(self, ids: list[int]) -> tuple[str, str, int]:
-        self.decoder.reset()
-        return " ".join(map(str, ids)), "".join(map(self.decoder.push, ids)), len(ids)
+    def __init__(self, path: str, size: int = PIECE):
+        self.bpe, self.size = word_bpe(path), size
+        self.encoder = encoder(path)
+        self.transducer = Transducer(self.encoder)
+        self.surface, self.plain = Decoder(self.bpe), Decoder(self.bpe, "plain")
+        self._memo: dict[str, Made] = {}
+        self._words: dict[str, Made] = {}
+
+    def _made(self, ids: list[int]) -> Made:
+        """The decoders' next output; what parts it from the output before is left out."""
+        self.surface.reset()
+        return " ".join(map(str, ids)), self.surface.push(*ids), self.plain.push(*ids), len(ids)
+
+    def _ids(self, word: str, ends: bool) -> list[int]:
+        """What is stable after more characters of a word."""
+        raw = word.encode("utf-8")
+        if ends:
+            return self.transducer.push(self.bpe.symbols(raw)) + self.transducer.end()
+        return self.transducer.push([self.bpe.byte_ids[b] for b in raw])
 
-    def _word(self, word: str | int) -> tuple[str, str, int]:
+    def _word(self, word: str | int) -> Made:
         if isinstance(word, int):
             return self._made([word])
         out = self._words.get(word)
         if out is None:
-            out = self._made(self.encoder.encode_word(word))
+            out = self._made(self._ids(word, True))
             if len(word) <= MEMO_CHARS:
                 if len(self._words) >= MEMO_ENTRIES:
                     self._words.clear()
                 self._words[word] = out
         return out
 
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
+    def _chunk(self, chunk: str) -> Made:
         parts = [self._word(w) for w in self.bpe.words(chunk)]
-        out = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
+        out = parts[0] if len(parts) == 1 else _together(parts)
         if len(chunk) <= MEMO_CHARS:
             if len(self._memo) >= MEMO_ENTRIES:
                 self._memo.clear()
             self._memo[chunk] = out
         return out
 
-    def both(self, text: str) -> tuple[str, str, int]:
-        """(ids joined by a space, decoded text, number of ids)."""
+    def stream(self, text: str) -> Iterator[Made]:
+        """The output for ``text``, stretch by stretch, each as soon as it is stable."""
         known, make = self._memo.get, self._chunk
-        parts = [known(c) or make(c) for c in self.bpe.chunks(text)]
-        return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+        chunk: OpenChunk | None = None  # one that the last piece left unfinished
+        for piece, closed in pieces(text, self.size):
+            found = self.bpe.chunks(piece)
+            if chunk:
+                # the piece goes on where the last one was cut, unless white space comes first
+                goes_on = bool(found) and piece.startswith(found[0])
+                last = closed or not goes_on or len(found) > 1
+                yield from self._open(chunk, found.pop(0) if goes_on else "", last)
+                chunk = None if last else chunk
+            if not closed and found and chunk is None and piece.endswith(found[-1]):
+                opened = found.pop()
+                if found:
+                    yield _together([known(c) or make(c) for c in found])
+                chunk = OpenChunk(self.bpe)
+                yield from self._open(chunk, opened, False)
+            elif found:
+                yield _together([known(c) or make(c) for c in found])
+
+    def _open(self, chunk: OpenChunk, characters: str, closes: bool) -> Iterator[Made]:
+        for word in chunk.feed(characters, closes):
+            ids = [word] if isinstance(word, int) else self._ids(*word)
+            if ids:
+                yield self._made(ids)
 
+    def both(self, text: str) -> tuple[str, str, int]:
+        """(ids joined by a space, decoded text, number of ids) of a text that fits in memory."""
+        ids, surface, _, n = _together(list(self.stream(text)))
+        return ids, surface, n
+
+    def digests(self, text: str) -> tuple[int, str, str, str]:
+        """(number of ids, SHA-256 of the ids, of the decoded text, of the plain text),
+        without ever holding any of the three whole."""
+        n, hashes = 0, [hashlib.sha256() for _ in range(3)]
+        for made in self.stream(text):
+            for k, h in enumerate(hashes):
+                if n and k < 2:
+                    h.update(b" ")
+                h.update(made[k].encode())
+            n += made[3]
+        return n, *(h.hexdigest() for h in hashes)
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """Each text's token count and the SHA-256 of its ids and of their decoding.
 
-    One row per input row, in one pass without a shuffle. ``texts``: also ``ids``
-    (array) and ``decoded``. A null text counts as empty: no ids, empty decoding.
-    Special strings inside a text become special ids, as in the library. Rows with
-    a null or repeated id come out as they are; other columns are not read.
+def _together(parts: list[Made]) -> Made:
+    return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), "".join([p[2] for p in parts]), sum([p[3] for p in parts])
+
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+    """Each text's token count and the SHA-256 of its ids and of their decodings.
+
+    ``decoded_sha256``: the tokens as the library shows them; ``plain_sha256``: the
+    text that their bytes spell, a space after every word. One row per input row, in
+    one pass without a shuffle. ``texts``: also ``ids`` (array) and ``decoded``. A
+    null text counts as empty: no ids, empty decoding. Special strings inside a text
+    become special ids, as in the library. Rows with a null or repeated id come out
+    as they are; other columns are not read.
     """
     extra = [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if texts else []
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -254,18 +335,18 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         c = Codec(path)
         for batch in slices(batches):
-            n, ids, decoded, kept = [], [], [], []
-            for text in batch.column(1):
-                i, d, k = c.both(text.as_py() or "")
-                n.append(k)
-                ids.append(hashlib.sha256(i.encode()).hexdigest())
-                decoded.append(hashlib.sha256(d.encode()).hexdigest())
+            rows, kept = [], []
+            for cell in batch.column(1):
+                text = cell.as_py() or ""
+                rows.append(c.digests(text))
                 if texts:
-                    kept.append(([int(x) for x in i.split()], d))
+                    ids, decoded, _ = c.both(text)
+                    kept.append(([int(x) for x in ids.split()], decoded))
+            n, ids, decoded, plain = zip(*rows) if rows else [()] * 4
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())] + [pa.array([k[j] for k in kept], t) for j, (_, t) in enumerate(extra)],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + [name for name, _ in extra],
+                [batch.column(0), pa.array(n, pa.int64())] + [pa.array(d, pa.string()) for d in (ids, decoded, plain)] + [pa.array([k[j] for k in kept], t) for j, (_, t) in enumerate(extra)],
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "plain_sha256"] + [name for name, _ in extra],
             )
 
-    schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
+    schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, plain_sha256 string" + (", ids array<int>, decoded string" if texts else "")
     return docs.select(id_col, text_col).mapInArrow(run, schema)

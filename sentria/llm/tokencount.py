@@ -5,12 +5,12 @@ Count = initial symbols - merges. No token id is put out; ids only name symbols.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sentria.llm.common import slices
 from sentria.llm.wordbpe import WordBpe, word_bpe
 
 #: Chunks of text up to this length are remembered, this many of them per process.
@@ -83,11 +83,6 @@ class Counter:
         return sum([known(c) or make(c) for c in self.bpe.chunks(text)])
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(word_bpe(path))
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of each text, and whether it has over ``limit`` tokens.
 
@@ -99,8 +94,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        c = counter(path)
-        for batch in batches:
+        c = Counter(word_bpe(path))  # what is remembered of texts goes with the task
+        for batch in slices(batches):
             sizes, counts = [], []
             for cell in batch.column(1):
                 text = cell.as_py() or ""

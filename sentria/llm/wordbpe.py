@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import regex
@@ -70,6 +71,7 @@ class WordBpe:
         self.last_byte_ids = [self.ids[s + self.end] for s in symbols]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACE)
         self._words = regex.compile(split)
+        self._other = regex.compile(split.rpartition("|")[2])
         self._newer, strange, self._lower = late_characters()
         if strange:
             for kind in ("\\p{L}", "\\p{N}"):
@@ -83,19 +85,27 @@ class WordBpe:
             return [c for c in _SPACES.split(text) if c]
         return text.split()
 
+    def _clean(self, part: str) -> tuple[str, regex.Pattern]:
+        """A part without special strings as the pattern sees it, and the pattern."""
+        if part.isascii():
+            return part.lower(), self._words
+        late = not self._newer.isdisjoint(part)
+        lower = self._lower if late else {}
+        # character by character: the library knows no final sigma
+        clean = "".join([lower.get(c) or c.lower() for c in unicodedata.normalize("NFC", part)])
+        return clean, self._late_words if late else self._words
+
     def words(self, chunk: str) -> list:
         """The words of a chunk, or the ids of special strings among them."""
         if chunk.isascii() and "<|" not in chunk:
             return self._words.findall(chunk.lower())
-        late = not self._newer.isdisjoint(chunk)
-        split, lower = (self._late_words, self._lower) if late else (self._words, {})
         out = []
         for i, part in enumerate(self._special.split(chunk)):
             if i % 2:
                 out.append(self.special[part])
             elif part:
-                # character by character: the library knows no final sigma
-                out += split.findall("".join([lower.get(c) or c.lower() for c in unicodedata.normalize("NFC", part)]))
+                clean, split = self._clean(part)
+                out += split.findall(clean)
         return out
 
     def symbols(self, word: bytes) -> list[int]:
@@ -105,6 +115,84 @@ class WordBpe:
         return out
 
 
+@lru_cache(maxsize=1)
+def _joiners() -> frozenset[str]:
+    """Characters that may become one with what stands before them under NFC."""
+    every = [c for c in map(chr, range(0x80, 0x110000)) if not "\ud800" <= c <= "\udfff"]
+    parts = (unicodedata.decomposition(c) for c in every)
+    seconds = {chr(int(p.split()[1], 16)) for p in parts if p and p[0] != "<" and " " in p}
+    jamo = set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+    return frozenset(seconds | jamo | {c for c in every if unicodedata.combining(c)})
+
+
+class OpenChunk:
+    """The words of a run of text without white space that comes in pieces.
+
+    ``feed`` gives (characters, whether the word ends with them) and ids of special
+    strings, as soon as what follows cannot change them. It holds back what a later
+    piece could: characters that may still be composed or begin a special string,
+    and the last few characters, which may be a longer word's.
+    """
+
+    #: Of a word that may go on, so many characters are held at most; no alternative
+    #: of the pattern but a run of one kind is longer than REACH.
+    HELD, REACH = 64, 3
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe = bpe
+        self._longest = max(map(len, bpe.special), default=0)
+        self._raw, self._clean, self._other = "", "", False
+
+    def feed(self, piece: str, closes: bool) -> Iterator[tuple[str, bool] | int]:
+        raw, cut = self._raw + piece, 0
+        if closes:
+            cut = len(raw)
+        else:
+            joiners = _joiners()
+            cut = next((k for k in range(len(raw) - self._longest, 0, -1) if raw[k] not in joiners), 0)
+        at = 0
+        for m in self.bpe._special.finditer(raw):
+            if m.start() >= cut:
+                break
+            yield from self._part(raw[at : m.start()], True)
+            yield self.bpe.special[m[0]]
+            at = m.end()
+        cut = max(cut, at)
+        yield from self._part(raw[at:cut], closes)
+        self._raw = raw[cut:]
+
+    def _part(self, part: str, closes: bool) -> Iterator[tuple[str, bool]]:
+        clean, split = self.bpe._clean(part)
+        clean, at = self._clean + clean, 0
+        while at < len(clean):
+            m = (self.bpe._other if self._other else split).match(clean, at)
+            if m is None:  # not of any word
+                at += 1
+                continue
+            if not closes and m.end() > len(clean) - self.REACH:
+                if m.end() - at > self.HELD:
+                    self._other = self.bpe._other.fullmatch(m[0]) is not None
+                    yield m[0][:-1], False
+                    at = m.end() - 1
+                break
+            yield m[0], True
+            self._other = False
+            at = m.end()
+        self._clean = clean[at:]
+
+
+def pieces(text: str, size: int) -> Iterator[tuple[str, bool]]:
+    """``text`` in pieces of at most twice ``size``, and whether each ends at white
+    space or with the text."""
+    at = 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        gap = _SPACES.search(text, end, end + size) if end < len(text) else None
+        end = gap.start() if gap else end
+        yield text[at:end], gap is not None or end == len(text)
+        at = end
+
+
 @lru_cache(maxsize=4)
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
