@@ -10,6 +10,11 @@ a set of LIKE patterns: the best score is one CASE, tested from the top down.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +137,28 @@ def split_filter_columns(query: Column, sentence: Column) -> Column:
     """``split_filter`` for a query that is a column."""
     half = (F.length(query) / 2).cast("int")
     return (half == 0) | F.contains(sentence, F.substring(query, F.lit(1), half)) | F.contains(sentence, F.substring(query, half + 1, F.length(query)))
+
+
+@lru_cache(maxsize=10_000)
+def _tests(query: str) -> list[tuple[int, re.Pattern]]:
+    """The patterns of a query as one regular expression for each score, best first."""
+    likes = {score: [p.strip("%") for p in found] for score, found in patterns(query).items()}
+    return [(score, re.compile("|".join(".".join(map(re.escape, p.split("_"))) for p in found), re.DOTALL)) for score, found in likes.items()]
+
+
+def score_pair(query: str, sentence: str) -> int | None:
+    """The score of one query and one sentence, both normalised."""
+    if not query or not sentence:
+        return None
+    return next((score for score, test in _tests(query) if test.search(sentence)), None)
+
+
+def pair_score() -> Callable[..., Column]:
+    """``score_pair`` over two columns. A query's patterns are compiled once for all
+    the sentences of a task; LIKE with patterns from a column compiles them for every row."""
+
+    @F.pandas_udf("int")
+    def score(query: pd.Series, sentence: pd.Series) -> pd.Series:
+        return pd.Series([score_pair(q, s) for q, s in zip(query, sentence)], dtype="Int32")
+
+    return score

@@ -7,37 +7,40 @@ import string
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: The ASCII punctuation that counts as space, and all Unicode white
-#: space (a Java pattern's \s is ASCII only).
+#: The ASCII punctuation that counts as space (\p{Punct} in a Java
+#: pattern), and all Unicode white space (\s is ASCII only there).
 PUNCTUATION = string.punctuation
-WHITE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITE = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 LINE_END = r"\r\n|\r|\n"
 
 
 def normalize(text: Column | str) -> Column:
     """Lower case, punctuation as spaces, single spaces, none at the ends."""
     text = F.col(text) if isinstance(text, str) else text
-    spaced = F.translate(F.lower(text), PUNCTUATION, " " * len(PUNCTUATION))
-    return F.trim(F.regexp_replace(spaced, f"{WHITE}+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), f"[{WHITE}\\p{{Punct}}]+", " "))
 
 
 def normalize_query(spark: SparkSession, text: str) -> str:
-    """``normalize`` of one string, by the engine that normalises the corpus. The
-    optimizer folds a local relation, so no job runs."""
-    return spark.createDataFrame([(text,)], "text string").select(normalize("text")).head()[0]
+    """``normalize`` of one string, by the engine that normalises the corpus. A
+    literal over a local relation folds in the optimizer, so no job runs."""
+    return spark.sql("VALUES (1)").select(normalize(F.lit(text))).collect()[0][0]
 
 
 def is_blank(line: Column | str) -> Column:
     """Nothing but white space; punctuation counts as text here."""
-    return F.regexp_replace(line, WHITE, "") == ""
+    return ~F.rlike(F.col(line) if isinstance(line, str) else line, F.lit(f"[^{WHITE}]"))
 
 
 def trigrams(text: Column | str) -> Column:
     """The distinct three-character windows, spaces included; none if too short."""
+    return windows(text, 3)
+
+
+def windows(text: Column | str, size: int) -> Column:
+    """The distinct windows of ``size`` characters: one pass over the text, a look
+    ahead at every character."""
     text = F.col(text) if isinstance(text, str) else text
-    places = F.sequence(F.lit(1), F.length(text) - 2)  # would count down if it were empty
-    windows = F.transform(places, lambda i: F.substring(text, i, F.lit(3)))
-    return F.when(F.length(text) >= 3, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)))
 
 
 def query_trigrams(query: str) -> list[str]:

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentria.functions.scoring import best_match, best_match_columns, split_filter, split_filter_columns
-from sentria.functions.text import normalize, normalize_query, query_trigrams, trigrams
-from sentria.operators.index import DAMAGE, candidates
+from sentria.functions.scoring import best_match, pair_score, split_filter, split_filter_columns, substitution_score
+from sentria.functions.text import normalize, normalize_query, query_trigrams, trigrams, windows
+from sentria.operators.index import DAMAGE, posting_sizes, rarest
+from sentria.session import ship_code
+from sentria.shared import written
 
 LIMIT = 5
-#: Queries with at most three trigrams that one pass over the corpus scores.
-BLOCK = 64
+#: The index serves a query whose rarest trigrams are in less than this share of the
+#: sentences; for a commoner one a scan of the sentences reads less.
+SHARE = 0.25
+#: Queries, or trigrams of queries, that may be named in a plan; more are joined.
+LISTED = 1000
 #: Best first; equal scores by the sentence as written, then by where it stands.
 ORDER = (F.desc, "score"), (F.asc, "completed_sentence"), (F.asc, "source_text"), (F.asc, "offset")
 
@@ -24,38 +31,52 @@ def _result(scored: DataFrame, *keep: str) -> DataFrame:
     return scored.where("score IS NOT NULL").select(*keep, F.col("original_sentence").alias("completed_sentence"), "source_text", "offset", "score")
 
 
-def complete(sentences: DataFrame, prefix: str, k: int = LIMIT, exact_first: bool = False) -> DataFrame:
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    return _result(scored).orderBy(*_order()).limit(k)
+
+
+def complete(sentences: DataFrame, prefix: str, k: int = LIMIT, exact_first: bool = True) -> DataFrame:
     """(completed_sentence, source_text, offset, score) of the ``k`` best sentences.
 
-    One scan: the cheap split test, then the CASE of scores, then a top-k that never
-    sorts the corpus. An empty query has no completions. ``exact_first`` looks for
-    ``k`` exact matches before anything else, which is right since nothing scores
-    higher, and worth a scan of its own only where they are common.
+    Exact matches score highest, so they are looked for first: if there are ``k``
+    the best of them are the answer, and a common query costs one scan for a plain
+    substring. Otherwise, or without ``exact_first``, the cheap split test prunes,
+    the CASE of scores follows, and a top-k that never sorts the corpus ends it. An
+    empty query has no completions.
     """
-    query = normalize_query(sentences.sparkSession, prefix)
-    if exact_first and query:
-        exact = _result(sentences.withColumn("score", best_match(query, kinds=("exact",)))).orderBy(*_order()).limit(k)
-        if len(exact.take(k)) == k:
-            return exact
+    spark = sentences.sparkSession
+    query = normalize_query(spark, prefix)
     if not query:
-        return _result(sentences.where(F.lit(False)).withColumn("score", F.lit(None).cast("int")))
-    scored = sentences.where(split_filter(query)).withColumn("score", best_match(query))
-    return _result(scored).orderBy(*_order()).limit(k)
+        return _best(sentences.where(F.lit(False)).withColumn("score", F.lit(None).cast("int")), k)
+    if exact_first:
+        exact = _best(sentences.withColumn("score", best_match(query, kinds=("exact",))), k)
+        found = exact.collect()  # k rows
+        if len(found) == k:
+            return spark.createDataFrame(found, exact.schema)
+    return _best(sentences.where(split_filter(query)).withColumn("score", best_match(query)), k)
 
 
-def complete_indexed(sentences: DataFrame, posts: DataFrame, prefix: str, *key: str, k: int = LIMIT) -> DataFrame:
-    """The same through the trigram index.
+def complete_indexed(sentences: DataFrame, posts: DataFrame, prefix: str, *key: str, k: int = LIMIT, sizes: DataFrame | None = None, share: float = SHARE) -> DataFrame:
+    """The same through the trigram index; ``sizes`` are its posting sizes, if stored.
 
-    The score refers to the candidate's count of shared trigrams. Otherwise the
+    An edit damages at most three trigrams, so a sentence that matches has one of the
+    query's four rarest, and only those postings are read. A query with no more than
+    three trigrams could match anywhere, and one whose rarest are common would meet
+    much of the corpus by way of the join: both are scanned for instead.
+
+    The score refers to how many of the postings a candidate has. Otherwise the
     optimizer would move ``score IS NOT NULL`` below the join and score every
     sentence.
     """
     query = normalize_query(sentences.sparkSession, prefix)
-    found = candidates(sentences, posts, query, *key)
-    score = best_match(query)
-    if len(query_trigrams(query)) > DAMAGE:
-        score = F.when(F.col("shared") >= len(query_trigrams(query)) - DAMAGE, score)
-    return _result(found.withColumn("score", score)).orderBy(*_order()).limit(k)
+    if len(query_trigrams(query)) <= DAMAGE:
+        return complete(sentences, prefix, k)
+    probes = rarest(posting_sizes(posts) if sizes is None else sizes, query)
+    if sum(probes.values()) >= share * sentences.count():
+        return complete(sentences, prefix, k)
+    hits = posts.where(F.col("trigram").isin(list(probes))).groupBy(*key).agg(F.count("*").alias("shared"))
+    score = F.when((F.col("shared") >= 1) & split_filter(query), best_match(query))
+    return _best(sentences.join(hits, list(key)).withColumn("score", score), k)
 
 
 def top_k(results: DataFrame, *by: str, k: int = LIMIT) -> DataFrame:
@@ -65,44 +86,87 @@ def top_k(results: DataFrame, *by: str, k: int = LIMIT) -> DataFrame:
     return results.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def complete_batch(sentences: DataFrame, posts: DataFrame, queries: DataFrame, *key: str, k: int = LIMIT, id_col: str = "query_id", text_col: str = "prefix") -> DataFrame:
+def complete_batch(sentences: DataFrame, posts: DataFrame, queries: DataFrame, *key: str, k: int = LIMIT, id_col: str = "query_id", text_col: str = "prefix", sizes: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, completed_sentence, source_text, offset, score) of the ``k``
     best sentences of every query of a table.
 
-    An edit damages at most three trigrams, so a sentence that matches has at least
-    one of a query's four rarest: those alone are looked up, and what they find is
-    tested and scored. Queries with at most three trigrams could match anywhere;
-    they are scored in blocks, a pass over the corpus for each block.
+    Each different text is answered once; of the texts no more than ``LISTED`` come
+    to the driver, whatever their number. Exact matches come first: those of a query are
+    among the postings of its rarest trigram, or for one or two characters among
+    the sentences' own windows. Only queries with fewer than ``k`` of them are then
+    matched with an edit: among the postings of their four rarest trigrams or, with
+    no more than three, among the sentences that have one half of the query.
     """
+    ship_code(sentences.sparkSession)
     asked = queries.select(F.col(id_col).alias("query_id"), normalize(text_col).alias("query")).where("query <> ''")
-    asked = asked.withColumn("grams", trigrams("query"))
-    return top_k(_long(sentences, posts, asked.where(F.size("grams") > DAMAGE), *key).unionByName(_short(sentences, asked.where(F.size("grams") <= DAMAGE))), "query_id", k=k).select(
-        "query_id", "rank", "completed_sentence", "source_text", "offset", "score"
-    )
-
-
-def _long(sentences: DataFrame, posts: DataFrame, asked: DataFrame, *key: str) -> DataFrame:
-    grams = asked.select("query_id", F.explode("grams").alias("trigram"))
-    sizes = posts.join(grams.select("trigram").distinct(), "trigram", "left_semi").groupBy("trigram").agg(F.count("*").alias("n"))
-    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "trigram"))
-    probes = grams.join(sizes, "trigram", "left").fillna(0, ["n"]).withColumn("place", rarest).where(F.col("place") <= DAMAGE + 1)
-    pairs = probes.select("query_id", "trigram").join(posts, "trigram").select("query_id", *key).distinct()
-    met = pairs.join(sentences, list(key)).join(asked.select("query_id", "query"), "query_id")
-    query, sentence = F.col("query"), F.col("normalized_sentence")
-    return _result(met.where(split_filter_columns(query, sentence)).withColumn("score", best_match_columns(query, sentence)), "query_id")
-
-
-def _short(sentences: DataFrame, asked: DataFrame) -> DataFrame:
-    rows = sorted(asked.select("query_id", "query").collect(), key=lambda r: r.query)
-    id_type = asked.schema["query_id"].dataType
-    out = None
-    for at in range(0, max(1, len(rows)), BLOCK):
-        scores = [F.struct(F.lit(r.query_id).cast(id_type).alias("query_id"), best_match(r.query).alias("score")) for r in rows[at : at + BLOCK]]
-        none = F.array().cast(f"array<struct<query_id:{id_type.simpleString()},score:int>>")
-        hits = F.filter(F.array(*scores), lambda x: x["score"].isNotNull()) if scores else none
-        found = _result(sentences.withColumn("hit", F.explode(hits)).select("*", "hit.query_id", "hit.score"), "query_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    texts = asked.select("query").distinct()
+    sizes = posting_sizes(posts) if sizes is None else sizes
+    exact = written(top_k(_exact(sentences, posts, sizes, texts, *key), "query", k=k), "exact")
+    done = exact.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query")
+    rest = texts.join(done, "query", "left_anti")
+    found = exact.join(done, "query", "left_semi").unionByName(top_k(_edited(sentences, posts, sizes, rest, k, *key), "query", k=k))
+    return asked.join(found, "query").select("query_id", "rank", "completed_sentence", "source_text", "offset", "score")
+
+
+def _probed(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, n: int, *key: str) -> DataFrame:
+    """Each query beside the sentences among the postings of its ``n`` rarest trigrams."""
+    grams = texts.select("query", F.explode(trigrams("query")).alias("trigram"))
+    order = F.row_number().over(Window.partitionBy("query").orderBy("postings", "trigram"))
+    probes = grams.join(sizes, "trigram", "left").fillna(0, ["postings"]).withColumn("place", order).where(F.col("place") <= n).select("query", "trigram")
+    few = [r.trigram for r in probes.select("trigram").distinct().limit(LISTED + 1).collect()]
+    if len(few) <= LISTED:  # named in the scan, they are few row groups of the postings
+        posts = posts.where(F.col("trigram").isin(few))
+    return probes.join(posts, "trigram").select("query", *key).distinct().join(sentences, list(key))
+
+
+def _holding(sentences: DataFrame, texts: DataFrame, parts: Callable[[str], list[str]], *key: str) -> DataFrame:
+    """Each query beside the sentences that hold one of its parts, short as they are.
+
+    A few queries are looked for in one pass over the sentences; many are joined to
+    the windows of the sentences.
+    """
+    few = [r.query for r in texts.limit(LISTED + 1).collect()]
+    if not few:
+        return sentences.where(F.lit(False)).withColumn("query", F.lit(""))
+    if len(few) <= LISTED:
+        held = F.array(*(F.struct(F.lit(q).alias("query"), F.array(*map(F.lit, parts(q))).alias("parts")) for q in few))
+        hit = F.filter(held, lambda x: F.exists(x["parts"], lambda part: F.contains("normalized_sentence", part)))
+        return sentences.withColumn("hit", F.explode(hit)).withColumn("query", F.col("hit.query")).drop("hit")
+    of_query = F.udf(parts, "array<string>")("query")
+    parted = texts.select("query", F.explode(of_query).alias("part"))
+    lengths = [r[0] for r in parted.select(F.length("part")).distinct().collect()]
+    every = F.flatten(F.array(*(windows("normalized_sentence", m) for m in sorted(lengths))))
+    return sentences.select(F.explode(every).alias("part"), *key).join(parted, "part").select("query", *key).distinct().join(sentences, list(key))
+
+
+def _whole(query: str) -> list[str]:
+    return [query]
+
+
+def _halves(query: str) -> list[str]:
+    """One edit spares one half. Of a single character, which any other may replace, itself."""
+    half = len(query) // 2
+    return sorted({query[:half], query[half:]} - {""})
+
+
+def _exact(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, *key: str) -> DataFrame:
+    n = F.length("query")
+    met = _probed(sentences, posts, sizes, texts.where(n >= 3), 1, *key).where(F.contains("normalized_sentence", "query"))
+    met = met.unionByName(_holding(sentences, texts.where(n < 3), _whole, *key).select(*met.columns))
+    return _result(met.withColumn("score", (2 * n).cast("int")), "query")
+
+
+def _edited(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, *key: str) -> DataFrame:
+    many = F.size(trigrams("query")) > DAMAGE
+    met = _probed(sentences, posts, sizes, texts.where(many), DAMAGE + 1, *key).where(split_filter_columns(F.col("query"), F.col("normalized_sentence")))
+    met = met.unionByName(_holding(sentences, texts.where(~many), _halves, *key).select(*met.columns))
+    scored = _result(met.withColumn("score", pair_score()("query", "normalized_sentence")), "query")
+    # a single character matches every other sentence by a change: its score is the
+    # same for all, so the first k will do
+    first = sentences.where("normalized_sentence <> ''").orderBy("original_sentence", "source_text", "offset")
+    one = texts.where(F.length("query") == 1).withColumn("one", F.lit(1))
+    changed = first.limit(2 * k).withColumn("one", F.lit(1)).join(one, "one").where(~F.contains("normalized_sentence", "query"))
+    return scored.unionByName(_result(changed.withColumn("score", substitution_score(1, 1).cast("int")), "query"))
 
 
 def sessions(lines: DataFrame, session: str, order: str, text: str = "line") -> DataFrame:

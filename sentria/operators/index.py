@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.functions.text import normalize_query, query_trigrams, trigrams
+from sentria.shared import delete, listed, qualified, size_of, write_at
 
 #: One edit damages this many trigrams of a query at most.
 DAMAGE = 3
+#: Bytes of a row group of postings: a trigram is read with what little stands around it.
+ROW_GROUP = 1 << 20
 
 
 def postings(sentences: DataFrame, *key: str) -> DataFrame:
@@ -37,45 +42,83 @@ def candidates(sentences: DataFrame, posts: DataFrame, query: str, *key: str) ->
     return sentences.join(hits.where(F.col("shared") >= len(grams) - DAMAGE), list(key))
 
 
+def rarest(sizes: DataFrame, query: str, n: int = DAMAGE + 1) -> dict[str, int]:
+    """The ``n`` trigrams of a query that fewest sentences have, and how many have them.
+
+    ``sizes``: (trigram, postings). No more rows come to the driver than the query
+    has trigrams.
+    """
+    grams = query_trigrams(query)
+    known = {r.trigram: r.postings for r in sizes.where(F.col("trigram").isin(grams)).collect()}
+    return {g: known.get(g, 0) for g in sorted(grams, key=lambda g: (known.get(g, 0), g))[:n]}
+
+
 def statistics(sentences: DataFrame, posts: DataFrame) -> DataFrame:
     """One row: record_count, distinct_trigrams, total_postings."""
+    return _statistics(sentences, posting_sizes(posts))
+
+
+def _statistics(sentences: DataFrame, sizes: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
-    sizes = posting_sizes(posts).agg(F.count("*").alias("distinct_trigrams"), F.coalesce(F.sum("postings"), none).alias("total_postings"))
+    counted = sizes.agg(F.count("*").alias("distinct_trigrams"), F.coalesce(F.sum("postings"), none).alias("total_postings"))
     counts = sentences.agg(F.count("*").alias("record_count"), none.alias("distinct_trigrams"), none.alias("total_postings"))
-    both = counts.unionByName(sizes.withColumn("record_count", none))
+    both = counts.unionByName(counted.withColumn("record_count", none))
     return both.agg(*(F.sum(c).alias(c) for c in counts.columns))
 
 
 class SentenceIndex:
-    """Sentences and postings stored once and used by every query after."""
+    """Sentences, postings and posting sizes, stored once and used by every query after."""
 
     KEY = "sentence_id"
 
-    def __init__(self, sentences: DataFrame, posts: DataFrame):
-        self.sentences, self.postings = sentences, posts
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path
+        self.sentences, self.postings, self.sizes, self._stats = (spark.read.parquet(f"{path}/{t}") for t in ("sentences", "postings", "sizes", "stats"))
 
     @classmethod
     def build(cls, spark: SparkSession, sentences: DataFrame, path: str) -> SentenceIndex:
-        """Write ``path/sentences`` and ``path/postings``.
+        """Write a new version of the index below ``path``.
 
         Sentences are stored with the ids they were given, and postings are made
         from the stored table, so the two agree whatever is run again. Postings
-        are sorted by trigram: a query's trigrams are few row groups of few files.
+        are sorted by trigram: a query's trigrams are few row groups of each file.
+        Statistics come last and make the version the current one; whoever has
+        opened the version before keeps it, those before that are deleted.
         """
-        numbered = sentences.withColumn(cls.KEY, F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").parquet(f"{path}/sentences")
-        stored = spark.read.parquet(f"{path}/sentences")
-        posts = postings(stored, cls.KEY).repartitionByRange("trigram", cls.KEY).sortWithinPartitions("trigram", cls.KEY)
-        posts.write.mode("overwrite").parquet(f"{path}/postings")
-        return cls.open(spark, path)
+        began, path = time.perf_counter(), qualified(spark, path)
+        older = cls._versions(spark, path)
+        now = f"{path}/version={time.time_ns():020d}"
+        # a source of few large files would keep all later work in as few tasks
+        tasks = spark.sparkContext.defaultParallelism
+        if sentences.rdd.getNumPartitions() < tasks:
+            sentences = sentences.repartition(tasks)
+        stored = write_at(sentences.withColumn(cls.KEY, F.monotonically_increasing_id()), f"{now}/sentences")
+        # partitions of one size whatever the trigrams: a common one may fill several
+        posts = postings(stored, cls.KEY).hint("rebalance", "trigram").sortWithinPartitions("trigram", cls.KEY)
+        posts = write_at(posts, f"{now}/postings", **{"parquet.block.size": ROW_GROUP})
+        sizes = write_at(posting_sizes(posts).coalesce(1).sortWithinPartitions("trigram"), f"{now}/sizes")
+        stats = _statistics(stored, sizes).withColumn("build_seconds", F.lit(time.perf_counter() - began)).withColumn("index_bytes", F.lit(size_of(spark, now)))
+        write_at(stats, f"{now}/stats")
+        for version in older[:-1]:
+            delete(spark, version)
+        return cls(spark, now)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> SentenceIndex:
-        return cls(spark.read.parquet(f"{path}/sentences"), spark.read.parquet(f"{path}/postings"))
+        versions = cls._versions(spark, path)
+        if not versions:
+            raise FileNotFoundError(f"No index below {path}")
+        return cls(spark, versions[-1])
+
+    @staticmethod
+    def _versions(spark: SparkSession, path: str) -> list[str]:
+        return [found.removesuffix("/stats/_SUCCESS") for found in listed(spark, f"{path}/version=*/stats/_SUCCESS")]
 
     def candidates(self, prefix: str) -> DataFrame:
         query = normalize_query(self.sentences.sparkSession, prefix)
         return candidates(self.sentences, self.postings, query, self.KEY).drop("shared")
 
     def stats(self) -> DataFrame:
-        return statistics(self.sentences, self.postings)
+        """One row: record_count, distinct_trigrams, total_postings, build_seconds,
+        index_bytes (as stored)."""
+        return self._stats

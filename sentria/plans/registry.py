@@ -9,7 +9,10 @@ from sentria.functions.scoring import best_match, extra_character_score, exact_s
 from sentria.functions.text import PUNCTUATION
 from sentria.operators import index
 from sentria.operators.complete import complete, complete_batch, complete_indexed, sessions
-from sentria.sources.corpus import from_table
+from sentria.service import CompletionService, initialize_corpus
+from sentria.shared import new_path
+from sentria.sources.corpus import from_table, from_text_tree, from_zip, to_text_tree, to_zip
+from sentria.streaming.completions import stream_completions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,9 +74,13 @@ def _case(q: str, s: str = "normalized_sentence", kinds: tuple[str, ...] = ("exa
     return f"(CASE WHEN {s} = '' THEN NULL {whens} END)::INT"
 
 
+_FROM = "FROM s"
+_FROM_FILES = "FROM (SELECT * REPLACE (doc_id || '.txt' AS source_text) FROM s)"
+
+
 def _best(q: str, k: int = 5) -> str:
     return f"""WITH {DOCS} SELECT * FROM (
-  SELECT original_sentence AS completed_sentence, source_text, "offset", {_case(q)} AS score FROM s
+  SELECT original_sentence AS completed_sentence, source_text, "offset", {_case(q)} AS score {_FROM}
 ) WHERE score IS NOT NULL ORDER BY score DESC, completed_sentence, source_text, "offset" LIMIT {k}"""
 
 
@@ -298,3 +305,72 @@ _SESSION = [(1, "to be"), (2, "unknown"), (3, "a # b"), (4, "or not"), (5, "#"),
 )
 def _(spark, sf_dir):
     return sessions(spark.createDataFrame([(1, *r) for r in _SESSION], "session long, seq long, line string"), "session", "seq")
+
+
+# --- files, the stored index, streams ----------------------------------------
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts under file names."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as ZIP archives in the shared folder."""
+    path = new_path(spark, "archives")
+    to_zip(_texts(spark, sf_dir).repartition(3, "name"), path, "name", "text")
+    return f"{path}/*.zip"
+
+
+_FILES = f"WITH {DOCS}, f AS (SELECT original_sentence, normalized_sentence, doc_id || '.txt' AS source_text, \"offset\" FROM s)"
+
+
+@query("zip_sentences", f"{_FILES} SELECT * FROM f")
+def _(spark, sf_dir):
+    return from_zip(spark, _archives(spark, sf_dir))
+
+
+@query("text_tree_sentences", f"{_FILES} SELECT * FROM f")
+def _(spark, sf_dir):
+    path = new_path(spark, "texts")
+    to_text_tree(_texts(spark, sf_dir), path, "name", "text")
+    return from_text_tree(spark, path)
+
+
+@query(
+    "stored_index_stats",
+    f"""WITH {DOCS}, {GRAMS} SELECT (SELECT count(*) FROM s)::BIGINT AS record_count,
+  (SELECT count(DISTINCT trigram) FROM grams)::BIGINT AS distinct_trigrams, (SELECT count(*) FROM grams)::BIGINT AS total_postings,
+  true AS timed, true AS sized""",
+)
+def _(spark, sf_dir):
+    stats = index.SentenceIndex.build(spark, documents(spark, sf_dir), new_path(spark, "index")).stats()
+    return stats.select("record_count", "distinct_trigrams", "total_postings", (F.col("build_seconds") > 0).alias("timed"), (F.col("index_bytes") > 0).alias("sized"))
+
+
+@query("stored_index_search", _best(LONG))
+def _(spark, sf_dir):
+    path = new_path(spark, "index")
+    index.SentenceIndex.build(spark, documents(spark, sf_dir), path)
+    opened = index.SentenceIndex.open(spark, path)
+    return complete_indexed(opened.sentences, opened.postings, LONG, opened.KEY, sizes=opened.sizes, share=1.0)
+
+
+@query("initialized_corpus", _best(TYPO).replace(_FROM, _FROM_FILES))
+def _(spark, sf_dir):
+    service = CompletionService()
+    service.configure(initialize_corpus(spark, _archives(spark, sf_dir), new_path(spark, "index")))
+    found = [(c.completed_sentence, c.source_text, c.offset, c.score) for c in service.completions(TYPO)]
+    return spark.createDataFrame(found, "completed_sentence string, source_text string, offset int, score int")
+
+
+@query("stream_completions", ORACLES["complete_batch"])
+def _(spark, sf_dir):
+    """The batch's queries as a stream of two files."""
+    path = new_path(spark, "stream")
+    schema = "query_id long, prefix string"
+    spark.createDataFrame(list(BATCH.items()), schema).repartition(2).write.json(f"{path}/in")
+    stored = index.SentenceIndex.build(spark, documents(spark, sf_dir), f"{path}/index")
+    asked = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
+    stream_completions(asked, stored, f"{path}/out", f"{path}/progress", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")

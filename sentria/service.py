@@ -13,6 +13,8 @@ from sentria.operators.index import SentenceIndex
 from sentria.sources.corpus import from_text_tree, from_zip
 
 LOGGER = logging.getLogger("sentria")
+#: Fixed value: what a program is told that asks before there is an index.
+UNCONFIGURED = "Corpus index has not been configured"
 
 
 @dataclass(frozen=True)
@@ -36,13 +38,13 @@ class CompletionService:
 
     def completions(self, prefix: str, k: int = LIMIT) -> list[Completion]:
         if self._index is None:
-            raise RuntimeError("Corpus index has not been configured")
+            raise RuntimeError(UNCONFIGURED)
         return [Completion(*row) for row in complete(self._index.sentences, prefix, k).collect()]
 
 
 def initialize_corpus(spark: SparkSession, source: str, path: str) -> SentenceIndex:
-    """Read an archive (a name that ends in .zip) or a folder of texts, and store
-    its index under ``path``."""
+    """Read an archive (a name that ends in .zip; it may be a pattern for several) or
+    a folder of texts, and store its index under ``path``."""
     found = from_zip(spark, source) if source.endswith(".zip") else from_text_tree(spark, source)
     return SentenceIndex.build(spark, found, path)
 

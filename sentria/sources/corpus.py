@@ -6,18 +6,26 @@ source_text, offset), offset counted from 1 with blank lines included.
 
 from __future__ import annotations
 
-import io
+import bz2
+import os
+import struct
 import zipfile
+import zlib
+from collections.abc import Iterator
+from contextlib import ExitStack
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentria.functions.text import LINE_END, is_blank, normalize
+from sentria.session import ship_code
+from sentria.shared import listed, qualified, written
 
 SENTENCES = T.StructType(
     [
@@ -68,39 +76,130 @@ def _leads_out(name: Column) -> Column:
     return path.startswith("/") | path.rlike("^[A-Za-z]:") | F.array_contains(F.split(path, "/"), "..")
 
 
-def _members(content: bytes, names_only: bool):
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        for info in archive.infolist():
-            if names_only:
-                yield info.filename, None
-            elif not info.is_dir() and info.filename.endswith(".txt"):
-                yield info.filename, archive.read(info).decode("utf-8")  # not UTF-8: an error
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What an archive's central directory says of its members; no member is read."""
+    for row in _rows(batches):
+        store, path = fs.FileSystem.from_uri(row["archive"])
+        with store.open_input_file(path) as source, zipfile.ZipFile(source) as archive:
+            found = [(row["archive"], m.filename, m.header_offset, m.compress_size, m.compress_type, m.CRC, bool(m.flag_bits & 1)) for m in archive.infolist() if not m.is_dir()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * len(_MEMBER), _MEMBER.types)], schema=_MEMBER)
+
+
+_MEMBER = pa.schema([("archive", pa.string()), ("member", pa.string()), ("place", pa.int64()), ("packed", pa.int64()), ("method", pa.int32()), ("crc", pa.int64()), ("locked", pa.bool_())])
+#: Bytes of a task, packed, and of a batch of texts, about.
+TASK_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+_LOCAL_HEADER = struct.Struct("<4s22xHH")
+
+
+def _inflated(source, row: dict) -> str:
+    """The text of one member, from its own place in the archive."""
+    source.seek(row["place"])
+    mark, name, extra = _LOCAL_HEADER.unpack(source.read(_LOCAL_HEADER.size))
+    if mark != b"PK\x03\x04" or row["locked"]:
+        raise zipfile.BadZipFile(f"{row['member']} in {row['archive']} cannot be read")
+    source.seek(name + extra, os.SEEK_CUR)
+    packed = source.read(row["packed"])
+    if row["method"] == zipfile.ZIP_STORED:
+        content = packed
+    elif row["method"] == zipfile.ZIP_DEFLATED:
+        content = zlib.decompress(packed, -zlib.MAX_WBITS)
+    elif row["method"] == zipfile.ZIP_BZIP2:
+        content = bz2.decompress(packed)
+    else:
+        raise NotImplementedError(f"{row['member']} is compressed by method {row['method']}")
+    if zlib.crc32(content) != row["crc"]:
+        raise zipfile.BadZipFile(f"{row['member']} in {row['archive']} is damaged")
+    return content.decode("utf-8")  # not UTF-8: an error
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a task's members; members of one archive follow each other."""
+    names: list[str] = []
+    texts: list[str] = []
+    held, archive, source = 0, None, None
+
+    def batch():
+        return pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["member", "text"])
+
+    with ExitStack() as files:
+        for row in _rows(batches):
+            if row["archive"] != archive:
+                files.close()
+                archive = row["archive"]
+                store, path = fs.FileSystem.from_uri(archive)
+                source = files.enter_context(store.open_input_file(path))
+            names.append(row["member"])
+            texts.append(_inflated(source, row))
+            held += len(texts[-1])
+            if held >= BATCH_BYTES:
+                yield batch()
+                names, texts, held = [], [], 0
+    if names:
+        yield batch()
 
 
-def _zip_rows(spark: SparkSession, path: str, names_only: bool) -> DataFrame:
+def from_zip(spark: SparkSession, path: str) -> DataFrame:
+    """The ``*.txt`` members of one archive, or of all that a glob names.
+
+    Nothing is extracted and no archive is read whole. A task per archive reads its
+    central directory; members are then dealt to tasks by their place and packed
+    size, and each is inflated from its own place, so one large archive, of more
+    than 2 GB too, is read by many tasks. A member is a row. FileNotFoundError
+    without an archive; UnsafeMember, a ValueError, if any member would lie outside,
+    before any is read.
+    """
+    ship_code(spark)
+    archives = listed(spark, path)
+    if not archives:
+        raise FileNotFoundError(f"Archive not found: {path}")
+    each = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(len(archives))
+    members = written(each.mapInArrow(_listed, "archive string, member string, place long, packed long, method int, crc long, locked boolean"), "members")
+    unsafe = members.where(_leads_out(F.col("member"))).take(1)
+    if unsafe:
+        raise UnsafeMember(f"Unsafe path inside ZIP: {unsafe[0].member}")
+    texts = members.where(F.col("member").endswith(".txt"))
+    packed = texts.agg(F.coalesce(F.sum("packed"), F.lit(0))).head()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, packed // TASK_BYTES + 1)
+    dealt = texts.repartitionByRange(tasks, "archive", "place").sortWithinPartitions("archive", "place")
+    return sentences(dealt.mapInArrow(_read, "member string, text string"), F.col("member"), F.col("text"))
+
+
+def to_zip(texts: DataFrame, path: str, name_col: str, text_col: str) -> None:
+    """Write (name, text) rows as members of archives below ``path``, one for each
+    partition. A task that runs again writes its archive again; null texts are left out."""
+    ship_code(texts.sparkSession)
+    folder = qualified(texts.sparkSession, path)
+
     def run(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                for name, text in _members(content.as_py(), names_only):
-                    yield pa.record_batch([pa.array([name]), pa.array([text], pa.string())], names=["member", "text"])
+        store, at = fs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        name = f"{at}/part-{TaskContext.get().partitionId():05d}.zip"
+        with store.open_output_stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for batch in batches:
+                for member, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    archive.writestr(member, text)
+        yield pa.record_batch([pa.array([name])], names=["archive"])
 
-    try:
-        archives = spark.read.format("binaryFile").load(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            raise FileNotFoundError(f"Archive not found: {path}") from None
-        raise
-    return archives.select("content").mapInArrow(run, "member string, text string")
+    texts.select(name_col, text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, "archive string").count()
 
 
-def from_zip(spark: SparkSession, path: str) -> DataFrame:
-    """The ``*.txt`` members of one archive, or of all that a glob names, read in
-    memory: an archive is a task, a member a row, and nothing is extracted.
+def to_text_tree(texts: DataFrame, path: str, name_col: str, text_col: str) -> None:
+    """Write (name, text) rows as the files ``path/<name>``; null texts are left out."""
+    ship_code(texts.sparkSession)
+    folder = qualified(texts.sparkSession, path)
 
-    FileNotFoundError without an archive; UnsafeMember, a ValueError, if any member
-    would lie outside, before any is read.
-    """
-    unsafe = [r.member for r in _zip_rows(spark, path, True).where(_leads_out(F.col("member"))).take(1)]
-    if unsafe:
-        raise UnsafeMember(f"Unsafe path inside ZIP: {unsafe[0]}")
-    return sentences(_zip_rows(spark, path, False), F.col("member"), F.col("text"))
+    def run(batches):
+        store, at = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{at}/{name}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{at}/{name}") as out:
+                    out.write(text.encode("utf-8"))
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    texts.select(name_col, text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, "files long").count()

@@ -18,7 +18,7 @@ def stream_completions(queries: DataFrame, index: SentenceIndex, out: str, check
     """
 
     def answer(batch: DataFrame, number: int) -> None:
-        complete_batch(index.sentences, index.postings, batch, SentenceIndex.KEY, k=k).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        complete_batch(index.sentences, index.postings, batch, SentenceIndex.KEY, k=k, sizes=index.sizes).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -13,9 +13,9 @@ from sentria.sources.corpus import from_table
 from sentria.streaming.completions import stream_completions
 
 LINES = [
-    "hello", "hello world", "Computer Science", "computer graphics department", "the quick brown fox jumps over the lazy dog",
-    "the cat and the dog and the bird sat", "python programming language", "index the corpus offline", "abcdefghij", "aaaaaaaaaaaa",
-    "banana bandana", "!!!", "Hello there", "hellxo", "hell", "hxllo", "zzzzz", "To be or not to be, that is the question.", "hello world",
+    "river", "river bank", "Marble Staircase", "marble floor polishing", "seven grey geese fly over the old mill pond",
+    "the oak and the ash and the elm grow", "wooden carving workshop", "store the apples in straw", "qwertyuiop", "bbbbbbbbbbbb",
+    "papaya papayas", "!!!", "River there", "rivxer", "rive", "rxver", "kkkkk", "To err is human; to forgive, divine. To err!", "river bank", "😀 a smile 😀é",
 ]
 KEY = ("source_text", "offset")
 
@@ -46,20 +46,21 @@ def mutations(seed=20):
         yield rng.choice([q, q[:j] + "x" + q[j:], q[:j] + q[j + 1 :], q[:j] + "e" + q[j + 1 :]])
 
 
-QUERIES = ["hello", "HELLO!", "to be", "2o be", "not be", "a", "", " ?", "xy", "puter sci", "aaab", "zzqx jjkw", "the dog and", *mutations()]
+QUERIES = ["river", "RIVER!", "to err", "2o err", "not err", "a", "", " ?", "xy", "ble stair", "bbba", "zzqx jjkw", "the ash and", "q", "é", "😀", "le 😀", "pa", "bbbbbbbb", *mutations()]
 
 
 def test_completions_equal_the_definition(corpus, posts, rows):
+    rng = random.Random(1)
     for q in QUERIES:
         want = best(q, rows)
         assert [tuple(r) for r in complete(corpus, q).collect()] == want, q
-        assert [tuple(r) for r in complete_indexed(corpus, posts, q, *KEY).collect()] == want, q
+        assert [tuple(r) for r in complete_indexed(corpus, posts, q, *KEY, share=rng.choice([0.0, 9.0])).collect()] == want, q
 
 
 def test_exact_first_changes_nothing(corpus, rows):
-    for q in ("hello", "the", "quick brown", "qx", ""):
-        assert [tuple(r) for r in complete(corpus, q, exact_first=True).collect()] == best(q, rows)
-    assert len(complete(corpus, "e", k=3, exact_first=True).collect()) == 3
+    for q in ("river", "the", "grey geese", "qx", ""):
+        assert [tuple(r) for r in complete(corpus, q, exact_first=False).collect()] == best(q, rows)
+    assert len(complete(corpus, "e", k=3).collect()) == 3
 
 
 def test_batches_equal_single_queries(spark, corpus, posts, rows):
@@ -78,12 +79,12 @@ def test_candidates_have_no_false_negatives(spark, corpus, posts, rows):
         assert {b[:3] for b in best(q, rows, k=99)} <= found
         if query and len(query_trigrams(query)) <= 3:
             assert len(found) == len(rows)
-    assert {r.original_sentence for r in candidates(corpus, posts, "computer science", *KEY).collect()} == {"Computer Science"}
+    assert {r.original_sentence for r in candidates(corpus, posts, "marble staircase", *KEY).collect()} == {"Marble Staircase"}
 
 
 def test_plan_scores_only_candidates(corpus, posts):
     """The CASE must not sink below the join to every sentence."""
-    plan = complete_indexed(corpus, posts, "computer science", *KEY)._jdf.queryExecution().optimizedPlan().toString()
+    plan = complete_indexed(corpus, posts, "marble staircase", *KEY, share=9.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "LIKE" not in plan.split("Join Inner")[-1].split("InMemoryRelation")[0] and "shared" in plan
 
 
@@ -92,23 +93,36 @@ def test_stored_index(spark, corpus, tmp_path):
     opened = SentenceIndex.open(spark, str(tmp_path / "i"))
     stats = built.stats().head()
     assert stats == opened.stats().head() and stats.record_count == len(LINES)
+    assert stats.build_seconds > 0 and stats.index_bytes > 1000
     assert stats.total_postings == sum(len(query_trigrams(normalize_query(spark, s))) for s in LINES)
-    assert [r.original_sentence for r in opened.candidates("Computer Science!").collect()] == ["Computer Science"]
+    assert [r.original_sentence for r in opened.candidates("Marble Staircase!").collect()] == ["Marble Staircase"]
     assert opened.candidates("").collect() == []
     empty = SentenceIndex.build(spark, corpus.limit(0), str(tmp_path / "e"))
-    assert tuple(empty.stats().head()) == (0, 0, 0)
+    assert tuple(empty.stats().head())[:3] == (0, 0, 0)
+    with pytest.raises(FileNotFoundError):
+        SentenceIndex.open(spark, str(tmp_path / "none"))
+
+
+def test_a_new_version_leaves_readers_of_the_old_one_alone(spark, corpus, tmp_path):
+    path = str(tmp_path / "i")
+    first = SentenceIndex.build(spark, corpus, path)
+    second = SentenceIndex.build(spark, corpus.limit(4), path)
+    assert first.sentences.count() == len(LINES) and SentenceIndex.open(spark, path).path == second.path
+    third = SentenceIndex.build(spark, corpus.limit(3), path)
+    assert second.postings.count() > 0 and third.stats().head().record_count == 3
+    assert len(list((tmp_path / "i").iterdir())) == 2
 
 
 def test_stream(spark, corpus, tmp_path, rows):
     index = SentenceIndex.build(spark, corpus, str(tmp_path / "i"))
-    spark.createDataFrame([(1, "hello"), (2, "zzqx jjkw"), (3, "a")], "query_id long, prefix string").coalesce(1).write.json(str(tmp_path / "in"))
+    spark.createDataFrame([(1, "river"), (2, "zzqx jjkw"), (3, "a")], "query_id long, prefix string").coalesce(1).write.json(str(tmp_path / "in"))
     asked = spark.readStream.schema("query_id long, prefix string").json(str(tmp_path / "in"))
     q = stream_completions(asked, index, str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
     q.awaitTermination(120)
     got = {}
     for r in spark.read.parquet(str(tmp_path / "out")).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.completed_sentence, r.source_text, r.offset, r.score))
-    assert got == {1: best("hello", rows), 3: best("a", rows)}
+    assert got == {1: best("river", rows), 3: best("a", rows)}
 
 
 def test_sessions(spark):

@@ -3,7 +3,7 @@ import zipfile
 import pytest
 
 from sentria.service import Completion, CompletionService, configure_logging, initialize_corpus, shutdown_logging
-from sentria.sources.corpus import SENTENCES, UnsafeMember, from_table, from_text_tree, from_zip
+from sentria.sources.corpus import SENTENCES, UnsafeMember, from_table, from_text_tree, from_zip, to_text_tree, to_zip
 
 
 def rows(df):
@@ -47,6 +47,37 @@ def test_zip(spark, tmp_path):
     assert rows(from_zip(spark, archive(tmp_path / "x.zip", FILES))) == WANT
 
 
+def test_large_archives_are_dealt_to_tasks(spark, tmp_path):
+    """Members of many archives, of every method, in several tasks."""
+    files = {f"d{i}/t{i}.txt": f"line {i}\n\nother {i * 7}\n" * (i % 5) for i in range(60)}
+    for at, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2)):
+        with zipfile.ZipFile(tmp_path / f"{at}.zip", "w", method) as z:
+            for i, (name, text) in enumerate(files.items()):
+                if i % 3 == at:
+                    z.writestr(name, text)
+    got = from_zip(spark, str(tmp_path / "*.zip"))
+    assert got.rdd.getNumPartitions() > 1
+    want = [(name, n + 1, line, line) for name, text in files.items() for n, line in enumerate(text.split("\n")) if line]
+    assert rows(got) == sorted(want)
+
+
+def test_damaged_members(spark, tmp_path):
+    path = archive(tmp_path / "x.zip", {"a.txt": "some text that is stored"})
+    content = bytearray((tmp_path / "x.zip").read_bytes())
+    content[content.index(b"some text")] ^= 1
+    (tmp_path / "x.zip").write_bytes(content)
+    with pytest.raises(Exception, match="damaged"):
+        from_zip(spark, path).collect()
+
+
+def test_written_archives_and_trees_are_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("a/b.txt", "one\ntwo"), ("é.txt", "drei"), ("n.txt", None), ("a/e.txt", "")], "name string, text string")
+    to_zip(df.repartition(2), str(tmp_path / "z"), "name", "text")
+    to_text_tree(df, str(tmp_path / "t"), "name", "text")
+    want = [("a/b.txt", 1, "one", "one"), ("a/b.txt", 2, "two", "two"), ("é.txt", 1, "drei", "drei")]
+    assert rows(from_zip(spark, str(tmp_path / "z" / "*.zip"))) == want == rows(from_text_tree(spark, str(tmp_path / "t")))
+
+
 @pytest.mark.parametrize("name", ["../escaped.txt", "a/../../b.txt", "/abs.txt"])
 def test_unsafe_members(spark, tmp_path, name):
     with pytest.raises(UnsafeMember):

@@ -6,7 +6,7 @@ from plain import normalize as plain_normalize
 from plain import score as plain_score
 from pyspark.sql import functions as F
 
-from sentria.functions.scoring import best_match, best_match_columns, extra_character_score, insertion_deletion_penalty, missing_character_score, partition_filter, patterns, split_filter, split_filter_columns, substitution_penalty, substitution_score
+from sentria.functions.scoring import best_match, best_match_columns, extra_character_score, insertion_deletion_penalty, missing_character_score, partition_filter, patterns, score_pair, split_filter, split_filter_columns, substitution_penalty, substitution_score
 from sentria.functions.text import is_blank, normalize, normalize_query, query_trigrams, trigrams
 
 CASES = ["Hello World", "hello,world", "hello   \t world", "Python 3.5.0 alpha 1", " \t ", "", "don't", "’ — «É»", "A\x1cB\x85C\xa0D　E", "!!!", "a_b%c\\d'e", "ΑΣ", "x😀 Y"]
@@ -75,7 +75,7 @@ def test_random_edits_against_the_definition(spark):
             q = rng.choice([q[:i] + "z" + q[i:], q[:i] + q[i + 1 :], q[:i] + "b" + q[i + 1 :]])
         pairs.append((q, s))
     got = both_ways(spark, pairs)
-    assert all(got[q, s] == plain_score(q, s) for q, s in pairs)
+    assert all(got[q, s] == plain_score(q, s) == score_pair(q, s) for q, s in pairs)
     df = spark.createDataFrame(pairs, "q string, s string")
     missed = df.where(best_match_columns(F.col("q"), F.col("s")).isNotNull() & ~split_filter_columns(F.col("q"), F.col("s")))
     assert missed.count() == 0
