@@ -1,11 +1,17 @@
-"""Approximate nearest neighbours with hash-prefix forests.
-
-Distinct vectors are dealt to shards of bounded size. A shard's forest has, for
-each tree, the vectors' hash strings (signs of random projections) as a sorted
-array, so the vectors that share a prefix with a query lie next to each other. A
-search descends in every tree to the longest prefix that anything shares with the
-query, then ascends in all trees at once, one bit at a time, until enough
-candidates have been met; those are compared exactly.
+"""Approximate nearest neighbours with a hash-prefix forest.
+
+For each tree, every distinct vector has a hash string: the signs of random
+projections. A tree is the sorted array of all strings, so the vectors that share a
+prefix with a query lie next to each other in it. A search stands at the longest
+prefixes and ascends in all trees at once, a bit at a time, until the trees
+together show enough vectors; what they show is compared exactly.
+
+The arrays are cut into shards by the first tree's order, so that vectors which are
+alike lie together, and each shard keeps its vectors and its part of every sorted
+array: built once, read by every block of queries. How far a query ascends is
+decided over the whole forest, from counts of short prefixes, and it then goes only
+to the shards that hold a vector with one of its prefixes. How many vectors are
+enough is learned from a bounded sample of queries that is compared with everything.
 """
 
 from __future__ import annotations
@@ -18,13 +24,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentria.llm.common import written
+from sentria.llm.common import slices, written
 
 #: Trees, bits of a hash string, vectors of a shard, queries of a block (all about).
-TREES, BITS, SHARD, BLOCK = 16, 32, 4096, 256
-#: A search ascends until its trees have shown it this many times the shard's
-#: vectors in all, repeats included, and at least so many per tree.
-VISITS, LEAST = 1.0, 256
+TREES, BITS, SHARD, BLOCK = 48, 32, 4096, 256
+#: Queries whose depths are decided together, about.
+STANDING = 4096
+#: Prefixes are counted over the whole forest up to this length; a search stands no lower.
+COUNTED = 14
+#: The queries that the sample takes at most, and the recall that it must reach.
+SAMPLE, RECALL = 128, 0.94
+#: Each tree shows so many vectors at least, on average; a table of no more is
+#: compared whole.
+LEAST = 256
 SEED = 17
 
 
@@ -33,48 +45,49 @@ def projections(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
 
 
 def hashes(vectors: np.ndarray, centre: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
-    """trees x vectors hash strings, the first bit the most significant."""
+    """vectors x trees hash strings, the first bit the most significant."""
     signs = (vectors - centre) @ projections(vectors.shape[1], trees, bits) > 0
     weights = np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64)
-    return (signs.reshape(len(vectors), trees, bits) * weights).sum(2, dtype=np.uint64).T
+    return (signs.reshape(len(vectors), trees, bits) * weights).sum(2, dtype=np.uint64)
 
 
-class Forest:
-    """The sorted arrays of one shard."""
-
-    def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS):
-        self.vectors, self.trees, self.bits = vectors, trees, bits
-        self.centre = vectors.mean(0)
-        strings = hashes(vectors, self.centre, trees, bits)
-        self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
-        self.strings = np.take_along_axis(strings, self.order, 1)
-
-    def ranges(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(from, to) of the vectors that share a prefix with each query, for every
-        prefix length from 0 to ``bits``, in every tree: length x tree x query."""
-        lo, hi = (np.empty((self.bits + 1, *strings.shape), np.int64) for _ in range(2))
-        for depth in range(self.bits + 1):
-            rest = np.uint64(self.bits - depth)
-            least = strings >> rest << rest
-            most = least + ((np.uint64(1) << rest) - np.uint64(1))
-            for t in range(self.trees):
-                lo[depth, t] = np.searchsorted(self.strings[t], least[t], "left")
-                hi[depth, t] = np.searchsorted(self.strings[t], most[t], "right")
-        return lo, hi
-
-    def candidates(self, queries: np.ndarray, visits: float = VISITS, least: int = LEAST):
-        """The places of each query's candidates."""
-        lo, hi = self.ranges(hashes(queries, self.centre, self.trees, self.bits))
-        met = (hi - lo).sum(1)  # length x query: all trees ascend together
-        enough = met >= max(visits * len(self.vectors), least * self.trees)
-        enough[0] = True  # with no prefix left all are met
-        depth = self.bits - np.argmax(enough[::-1], axis=0)  # the longest prefix that gives enough
-        for q, d in enumerate(depth):
-            seen = np.zeros(len(self.vectors), bool)
-            for t in range(self.trees):
-                seen[self.order[t, lo[d, t, q] : hi[d, t, q]]] = True
+def shared_bits(left: np.ndarray, right: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """How long a prefix strings share, at most COUNTED."""
+    differ = left ^ right
+    return np.minimum(bits - np.frexp(differ.astype(np.float64))[1], COUNTED)
+
+
+class Shard:
+    """One shard's part of the forest: its strings in every tree, sorted."""
+
+    def __init__(self, strings: np.ndarray, order: np.ndarray | None = None):
+        """``strings``: trees x vectors; sorted already, if the order comes with them."""
+        if order is None:
+            order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
+            strings = np.take_along_axis(strings, order, 1)
+        self.strings, self.order = strings, order
+
+    def candidates(self, asked: np.ndarray, depths: np.ndarray, bits: int = BITS):
+        """The places of the vectors that share the prefix of its depth with each
+        query (queries x trees) in any tree."""
+        rest = np.uint64(bits) - depths.astype(np.uint64)[:, None]
+        least = asked >> rest << rest
+        most = least + ((np.uint64(1) << rest) - np.uint64(1))
+        trees = range(len(self.strings))
+        lo = [np.searchsorted(self.strings[t], least[:, t], "left") for t in trees]
+        hi = [np.searchsorted(self.strings[t], most[:, t], "right") for t in trees]
+        for q in range(len(asked)):
+            seen = np.zeros(self.strings.shape[1], bool)
+            for t in trees:
+                seen[self.order[t, lo[t][q] : hi[t][q]]] = True
             yield np.flatnonzero(seen)
 
+    def prefixes(self, depth: int, bits: int = BITS):
+        """(tree, prefix) of the given length that some vector has."""
+        for t, strings in enumerate(self.strings):
+            for p in np.unique(strings >> np.uint64(bits - depth)).tolist():
+                yield t, p
+
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector) of the rows that take part: an id, and a vector without null or
@@ -85,65 +98,252 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where("id is not null and vector is not null").where(F.coalesce(sound, F.lit(False)))
 
 
-def build(rows: DataFrame, per_vector: int, shard_size: int = SHARD) -> DataFrame:
-    """The shards: (dim, shard, size, matrix, ids). Of equal vectors one is kept,
-    with its ``per_vector`` smallest ids: more could not be among a query's nearest.
-    The ranking drops the others in every partition before it shuffles."""
+def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def hashed(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """``vectors`` (dim, vector, ...) with ``strings``, the strings of all trees as bytes."""
+    met = vectors.join(centres, "dim")
+    schema = T.StructType([f for f in met.schema if f.name != "centre"] + [T.StructField("strings", T.BinaryType())])
+    at = {c: i for i, c in enumerate(met.columns)}
+
+    def run(batches):
+        for batch in slices(batches, 1024):
+            dims = batch.column(at["dim"]).to_numpy()
+            out: list[bytes] = [b""] * len(dims)
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                centre = np.array(batch.column(at["centre"])[int(rows[0])].as_py())
+                found = hashes(_matrix(batch.column(at["vector"]).take(pa.array(rows)), dim), centre)
+                for row, strings in zip(rows.tolist(), found):
+                    out[row] = strings.tobytes()
+            kept = [i for c, i in at.items() if c != "centre"]
+            yield pa.record_batch([batch.column(i) for i in kept] + [pa.array(out, pa.binary())], names=schema.names)
+
+    return met.mapInArrow(run, schema)
+
+
+class Forest:
+    """The stored shards, and what is known of the whole: (dim, centre), and for each
+    dim how often every prefix of COUNTED bits is there in every tree."""
+
+    def __init__(self, shards: DataFrame, centres: DataFrame, counts: DataFrame, vectors: DataFrame):
+        self.shards, self.centres, self.counts, self.vectors = shards, centres, counts, vectors
+
+
+def _placed(vectors: DataFrame, shard_size: int) -> DataFrame:
+    """``vectors`` with the shard of each: stretches of the first tree's order, by
+    bins of 16 bits; a bin of more than a shard's vectors becomes several."""
+    bins = written(vectors.withColumn("bin", F.conv(F.hex(F.reverse(F.substring("strings", 3, 2))), 16, 10).cast("int")), "bins")
+    sizes = bins.groupBy("dim", "bin").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("dim").orderBy("bin")) - F.col("n")  # at most 2**16 bins of a dim
+    sizes = sizes.select("dim", "bin", F.floor(before / shard_size).alias("stretch"), F.ceil(F.col("n") / shard_size).alias("parts"))
+    met = bins.join(written(sizes, "sizes"), ["dim", "bin"])
+    part = F.when(F.col("parts") > 1, F.concat_ws(".", "bin", F.pmod(F.xxhash64("vector"), "parts"))).otherwise(F.lit(""))
+    return met.withColumn("shard", F.concat_ws("/", "stretch", part)).drop("bin", "stretch", "parts")
+
+
+def build(rows: DataFrame, per_vector: int, shard_size: int = SHARD) -> Forest:
+    """The forest over (id, vector). Of equal vectors one is kept, with its
+    ``per_vector`` smallest ids: more could not be among a query's nearest. The
+    ranking drops the others in every partition before it shuffles."""
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     few = rows.distinct().withColumn("place", place).where(F.col("place") <= per_vector)
-    distinct = written(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    sizes = written(distinct.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / shard_size).alias("shards")), "sizes")
-    placed = distinct.withColumn("dim", F.size("vector")).join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
-    shards = placed.groupBy("dim", "shard").agg(F.collect_list(F.struct("vector", "ids")).alias("rows"))
-    return written(shards.select("dim", "shard", F.flatten(F.col("rows.vector")).alias("matrix"), F.col("rows.ids").alias("ids")), "shards")
-
-
-def search(queries: DataFrame, shards: DataFrame, k: int = 10, block: int = BLOCK, visits: float = VISITS) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` nearest that each (id, vector)
-    of ``queries`` finds in ``shards``. Queries meet every shard, in blocks."""
-    asked = written(queries.groupBy("id").agg(F.min("vector").alias("vector")), "queries")
-    blocks = max(1, math.ceil(asked.count() / block))
-    packed = asked.withColumn("dim", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    packed = packed.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    packed = packed.select("dim", F.col("rows.id").alias("asked"), F.flatten(F.col("rows.vector")).alias("points"))
-    each = shards.groupBy("dim").agg(F.max("shard").alias("last"))
-    packed = packed.join(each, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    met = packed.join(shards, ["dim", "shard"]).select("dim", "asked", "points", "matrix", "ids")
+    distinct = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("vector"))
+    distinct = written(distinct, "vectors")
+    means = distinct.select("dim", F.posexplode("vector").alias("at", "x")).groupBy("dim", "at").agg(F.avg("x").alias("x"))
+    centres = means.groupBy("dim").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda m: m["x"]).alias("centre"))
+    centres = written(centres, "centres")
+    vectors = written(hashed(distinct, centres), "hashed")
+    packed = _placed(vectors, shard_size).groupBy("dim", "shard").agg(F.collect_list(F.struct("vector", "ids", "strings")).alias("rows"))
 
     def run(batches):
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
-            for i in range(batch.num_rows):
-                dim = batch.column(0)[i].as_py()
-                asked = batch.column(1)[i].values.to_numpy()
-                points, matrix = (batch.column(c)[i].values.to_numpy().astype(np.float64).reshape(-1, dim) for c in (2, 3))
-                ids = batch.column(4)[i].as_py()
-                found = Forest(matrix).candidates(points, visits)
-                for query, point, near in zip(asked.tolist(), points, found):
-                    apart = np.sqrt(((matrix[near] - point) ** 2).sum(1))
-                    # a vector has its own id at least, so k + 1 of them leave k
-                    cut = np.partition(apart, k)[k] if len(apart) > k else math.inf
-                    best = [(float(apart[j]), v) for j in np.flatnonzero(apart <= cut) for v in ids[near[j]] if v != query]
-                    out += [(query, v, d) for d, v in sorted(best)[:k]]
-            cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
+            dims, names, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for cell in batch.column(2):
+                rows = cell.values
+                shard = Shard(np.frombuffer(b"".join(rows.field("strings").to_pylist()), np.uint64).reshape(len(rows), -1).T)
+                out.append((rows.field("vector").flatten(), rows.field("ids"), shard.strings.tobytes(), shard.order.tobytes()))
+            kind = out[0][0].type
+            yield pa.record_batch(
+                [pa.array(dims, pa.int32()), pa.array(names), pa.array([o[0].to_numpy(zero_copy_only=False).astype(np.float64).tobytes() if kind == pa.float64() else o[0].to_numpy(zero_copy_only=False).tobytes() for o in out], pa.binary()), pa.array([o[1].to_pylist() for o in out], pa.list_(pa.list_(pa.int64()))), pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.binary())],
+                names=["dim", "shard", "matrix", "ids", "strings", "order"],
+            )
+
+    schema = "dim int, shard string, matrix binary, ids array<array<long>>, strings binary, order binary"
+    shards = written(packed.mapInArrow(run, schema), "shards")
+    return Forest(shards, centres, written(_counts(shards), "counts"), vectors)
+
+
+def _shard(strings: bytes, order: bytes) -> Shard:
+    return Shard(np.frombuffer(strings, np.uint64).reshape(TREES, -1), np.frombuffer(order, np.int32).reshape(TREES, -1))
+
+
+def _counts(shards: DataFrame) -> DataFrame:
+    """(dim, counts): a row for each dim, TREES * 2**COUNTED numbers at most."""
+
+    def run(batches):
+        for batch in batches:
+            for dim, strings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                short = np.frombuffer(strings, np.uint64).reshape(TREES, -1) >> np.uint64(BITS - COUNTED)
+                keys, n = np.unique(short + (np.arange(TREES, dtype=np.uint64) << np.uint64(COUNTED))[:, None], return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(n), dim, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n, pa.int64())], names=["dim", "key", "n"])
+
+    each = shards.select("dim", "strings").mapInArrow(run, "dim int, key long, n long").groupBy("dim", "key").agg(F.sum("n").alias("n"))
+    return each.groupBy("dim").agg(F.collect_list(F.struct("key", "n")).alias("counts"))
+
+
+def _enough(forest: Forest, asked: DataFrame, k: int) -> dict[int, int]:
+    """dim -> how many vectors the trees must show, learned from SAMPLE queries at most.
+
+    The sample meets every vector, which gives its true neighbours, the depth at
+    which the trees would show each of them, and how many vectors they show down to
+    each depth. The least number that finds RECALL of the neighbours is enough.
+    """
+    few = asked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    if not few:
+        return {}
+    chosen = {r.dim: [] for r in few}
+    for r in few:
+        chosen[r.dim].append((r.id, r.vector, r.strings))
+    sent = asked.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(batches):
+        shown, near = {}, {}
+        for batch in slices(batches, 1024):
+            dims = batch.column(0).to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in sent.value:
+                    continue
+                rows = pa.array(np.flatnonzero(dims == dim))
+                matrix = _matrix(batch.column(1).take(rows), dim)
+                strings = np.frombuffer(b"".join(batch.column(2).take(rows).to_pylist()), np.uint64).reshape(len(matrix), -1)
+                for i, point, own in sent.value[dim]:
+                    bits = shared_bits(strings, np.frombuffer(own, np.uint64))
+                    shown[dim, i] = shown.get((dim, i), 0) + np.bincount(bits.ravel(), minlength=COUNTED + 1)
+                    apart = ((matrix - np.array(point)) ** 2).sum(1)
+                    best = np.argsort(apart, kind="stable")[: k + 1]
+                    near[dim, i] = sorted(near.get((dim, i), []) + list(zip(apart[best].tolist(), bits[best].max(1).tolist())))[: k + 1]
+        keys = sorted(shown)
+        yield pa.record_batch(
+            [pa.array([d for d, _ in keys], pa.int32()), pa.array([i for _, i in keys], pa.int64()), pa.array([shown[x].tolist() for x in keys], pa.list_(pa.int64())), pa.array([[list(map(float, p)) for p in near[x]] for x in keys], pa.list_(pa.list_(pa.float64())))],
+            names=["dim", "id", "shown", "near"],
+        )
+
+    found = forest.vectors.select("dim", "vector", "strings").mapInArrow(run, "dim int, id long, shown array<long>, near array<array<double>>")
+    totals = [F.sum(F.col("shown")[d]).alias(f"s{d}") for d in range(COUNTED + 1)]
+    rows = found.groupBy("dim", "id").agg(*totals, F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
+    out = {}
+    for dim in chosen:
+        of_dim = [r for r in rows if r.dim == dim]
+        visits = [np.cumsum([r[f"s{d}"] for d in range(COUNTED, -1, -1)])[::-1] for r in of_dim]  # shown at a depth or below
+        depths = [np.array([p[1] for p in r.near[1:]]) for r in of_dim]  # the first is the query's own vector
+        wanted = RECALL * sum(map(len, depths))
+        for least in sorted({int(v) for of_query in visits for v in of_query}):
+            stand = [int(np.flatnonzero(v >= min(least, v[0])).max()) for v in visits]
+            if sum(int((d >= s).sum()) for d, s in zip(depths, stand)) >= wanted:
+                break
+        out[dim] = max(least, LEAST * TREES)
+    return out
+
+
+def _standing(asked: DataFrame, forest: Forest, enough: dict[int, int]) -> DataFrame:
+    """``asked`` (dim, id, vector, strings) with ``depth``: the longest prefixes, of one
+    length in all trees, at which they show enough vectors."""
+    blocks = F.pmod(F.xxhash64("id"), F.lit(asked.count() // STANDING + 1))
+    packed = asked.groupBy("dim", blocks.alias("block")).agg(F.collect_list(F.struct("id", "strings")).alias("asked"))
+    met = packed.join(forest.counts, "dim").select("dim", "asked", "counts")
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            dim, rows = batch.column(0)[0].as_py(), batch.column(1)[0].values
+            table = np.zeros(TREES << COUNTED, np.int64)
+            held = batch.column(2)[0].values
+            table[held.field(0).to_numpy()] = held.field(1).to_numpy()
+            of_depth = [table.reshape(TREES, 1 << d, -1).sum(2) for d in range(COUNTED + 1)]
+            own = np.frombuffer(b"".join(rows.field("strings").to_pylist()), np.uint64).reshape(-1, TREES)
+            shown = np.stack([of_depth[d][np.arange(TREES), (own >> np.uint64(BITS - d)).astype(np.int64)].sum(1) for d in range(COUNTED + 1)], 1)
+            stands = shown >= np.minimum(enough.get(dim, np.iinfo(np.int64).max), shown[:, :1])
+            depths = COUNTED - np.argmax(stands[:, ::-1], 1)  # the longest prefix that shows enough
+            yield pa.record_batch([rows.field("id"), pa.array(depths.astype(np.int32))], names=["id", "depth"])
+
+    return asked.join(met.mapInArrow(run, "id long, depth int"), "id")
+
+
+def _routes(asked: DataFrame, forest: Forest) -> DataFrame:
+    """(id, dim, shard): the shards that hold a vector with one of a query's prefixes."""
+    used = sorted(r.depth for r in asked.select("depth").distinct().collect())  # COUNTED + 1 at most
+
+    def held(batches):
+        for batch in batches:
+            for dim, name, strings, order in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                shard = _shard(strings, order)
+                found = [(dim, name, depth, t, p) for depth in used for t, p in shard.prefixes(depth)]
+                yield pa.record_batch([pa.array(c) for c in zip(*found)], names=["dim", "shard", "depth", "tree", "prefix"]).cast(held_schema)
+
+    def own(batches):
+        for batch in slices(batches):
+            found = [(dim, i, depth, t, int(s) >> (BITS - depth)) for dim, i, depth, strings in zip(*(batch.column(i).to_pylist() for i in range(4))) for t, s in enumerate(np.frombuffer(strings, np.uint64))]
+            yield pa.record_batch([pa.array(c) for c in zip(*found)], names=["dim", "id", "depth", "tree", "prefix"]).cast(own_schema)
+
+    held_schema = pa.schema([("dim", pa.int32()), ("shard", pa.string()), ("depth", pa.int32()), ("tree", pa.int32()), ("prefix", pa.int64())])
+    own_schema = pa.schema([("dim", pa.int32()), ("id", pa.int64()), ("depth", pa.int32()), ("tree", pa.int32()), ("prefix", pa.int64())])
+    shards = forest.shards.select("dim", "shard", "strings", "order").mapInArrow(held, "dim int, shard string, depth int, tree int, prefix long")
+    queries = asked.select("dim", "id", "depth", "strings").mapInArrow(own, "dim int, id long, depth int, tree int, prefix long")
+    return queries.join(shards, ["dim", "depth", "tree", "prefix"]).select("dim", "id", "shard").distinct()
+
+
+def search(queries: DataFrame, forest: Forest, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score, seen) of the ``k`` nearest that each (id, vector)
+    of ``queries`` finds; ``seen``: how many vectors it was compared with."""
+    asked = queries.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    asked = written(hashed(asked, forest.centres).select("dim", "id", "vector", "strings"), "queries")
+    asked = written(_standing(asked, forest, _enough(forest, asked, k)), "standing")
+    routes = written(_routes(asked, forest), "routes")
+    blocks = routes.groupBy("dim", "shard").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    packed = routes.join(blocks, ["dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    packed = packed.join(asked.select("id", "vector", "strings", "depth"), "id").groupBy("dim", "shard", "block").agg(F.collect_list(F.struct("id", "vector", "strings", "depth")).alias("asked"))
+    met = packed.join(forest.shards, ["dim", "shard"]).select("dim", "asked", "matrix", "ids", "strings", "order")
+    kind = np.float32 if "float" in forest.vectors.schema["vector"].dataType.simpleString() else np.float64
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            (dim,), (ids,), (strings,), (order,) = (batch.column(i).to_pylist() for i in (0, 3, 4, 5))
+            rows = batch.column(1)[0].values
+            points = _matrix(rows.field("vector"), dim)
+            matrix = np.frombuffer(batch.column(2)[0].as_py(), kind).astype(np.float64).reshape(-1, dim)
+            own = np.frombuffer(b"".join(rows.field("strings").to_pylist()), np.uint64).reshape(len(points), -1)
+            found = _shard(strings, order).candidates(own, rows.field("depth").to_numpy())
+            out: list[tuple] = []
+            for query, point, near in zip(rows.field("id").to_pylist(), points, found):
+                apart = np.sqrt(((matrix[near] - point) ** 2).sum(1))
+                # a vector has its own id at least, so k + 1 of them leave k
+                cut = np.partition(apart, k)[k] if len(apart) > k else math.inf
+                best = [(float(apart[j]), v) for j in np.flatnonzero(apart <= cut) for v in ids[near[j]] if v != query]
+                out += [(query, v, d, 0) for d, v in sorted(best)[:k]]
+                out.append((query, None, None, len(near)))
+            cols = list(zip(*out))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["query_id", "vec_id", "score", "seen"])
+
+    found = written(met.mapInArrow(run, "query_id long, vec_id long, score double, seen long"), "found")
+    seen = found.groupBy("query_id").agg(F.sum("seen").alias("seen"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.where("vec_id is not null").drop("seen").withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(seen, "query_id").select("query_id", "rank", "vec_id", "score", "seen")
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", **kw) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int = SHARD) -> DataFrame:
     """The ``k`` nearest found, by Euclidean distance, of every row whose id is
     divisible by ``every``, among all rows but those with its own id.
 
     Nearest first, ties to the smaller id, distances in double precision on the
-    original vectors; all candidates if there are fewer than ``k``. Null ids, and
-    vectors that are null, zero, or hold null or non-finite components, take no
-    part; vectors of another length than the query's are not compared with it. Rows
+    original vectors; all candidates if there are fewer than ``k``; ``seen`` says
+    with how many different vectors the query was compared. Null ids, and vectors
+    that are null, zero, or hold null or non-finite components, take no part;
+    vectors of another length than the query's are not compared with it. Rows
     repeated whole count once; of several vectors under one query id the smallest
     asks. An empty table gives an empty result. Other columns are not read.
     """
     rows = written(usable(vectors, id_col, vector_col), "usable")
-    shards = build(rows, k + 1)
-    return search(rows.where(F.col("id") % every == 0), shards, k, **kw)
+    return search(rows.where(F.col("id") % every == 0), build(rows, k + 1, shard_size), k)

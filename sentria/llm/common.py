@@ -2,45 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests on
-    one machine) a local folder is made once and set.
-    """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sentria-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and a lost
-    executor costs no recomputation of what came before."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from sentria.shared import delete, new_path, write_at, written  # noqa: F401  for the operators
 
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE = 256

@@ -15,14 +15,14 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentria.llm.common import new_path, written
+from sentria.llm.common import new_path, slices, written
 
 CRLF, GAP = "\r\n", "\r\n\r\n"
 #: Records in an archive at most; an archive is what one task inflates.
@@ -49,7 +49,7 @@ def _clean(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def render(page_id: int | None, url: str | None, html: str | None, first: int | None) -> str:
+def render(page_id: int | None, url: str | None, html: str | None, first: int | None, first_url: str | None = None) -> str:
     """A record without the gap that ends it. ``first``: the page that has the same
     payload already; then only the response's head is kept."""
     payload = (html or "").encode("utf-8")
@@ -64,6 +64,7 @@ def render(page_id: int | None, url: str | None, html: str | None, first: int |
         "WARC-Payload-Digest": f"sha1:{digest}",
         "WARC-Profile": None if first is None else "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest",
         "X-Page-ID": page_id,
+        "WARC-Refers-To": None if first is None else record_id(first, first_url, digest),
         "X-Refers-To-Page-ID": first,
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": len(head) + (len(payload) if first is None else 0),
@@ -83,34 +84,39 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
     size = F.octet_length(F.coalesce("html", F.lit("")))
     keyed = rows.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).withColumn("bytes", size)
     # combined before the shuffle: a very common payload is a few rows there
-    groups = keyed.where((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    groups = keyed.where((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha", "bytes").agg(F.min(F.struct("page_id", "url")).alias("response"), F.max("page_id").alias("last"))
+    groups = groups.select("sha", "bytes", F.col("response.page_id").alias("first"), F.col("response.url").alias("first_url"), "last")
     groups = written(groups.where("first < last").drop("last"), "payloads")
     # both sides are plain tables: a partition with a very common payload can be split
     known = keyed.join(groups, ["sha", "bytes"], "left").withColumn("first", F.when(F.col("page_id") != F.col("first"), F.col("first")))
 
     def run(batches):
         for batch in batches:
-            out = [render(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(4)))]
+            out = [render(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(5)))]
             yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
 
-    records = known.select("page_id", "url", "html", "first").mapInArrow(run, "value string")
+    records = known.select("page_id", "url", "html", "first", "first_url").mapInArrow(run, "value string")
     records.write.option("compression", "gzip").option("lineSep", GAP).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def inflated(source, chunk: int = CHUNK) -> Iterator[bytes]:
-    """The content of a gzip file of any number of members, piece by piece."""
-    inflate = zlib.decompressobj(31)
+    """The content of a gzip file of any number of members, piece by piece. One that
+    ends within a member, its checksum included, is an error."""
+    inflate, within = zlib.decompressobj(31), False
     while data := source.read(chunk):
         while data:
+            within = True
             out = inflate.decompress(data, chunk)
             if out:
                 yield out
             data = inflate.unconsumed_tail
             if inflate.eof:
                 data = inflate.unused_data
-                inflate = zlib.decompressobj(31)
+                inflate, within = zlib.decompressobj(31), False
     while tail := inflate.decompress(inflate.unconsumed_tail, chunk):
         yield tail
+    if within and not inflate.eof:
+        raise EOFError("the archive ends within a gzip member")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -211,12 +217,6 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).option("pathGlobFilter", f"*{SIDECAR}").csv(path)
 
 
-@lru_cache(maxsize=4)
-def _opened(uri: str):
-    store, at = fs.FileSystem.from_uri(uri)
-    return store.open_input_file(at)
-
-
 def _page(record: bytes) -> tuple:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload)."""
     gap = GAP.encode()
@@ -238,18 +238,23 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     the payload (null for revisits). A response's payload is held against its digest."""
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for archive, start, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                member = _opened(f"{path}/{archive}").read_at(size, start)
-                rows.append(_page(zlib.decompress(member, 31)))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            out = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))]
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-            if payloads:
-                out.append(pa.array([p if t == "response" else None for p, t in zip(cols[5], cols[3])], pa.binary()))
-                names.append("payload")
-            yield pa.record_batch(out, names=names)
+        name, source = None, None
+        with ExitStack() as files:  # one archive is open at a time
+            for batch in slices(batches):
+                rows = []
+                for archive, start, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    if archive != name:
+                        files.close()
+                        store, at = fs.FileSystem.from_uri(f"{path}/{archive}")
+                        name, source = archive, files.enter_context(store.open_input_file(at))
+                    rows.append(_page(zlib.decompress(source.read_at(size, start), 31)))
+                cols = list(zip(*rows)) if rows else [()] * 6
+                out = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))]
+                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+                if payloads:
+                    out.append(pa.array([p if t == "response" else None for p, t in zip(cols[5], cols[3])], pa.binary()))
+                    names.append("payload")
+                yield pa.record_batch(out, names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else "")
     return index(spark, path).select("archive", "start", "size").mapInArrow(run, schema)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 
-from sentria.llm.ann import Forest, nearest, usable
+from sentria.llm.ann import BITS, COUNTED, Shard, hashes, nearest, shared_bits, usable
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank string"
 
@@ -55,11 +55,49 @@ def test_recall_on_the_tables(spark):
     assert hits >= 0.9 * 10 * len(queries)
 
 
-def test_longest_prefixes_come_first():
+def recall(df, shard_size, every=100, k=10):
+    """(recall against brute force, share of the vectors seen, result)"""
+    ids, m = map(np.array, zip(*((r.vec_id, r.embedding) for r in df.collect())))
+    got, seen = {}, {}
+    for r in nearest(df, every, k, shard_size=shard_size).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+        seen[r.query_id] = r.seen
+    hits, queries = 0, ids[ids % every == 0]
+    for q in queries:
+        d = ((m - m[ids == q][0]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hits += len(set(got[int(q)].values()) & set(ids[np.argsort(d, kind="stable")[:k]].tolist()))
+    return hits / (k * len(queries)), sum(seen.values()) / len(seen) / len(ids), got
+
+
+def cloud(spark, n, clusters, dim=24, seed=3):
+    rng = np.random.default_rng(seed)
+    m = rng.standard_normal((clusters, dim))[rng.integers(0, clusters, n)] + 0.15 * rng.standard_normal((n, dim))
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m.astype(np.float32))], "vec_id long, embedding array<float>").cache()
+
+
+def test_shards_change_nothing_and_clusters_are_seen_alone(spark):
+    """Recall over many shards, the same result as in one, and a share of vectors seen
+    that falls as the table grows, where there is something to tell vectors apart."""
+    small, large = cloud(spark, 6000, 60), cloud(spark, 20_000, 200)
+    found, share, got = recall(large, 1500)
+    assert found >= 0.9 and share < 0.25
+    assert got == recall(large, 10**6)[2]
+    assert share < recall(small, 1500)[1]
+
+
+def test_candidates_share_the_prefix_of_their_depth():
     rng = np.random.default_rng(0)
-    m = rng.standard_normal((5000, 16))
-    forest = Forest(m)
-    lo, hi = forest.ranges(forest.strings[:, :1] * 0 + np.uint64(5))
-    assert (hi[0] - lo[0] == 5000).all() and ((hi[:-1] - lo[:-1]) >= (hi[1:] - lo[1:])).all()
-    near = next(iter(forest.candidates(m[:1], visits=0.01, least=1)))
-    assert 0 in near and len(near) < 1500
+    strings = hashes(rng.standard_normal((700, 8)), np.zeros(8))
+    shard, asked = Shard(strings.T.copy()), strings[:20]
+    depths = rng.integers(0, 15, 20)
+    for q, near in enumerate(shard.candidates(asked, depths)):
+        rest = np.uint64(BITS - depths[q])
+        assert near.tolist() == np.flatnonzero(((strings >> rest) == (asked[q] >> rest)).any(1)).tolist() and q in near
+    assert set(shard.prefixes(5)) == {(t, int(s) >> BITS - 5) for row in strings for t, s in enumerate(row)}
+    bits = shared_bits(strings, asked[0])
+    assert (bits[0] == COUNTED).all()
+    for row, n in zip(strings[1:50], bits[1:50]):
+        for s, own, got in zip(row.tolist(), asked[0].tolist(), n.tolist()):
+            a, b = f"{s:032b}", f"{own:032b}"
+            assert got == next((i for i in range(COUNTED) if a[i] != b[i]), COUNTED)

@@ -1,10 +1,11 @@
+import gzip
 import zlib
 
 import pytest
 from pyarrow import fs
 
 from sentria.llm.common import new_path
-from sentria.llm.warc import archive_round_trip, index, inflated, normalise, payload_digest, read_archives, records, write_archives
+from sentria.llm.warc import archive_round_trip, index, inflated, normalise, payload_digest, read_archives, record_id, records, render, write_archives
 
 SCHEMA = "page_id long, url string, html string, payload_digest string, first string"
 ROWS = [
@@ -63,3 +64,20 @@ def test_empty_table_and_cut_archive(spark):
     assert archive_round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
     with pytest.raises(ValueError):
         list(records(iter([b"WARC/1.0\r\nContent-Length: 10\r\n\r\nshort"])))
+
+
+def test_cut_streams_are_errors():
+    import io
+
+    whole = gzip.compress(b"WARC/1.0 one") + gzip.compress(b"two")
+    assert b"".join(inflated(io.BytesIO(whole), 4)) == b"WARC/1.0 onetwo"
+    for cut in (1, 4, 8, len(gzip.compress(b"two")) - 1):
+        with pytest.raises(EOFError):
+            list(inflated(io.BytesIO(whole[:-cut]), 4))
+
+
+def test_revisits_name_the_record_they_refer_to():
+    digest = payload_digest(b"x")
+    text = render(7, "http://b", "x", 3, "http://a")
+    assert f"WARC-Refers-To: {record_id(3, 'http://a', digest)}" in text
+    assert f"WARC-Record-ID: {record_id(3, 'http://a', digest)}" in render(3, "http://a", "x", None)
