@@ -34,8 +34,7 @@ STANDING = 4096
 COUNTED = 14
 #: The queries that the sample takes at most, and the recall that it must reach.
 SAMPLE, RECALL = 128, 0.94
-#: Each tree shows so many vectors at least, on average; a table of no more is
-#: compared whole.
+#: A table of so few vectors is compared whole.
 LEAST = 256
 SEED = 17
 
@@ -244,7 +243,8 @@ def _enough(forest: Forest, asked: DataFrame, k: int) -> dict[int, int]:
             stand = [int(np.flatnonzero(v >= min(least, v[0])).max()) for v in visits]
             if sum(int((d >= s).sum()) for d, s in zip(depths, stand)) >= wanted:
                 break
-        out[dim] = max(least, LEAST * TREES)
+        whole = max(int(v[0]) for v in visits)
+        out[dim] = least if whole > LEAST * TREES else whole
     return out
 
 
