@@ -4,8 +4,8 @@ import hashlib
 
 import pytest
 from test_decontam import plain_tiling
-from test_linededup import brute_spans
-from test_simhash import brute as groups
+from test_jaccard import brute as groups
+from test_linededup import brute_spans, key
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -19,10 +19,10 @@ from sentria.llm.queries import TOKENIZER
 def plain_pipeline(rows, crf, items):
     """(doc_id, text) rows -> {doc_id: (n_tokens, ids digest, decoded digest)}."""
     kept = [r for r, (lang, score) in zip(rows, langid.Tagger(crf).read([t for _, t in rows])) if lang != "und" and score >= langid.MIN_SCORE]
-    first = {d: c for d, _, c in groups(kept)}
+    first, _ = groups(kept)
     kept = sorted(r for r in kept if first[r[0]] == r[0])
-    spans = brute_spans(kept)
-    texts = [(d, cut(text, spans.get(d, []))) for d, text in kept]
+    spans = brute_spans(kept, min_words=1)
+    texts = [(d, cut(text, [s[:2] for s in spans.get((d, key(text)), [])])) for d, text in kept]
     library, out = Tokenizer.from_file(TOKENIZER), {}
     for d, text in texts:
         words = tokens(text)
@@ -64,7 +64,7 @@ def test_equals_brute_force(spark, small):
     items = [tokens(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     want = plain_pipeline(rows, langid.learn(docs), items)
     got = entry.queries()["pipeline"](spark, small).collect()
-    assert len(got) == len(want) and {r.doc_id: tuple(r)[1:] for r in got} == want
+    assert len(got) == len(want) and {r.doc_id: tuple(r)[1:4] for r in got} == want
     assert 0 < len(want) < len(rows) and not {9001, 9002, 9003, 9004, 9006} & set(want)
 
 
