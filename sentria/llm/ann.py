@@ -32,6 +32,9 @@ TREES, BITS, SHARD, BLOCK = 48, 32, 4096, 256
 STANDING = 4096
 #: Prefixes are counted over the whole forest up to this length; a search stands no lower.
 COUNTED = 14
+#: Queries are routed by prefixes of this length at most: a shard has TREES * 2**ROUTED
+#: of them, however many vectors it holds.
+ROUTED = 7
 #: The queries that the sample takes at most, and the recall that it must reach.
 SAMPLE, RECALL = 128, 0.94
 #: A table of so few vectors is compared whole.
@@ -272,8 +275,10 @@ def _standing(asked: DataFrame, forest: Forest, enough: dict[int, int]) -> DataF
 
 
 def _routes(asked: DataFrame, forest: Forest) -> DataFrame:
-    """(id, dim, shard): the shards that hold a vector with one of a query's prefixes."""
-    used = sorted(r.depth for r in asked.select("depth").distinct().collect())  # COUNTED + 1 at most
+    """(id, dim, shard): the shards that hold a vector with one of a query's prefixes, or
+    with the first ROUTED bits of one."""
+    asked = asked.withColumn("depth", F.least("depth", F.lit(ROUTED)))
+    used = sorted(r.depth for r in asked.select("depth").distinct().collect())  # ROUTED + 1 at most
 
     def held(batches):
         for batch in batches:
