@@ -182,4 +182,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_key, of_text = free_name(docs, "_gone_id"), free_name(docs, "_gone_text")
     found = groups(docs, id_col, text_col, **kw)
     gone = found.where(rank() != F.col("first")).select(F.col("id").alias(id_key), F.col("text_key").alias(of_text)).distinct()
+    gone = written(gone, "gone")  # its size is known when the join is planned
     return docs.join(gone, (F.col(id_col) == F.col(id_key)) & (text_key(text_col) == F.col(of_text)), "left_anti")
