@@ -5,13 +5,17 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _made: list[tuple[object, str]] = []  # (Hadoop configuration, path)
+_blocks = threading.local()  # the blocks that a thread is in, each a list of paths
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,14 +35,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; it goes when the program ends."""
+    """A path in the shared folder that nothing else uses; it goes with the block of
+    ``passing`` that it is made in, or when the program ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_blocks, "open", None):
+        _blocks.open[-1].append(path)
+        return path
     if not _made:
         atexit.register(_clear)
     _made.append((spark._jsc.hadoopConfiguration(), path))
     return path
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """A block whose working tables go when it ends: what it makes must be written
+    elsewhere by then. For loops, micro-batches and stages."""
+    if not hasattr(_blocks, "open"):
+        _blocks.open = []
+    _blocks.open.append([])
+    try:
+        yield
+    finally:
+        for path in _blocks.open.pop():
+            delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and a lost
     executor costs no recomputation of what came before."""
