@@ -13,6 +13,7 @@ from sentria.llm.common import table
 from sentria.llm.decontam import overlaps
 from sentria.llm.linededup import repeated_units, without_repeats
 from sentria.llm.quality import quality
+from sentria.llm.resample import resample
 from sentria.llm.simhash import near_duplicates
 from sentria.llm.tokencount import token_counts
 from sentria.llm.warc import archive_round_trip
@@ -74,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +93,7 @@ QUERIES = {
         op9_line_dedup,
         repeated_lines,
         op10_quality,
+        op13_resample,
     )
 }
 
@@ -150,4 +156,50 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLES = {"op3_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "repeated_lines": OP9_SQL}
+#: CRC-32 of a list of byte values, by its table of 256 entries.
+CRC_SQL = """
+crc_table AS MATERIALIZED (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY i) AS crc_entries
+  FROM (SELECT unnest(range(0, 256)) AS i)
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text's bytes, where crc_entries is in scope."""
+    hexed = f"hex(encode({text}))"
+    digit = lambda at: f"(instr('0123456789ABCDEF', substr({hexed}, ({at})::INT, 1)) - 1)"
+    octets = f"list_transform(range(0, length({hexed}) // 2), lambda j: {digit('2 * j + 1')} * 16 + {digit('2 * j + 2')})"
+    step = "lambda x, y: xor(crc_entries[(xor(x, y) % 256 + 1)::INT], x // 256)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), {step}), 4294967295::BIGINT)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "unnest(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))"
+OP13_SQL = f"""
+WITH {CRC_SQL}, doc_words AS (
+  SELECT doc_id, word, count(*) AS times FROM (SELECT doc_id, {_WORDS} AS word FROM documents) GROUP BY ALL
+), target_words AS (
+  SELECT word, count(*) AS times FROM (SELECT {_WORDS} AS word FROM benchmark) GROUP BY ALL
+), hashed AS (
+  SELECT word, {crc_sql("word")} % 10000 AS bucket
+  FROM (SELECT word FROM doc_words UNION SELECT word FROM target_words), crc_table
+), raw AS (SELECT bucket, sum(times)::DOUBLE AS s FROM doc_words JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, sum(times)::DOUBLE AS t FROM target_words JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM raw) AS all_s, (SELECT coalesce(sum(t), 0) FROM target) AS all_t),
+gained AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS gain
+  FROM raw LEFT JOIN target USING (bucket), totals
+), weighed AS (
+  SELECT doc_id, coalesce(sum(times), 0)::BIGINT AS n_features, coalesce(sum(times * gain), 0)::BIGINT AS weight
+  FROM documents LEFT JOIN (SELECT * FROM doc_words JOIN hashed USING (word) JOIN gained USING (bucket)) USING (doc_id) GROUP BY doc_id
+), scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM weighed
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FILTER (n_features >= 20) * 10 // 100 FROM scored) THEN place END AS rank
+FROM ranked
+"""
+
+ORACLES = {"op3_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "repeated_lines": OP9_SQL, "op13_resample": OP13_SQL}
