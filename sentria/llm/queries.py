@@ -16,6 +16,7 @@ from sentria.llm.quality import quality
 from sentria.llm.resample import resample
 from sentria.llm.simhash import near_duplicates
 from sentria.llm.tokencount import token_counts
+from sentria.llm.trie import conversation_trie
 from sentria.llm.warc import archive_round_trip
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,6 +98,7 @@ QUERIES = {
         op9_line_dedup,
         repeated_lines,
         op10_quality,
+        op12_conversation_trie,
         op13_resample,
     )
 }
@@ -202,4 +208,42 @@ SELECT doc_id, n_features, weight, score,
 FROM ranked
 """
 
-ORACLES = {"op3_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "repeated_lines": OP9_SQL, "op13_resample": OP13_SQL}
+#: A node's ancestors are the nodes on the path of its smallest member.
+OP12_SQL = f"""
+WITH {CRC_SQL}, turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS host, {crc_sql("conv_id::VARCHAR")} % 6 AS taken
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+), rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, role, text
+  FROM (SELECT c.conv_id, 0 AS own, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.host AND t.pos <= c.taken
+        UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.taken)
+), whole AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY depth) AS turns, count(*) AS length FROM rebuilt GROUP BY conv_id
+), members AS (
+  SELECT conv_id, 0 AS depth, NULL AS node, 0 AS chars, coalesce(length, 0) AS length FROM convs LEFT JOIN whole USING (conv_id)
+  UNION ALL
+  SELECT conv_id, d, sha256(turns[:d]::VARCHAR), length(turns[d].text), length FROM (SELECT *, unnest(range(1, length + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM members GROUP BY depth, node
+), named AS (
+  SELECT m.conv_id AS member, m.depth, n.conv_id FROM members m JOIN nodes n ON n.depth = m.depth AND n.node IS NOT DISTINCT FROM m.node
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN named p ON p.member = n.conv_id AND p.depth = n.depth - 1
+), counted AS (
+  SELECT n.depth, n.conv_id, count(c.conv_id) AS n_children
+  FROM nodes n LEFT JOIN linked c ON c.depth = n.depth + 1 AND c.parent_conv_id = n.conv_id GROUP BY ALL
+), rolled AS (
+  SELECT a.depth, a.conv_id, sum((c.n_children = 0)::INT) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM nodes n JOIN counted c USING (depth, conv_id) JOIN named a ON a.member = n.conv_id AND a.depth <= n.depth GROUP BY ALL
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM linked JOIN counted USING (depth, conv_id) JOIN rolled USING (depth, conv_id)
+"""
+
+ORACLES = {"op3_warc": OP3_SQL, "op7_chat_format": OP7_SQL, "repeated_lines": OP9_SQL, "op12_conversation_trie": OP12_SQL, "op13_resample": OP13_SQL}
