@@ -12,6 +12,7 @@ from sentria.llm.chat import format_turns, read_back
 from sentria.llm.common import table
 from sentria.llm.decontam import overlaps
 from sentria.llm.linededup import repeated_units, without_repeats
+from sentria.llm.pii import personal_data
 from sentria.llm.quality import quality
 from sentria.llm.resample import resample
 from sentria.llm.simhash import near_duplicates
@@ -76,6 +77,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -98,6 +103,7 @@ QUERIES = {
         op9_line_dedup,
         repeated_lines,
         op10_quality,
+        op11_personal_data,
         op12_conversation_trie,
         op13_resample,
     )
