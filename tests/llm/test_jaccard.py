@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sentria.llm.jaccard import groups, near_copies
 from sentria.llm.simhash import representatives
@@ -59,8 +61,8 @@ def test_near_copies_equal_exact_jaccard(spark):
     assert near_copies(docs.limit(0)).collect() == []
 
 
-def test_tiles_of_a_full_group(spark, monkeypatch):
-    """A group of more texts than a tile is compared whole."""
+def test_tiles_of_a_full_band(spark, monkeypatch):
+    """A band of more texts than a tile is compared whole."""
     import sentria.llm.jaccard as j
 
     monkeypatch.setattr(j, "TILE", 8)
@@ -72,6 +74,54 @@ def test_tiles_of_a_full_group(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == brute(rows)[0]
 
 
+def parts_of(docs):
+    import sentria.llm.jaccard as j
+
+    sketches = j.written(j._sketches(docs, "doc_id", "text", 5), "sketches")
+    distinct = sketches.groupBy("key").agg(F.min("row").alias("row"))
+    banded = j._banded(sketches)
+    return j, banded, j._sets(sketches, distinct, banded, 5)
+
+
+def test_a_chain_costs_no_more_than_its_band_pairs(spark):
+    """Each text is 0.7 like the next, so bands connect long chains, and none is a near copy."""
+    words = [f"w{i}" for i in range(1200 + 21 * 400)]
+    docs = spark.createDataFrame([(i, " ".join(words[21 * i : 21 * i + 120])) for i in range(400)], "doc_id long, text string")
+    j, banded, sets = parts_of(docs)
+    pairs = banded.groupBy("band").count().selectExpr("sum(count * (count - 1) / 2)").head()[0]
+    found = j._compared(j._rooted(banded, None), sets)
+    assert found.where("a is not null").count() == 0
+    assert 0 < found.agg(F.sum("compares")).head()[0] <= pairs < 3000
+    assert near_copies(docs).select("component_id").distinct().count() == 400
+
+
+def test_near_copies_are_connected_by_few_compares(spark):
+    """400 versions of one text: what is left for pair by pair is next to nothing."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(400):
+        at = rng.randrange(390)
+        rows.append((i, " ".join(base[:at] + [f"x{i}"] + base[at + 1 :])))
+    j, banded, sets = parts_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    stars = j._stars(j._rooted(banded, None), True)
+    links = j._confirmed(stars, sets)
+    assert stars.count() < 400 and links.count() > 380
+    left = j._compared(j._rooted(banded, j.components(links)), sets)
+    assert left.agg(F.sum("compares")).head()[0] < 400
+
+
+def test_only_the_first_common_band_compares():
+    import numpy as np
+
+    from sentria.llm.jaccard import cross
+
+    same = np.arange(10, dtype=np.uint64)
+    tile = [(1, 1, same, [5, 7]), (2, 2, same, [5, 7]), (3, 3, same + np.uint64(100), [5, 8]), (4, 1, same, [6, 7])]
+    assert cross(5, tile, tile, True) == ([(1, 2)], 3)
+    assert cross(7, tile, tile, True) == ([(2, 4)], 1)  # 1 and 4 are connected; 1 and 2 met before
+
+
 def test_stage_removes_near_copies(spark, sf):
     """The pipeline's stage leaves what exact Jaccard leaves, on real documents too."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
