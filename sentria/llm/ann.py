@@ -24,13 +24,13 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentria.llm.common import slices, written
+from sentria.operators.running import numbered
 
 #: Trees, and bits of a hash string.
 TREES, BITS = 48, 32
@@ -105,44 +105,27 @@ def hashed(vectors: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def packed(vectors: DataFrame, size: int) -> DataFrame:
-    """(dim, block, matrix, ids, strings): blocks of up to ``size`` rows of ``vectors`` (dim,
-    vector, ids, strings, first) that follow each other in the first tree, so that vectors
-    which are alike lie together. ``matrix`` holds doubles."""
+    """(dim, block, matrix, ids, strings): blocks of ``size`` rows of ``vectors`` (dim, vector,
+    ids, strings, first) that follow each other in the first tree, so that vectors which
+    are alike lie together. ``matrix`` holds doubles."""
     kind = vectors.schema["ids"].dataType
     schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("matrix", T.BinaryType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("strings", T.BinaryType())])
+    rows = numbered(vectors, [F.col("dim"), F.col("first"), F.xxhash64("vector")], "number")
+    # blocks of rows by number, however the rows are partitioned; a block has one dim
+    block = F.shiftleft(F.floor(F.col("number") / size), 20) + F.col("dim")
+    held = rows.groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("vector", "ids", "strings")).alias("rows"))
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def emit(table):
-            nonlocal number
-            for dim in table.column(0).unique().to_pylist():
-                own = table.filter(pc.equal(table.column(0), dim)).combine_chunks()
-                for at in range(0, own.num_rows, size):
-                    part = own.slice(at, size)
-                    vector, ids, strings = (part.column(i).combine_chunks() for i in (1, 2, 3))
-                    yield pa.record_batch(
-                        [pa.array([dim], pa.int32()), pa.array([number], pa.int64()), pa.array([_matrix(vector, dim).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([b"".join(strings.to_pylist())], pa.binary())],
-                        names=schema.names,
-                    )
-                    number += 1
-
-        for batch in slices(batches, size):
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 2 * size:
-                table = pa.Table.from_batches(held)
-                yield from emit(table.slice(0, size))
-                held = table.slice(size).to_batches()
-                rows -= size
-        if held:
-            yield from emit(pa.Table.from_batches(held))
+        for batch in slices(batches, 1):
+            own = batch.column(2)[0].values
+            vector, ids, strings = (own.field(c) for c in ("vector", "ids", "strings"))
+            matrix = _matrix(vector, batch.column(0)[0].as_py())
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array([matrix.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([b"".join(strings.to_pylist())], pa.binary())],
+                names=schema.names,
+            )
 
-    order = ["dim", "first", F.xxhash64("vector")]
-    rows = vectors.repartitionByRange(*order).sortWithinPartitions(*order).select("dim", "vector", "ids", "strings")
-    return rows.mapInArrow(run, schema)
+    return held.mapInArrow(run, schema)
 
 
 class Directory:
