@@ -10,11 +10,10 @@ a set of LIKE patterns: the best score is one CASE, tested from the top down.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +46,8 @@ def _col(x: Column | int) -> Column:
     return F.lit(x) if isinstance(x, int) else x
 
 
+#: What stands for no score where there is no null.
+NONE = -(1 << 30)
 #: The kinds of match that a query may ask for.
 KINDS = ("exact", "missing", "substitution", "extra")
 
@@ -139,26 +140,82 @@ def split_filter_columns(query: Column, sentence: Column) -> Column:
     return (half == 0) | F.contains(sentence, F.substring(query, F.lit(1), half)) | F.contains(sentence, F.substring(query, half + 1, F.length(query)))
 
 
-@lru_cache(maxsize=10_000)
-def _tests(query: str) -> list[tuple[int, re.Pattern]]:
-    """The patterns of a query as one regular expression for each score, best first."""
-    likes = {score: [p.strip("%") for p in found] for score, found in patterns(query).items()}
-    return [(score, re.compile("|".join(".".join(map(re.escape, p.split("_"))) for p in found), re.DOTALL)) for score, found in likes.items()]
+#: Pairs whose sentences are held as code points at a time.
+TOGETHER = 4096
+
+
+def score_sentences(query: str, sentences: list[str]) -> np.ndarray:
+    """The best score of a query in each of many sentences, all normalised; ``NONE``
+    where there is no match.
+
+    The sentences stand behind each other in one array of code points. Two numbers
+    for each place, how much of the query begins there and how much of it ends there,
+    say of every window whether one edit makes it the query, and where: an edit as late
+    as possible costs least. Each of those numbers takes one pass a character of the query.
+    """
+    n, sizes = len(query), np.fromiter(map(len, sentences), np.int64, len(sentences))
+    out = np.full(len(sentences), NONE, np.int64)
+    kept = np.flatnonzero(sizes)
+    if not n or not len(kept):
+        return out
+    text = np.frombuffer("".join(sentences).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.frombuffer(query.encode("utf-32-le", "surrogatepass"), np.uint32)
+    total = len(text)
+    padded = np.concatenate([text, np.full(n + 1, 0xFFFFFFFF, np.uint32)])
+    kind = np.uint8 if n < 256 else np.int32
+    begins, ends = np.zeros(total + n + 2, kind), np.zeros(total + n + 2, kind)
+    alive = np.ones(total, bool)
+    for k in range(n):  # begins[i]: the query's first characters from place i on
+        alive &= padded[k : k + total] == code[k]
+        if not alive.any():
+            break
+        begins[:total] += alive
+    alive = np.ones(total, bool)
+    for k in range(min(n, total)):  # ends[i]: the query's last characters before place i
+        alive[k:] &= text[: total - k] == code[n - 1 - k]
+        alive[:k] = False
+        if not alive.any():
+            break
+        ends[1 : total + 1] += alive
+    begins, ends = begins.astype(np.int32), ends.astype(np.int32)
+    stops = np.repeat(np.cumsum(sizes), sizes)  # where the sentence of a place ends
+    at = np.arange(total)
+    p = np.minimum(begins[:total] + 1, n)  # the latest place of the query at which an edit may be
+    best = np.full(total, NONE, np.int64)
+
+    def offer(size: int, fits: np.ndarray, score: np.ndarray) -> None:
+        np.maximum(best, np.where(fits & (at + size <= stops), score, NONE), out=best)
+
+    offer(n, begins[:total] >= n, np.full(total, 2 * n))
+    offer(n, (begins[:total] < n) & (ends[n : n + total] >= n - p), 2 * (n - 1) - np.maximum(6 - p, 1))
+    # the character that the query lacks stands before its p-th
+    offer(n + 1, (p >= 2) & (ends[n + 1 : n + 1 + total] >= n + 1 - p), 2 * n - np.maximum(12 - 2 * p, 2))
+    if n > 1:
+        offer(n - 1, ends[n - 1 : n - 1 + total] >= n - p, 2 * (n - 1) - np.maximum(12 - 2 * p, 2))
+    out[kept] = np.maximum.reduceat(best, (np.cumsum(sizes) - sizes)[kept])
+    return out
 
 
 def score_pair(query: str, sentence: str) -> int | None:
     """The score of one query and one sentence, both normalised."""
-    if not query or not sentence:
-        return None
-    return next((score for score, test in _tests(query) if test.search(sentence)), None)
+    found = int(score_sentences(query, [sentence])[0])
+    return None if found == NONE else found
 
 
 def pair_score() -> Callable[..., Column]:
-    """``score_pair`` over two columns. A query's patterns are compiled once for all
-    the sentences of a task; LIKE with patterns from a column compiles them for every row."""
-
-    @F.pandas_udf("int")
-    def score(query: pd.Series, sentence: pd.Series) -> pd.Series:
-        return pd.Series([score_pair(q, s) for q, s in zip(query, sentence)], dtype="Int32")
+    """``score_sentences`` over two columns: the sentences of one query are scored together."""
+
+    @F.arrow_udf("int")
+    def score(query: pa.Array, sentence: pa.Array) -> pa.Array:
+        queries, sentences = query.dictionary_encode(), sentence.to_pylist()
+        of, out = queries.indices.fill_null(-1).to_numpy(), np.full(len(sentences), NONE, np.int64)
+        order = np.argsort(of, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            if len(rows) and of[rows[0]] >= 0:
+                own = queries.dictionary[int(of[rows[0]])].as_py()
+                for lo in range(0, len(rows), TOGETHER):
+                    part = rows[lo : lo + TOGETHER]
+                    out[part] = score_sentences(own, [sentences[r] or "" for r in part])
+        return pa.array(out.astype(np.int32), pa.int32(), mask=out == NONE)
 
     return score

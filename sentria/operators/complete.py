@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentria.functions.scoring import best_match, pair_score, split_filter, split_filter_columns, substitution_score
 from sentria.functions.text import normalize, normalize_query, query_trigrams, trigrams, windows
-from sentria.operators.index import DAMAGE, posting_sizes, rarest
+from sentria.operators.index import DAMAGE, LISTED_POSTINGS, SentenceIndex, merged, posting_sizes, rarest
 from sentria.session import ship_code
 from sentria.shared import written
 
@@ -79,6 +79,33 @@ def complete_indexed(sentences: DataFrame, posts: DataFrame, prefix: str, *key:
     return _best(sentences.join(hits, list(key)).withColumn("score", score), k)
 
 
+def complete_stored(index: SentenceIndex, prefix: str, k: int = LIMIT, share: float = SHARE) -> DataFrame:
+    """The same through a stored index.
+
+    A query that has fewer than four trigrams which are rarer than ``share`` is
+    scanned for without asking the index. Otherwise its four rarest lists name the
+    sentences: if they are many, the longer lists are merged with them first, so that
+    only sentences which share enough trigrams are read.
+    """
+    query = normalize_query(index.sentences.sparkSession, prefix)
+    grams = query_trigrams(query)
+    n, common = index.common(share)
+    if len(grams) <= DAMAGE or sum(g not in common for g in grams) <= DAMAGE:
+        return complete(index.sentences, prefix, k)
+    sizes = index.sizes_of(grams)
+    if sum(not size for size in sizes.values()) > DAMAGE:
+        return complete(index.sentences, "", k)
+    probes = sorted(sizes, key=lambda g: (sizes[g], g))[: DAMAGE + 1]
+    met = sum(sizes[g] for g in probes)
+    if met >= share * n:
+        return complete(index.sentences, prefix, k)
+    hits = merged(index.blocks, sizes, index.KEY)
+    if met <= LISTED_POSTINGS:
+        hits = F.broadcast(hits)
+    score = F.when((F.col("shared") >= 1) & split_filter(query), best_match(query))
+    return _best(index.sentences.join(hits, index.KEY).withColumn("score", score), k)
+
+
 def top_k(results: DataFrame, *by: str, k: int = LIMIT) -> DataFrame:
     """The ``k`` best results of each query, with their rank from 1; every partition
     keeps ``k`` of a query before anything is shuffled."""
@@ -86,11 +113,11 @@ def top_k(results: DataFrame, *by: str, k: int = LIMIT) -> DataFrame:
     return results.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def complete_batch(sentences: DataFrame, posts: DataFrame, queries: DataFrame, *key: str, k: int = LIMIT, id_col: str = "query_id", text_col: str = "prefix", sizes: DataFrame | None = None) -> DataFrame:
+def complete_batch(sentences: DataFrame, posts: DataFrame, queries: DataFrame, *key: str, k: int = LIMIT, id_col: str = "query_id", text_col: str = "prefix", sizes: DataFrame | None = None, listed: int = LISTED) -> DataFrame:
     """(query_id, rank, completed_sentence, source_text, offset, score) of the ``k``
     best sentences of every query of a table.
 
-    Each different text is answered once; of the texts no more than ``LISTED`` come
+    Each different text is answered once; of the texts no more than ``listed`` come
     to the driver, whatever their number. Exact matches come first: those of a query are
     among the postings of its rarest trigram, or for one or two characters among
     the sentences' own windows. Only queries with fewer than ``k`` of them are then
@@ -101,65 +128,68 @@ def complete_batch(sentences: DataFrame, posts: DataFrame, queries: DataFrame, *
     asked = queries.select(F.col(id_col).alias("query_id"), normalize(text_col).alias("query")).where("query <> ''")
     texts = asked.select("query").distinct()
     sizes = posting_sizes(posts) if sizes is None else sizes
-    exact = written(top_k(_exact(sentences, posts, sizes, texts, *key), "query", k=k), "exact")
+    exact = written(top_k(_exact(sentences, posts, sizes, texts, listed, *key), "query", k=k), "exact")
     done = exact.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query")
     rest = texts.join(done, "query", "left_anti")
-    found = exact.join(done, "query", "left_semi").unionByName(top_k(_edited(sentences, posts, sizes, rest, k, *key), "query", k=k))
+    found = exact.join(done, "query", "left_semi").unionByName(top_k(_edited(sentences, posts, sizes, rest, k, listed, *key), "query", k=k))
     return asked.join(found, "query").select("query_id", "rank", "completed_sentence", "source_text", "offset", "score")
 
 
-def _probed(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, n: int, *key: str) -> DataFrame:
+def _probed(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, n: int, listed: int, *key: str) -> DataFrame:
     """Each query beside the sentences among the postings of its ``n`` rarest trigrams."""
     grams = texts.select("query", F.explode(trigrams("query")).alias("trigram"))
     order = F.row_number().over(Window.partitionBy("query").orderBy("postings", "trigram"))
     probes = grams.join(sizes, "trigram", "left").fillna(0, ["postings"]).withColumn("place", order).where(F.col("place") <= n).select("query", "trigram")
-    few = [r.trigram for r in probes.select("trigram").distinct().limit(LISTED + 1).collect()]
-    if len(few) <= LISTED:  # named in the scan, they are few row groups of the postings
+    few = [r.trigram for r in probes.select("trigram").distinct().limit(listed + 1).collect()]
+    if len(few) <= listed:  # named in the scan, they are few row groups of the postings
         posts = posts.where(F.col("trigram").isin(few))
     return probes.join(posts, "trigram").select("query", *key).distinct().join(sentences, list(key))
 
 
-def _holding(sentences: DataFrame, texts: DataFrame, parts: Callable[[str], list[str]], *key: str) -> DataFrame:
+def _holding(sentences: DataFrame, texts: DataFrame, parts: Callable[[Column], Column], *key: str, listed: int = LISTED) -> DataFrame:
     """Each query beside the sentences that hold one of its parts, short as they are.
 
     A few queries are looked for in one pass over the sentences; many are joined to
-    the windows of the sentences.
+    the windows of the sentences, of the lengths that parts have.
     """
-    few = [r.query for r in texts.limit(LISTED + 1).collect()]
+    parted = texts.select("query", parts(F.col("query")).alias("parts"))
+    few = parted.limit(listed + 1).collect()
     if not few:
         return sentences.where(F.lit(False)).withColumn("query", F.lit(""))
-    if len(few) <= LISTED:
-        held = F.array(*(F.struct(F.lit(q).alias("query"), F.array(*map(F.lit, parts(q))).alias("parts")) for q in few))
+    if len(few) <= listed:
+        held = F.array(*(F.struct(F.lit(r.query).alias("query"), F.array(*map(F.lit, r.parts)).alias("parts")) for r in few))
         hit = F.filter(held, lambda x: F.exists(x["parts"], lambda part: F.contains("normalized_sentence", part)))
         return sentences.withColumn("hit", F.explode(hit)).withColumn("query", F.col("hit.query")).drop("hit")
-    of_query = F.udf(parts, "array<string>")("query")
-    parted = texts.select("query", F.explode(of_query).alias("part"))
-    lengths = [r[0] for r in parted.select(F.length("part")).distinct().collect()]
+    parted = written(parted.select("query", F.explode("parts").alias("part")), "parts")
+    lengths = [r[0] for r in parted.select(F.length("part")).distinct().collect()]  # of short queries: a few
     every = F.flatten(F.array(*(windows("normalized_sentence", m) for m in sorted(lengths))))
-    return sentences.select(F.explode(every).alias("part"), *key).join(parted, "part").select("query", *key).distinct().join(sentences, list(key))
+    asked = parted.select("part").distinct()
+    held = sentences.select(F.explode(every).alias("part"), *key).join(asked, "part")
+    return held.join(parted, "part").select("query", *key).distinct().join(sentences, list(key))
 
 
-def _whole(query: str) -> list[str]:
-    return [query]
+def _whole(query: Column) -> Column:
+    return F.array(query)
 
 
-def _halves(query: str) -> list[str]:
+def _halves(query: Column) -> Column:
     """One edit spares one half. Of a single character, which any other may replace, itself."""
-    half = len(query) // 2
-    return sorted({query[:half], query[half:]} - {""})
+    half = (F.length(query) / 2).cast("int")
+    both = F.array(F.substring(query, F.lit(1), half), F.substring(query, half + 1, F.length(query)))
+    return F.array_distinct(F.filter(both, lambda part: part != ""))
 
 
-def _exact(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, *key: str) -> DataFrame:
+def _exact(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, listed: int, *key: str) -> DataFrame:
     n = F.length("query")
-    met = _probed(sentences, posts, sizes, texts.where(n >= 3), 1, *key).where(F.contains("normalized_sentence", "query"))
-    met = met.unionByName(_holding(sentences, texts.where(n < 3), _whole, *key).select(*met.columns))
+    met = _probed(sentences, posts, sizes, texts.where(n >= 3), 1, listed, *key).where(F.contains("normalized_sentence", "query"))
+    met = met.unionByName(_holding(sentences, texts.where(n < 3), _whole, *key, listed=listed).select(*met.columns))
     return _result(met.withColumn("score", (2 * n).cast("int")), "query")
 
 
-def _edited(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, *key: str) -> DataFrame:
+def _edited(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, listed: int, *key: str) -> DataFrame:
     many = F.size(trigrams("query")) > DAMAGE
-    met = _probed(sentences, posts, sizes, texts.where(many), DAMAGE + 1, *key).where(split_filter_columns(F.col("query"), F.col("normalized_sentence")))
-    met = met.unionByName(_holding(sentences, texts.where(~many), _halves, *key).select(*met.columns))
+    met = _probed(sentences, posts, sizes, texts.where(many), DAMAGE + 1, listed, *key).where(split_filter_columns(F.col("query"), F.col("normalized_sentence")))
+    met = met.unionByName(_holding(sentences, texts.where(~many), _halves, *key, listed=listed).select(*met.columns))
     scored = _result(met.withColumn("score", pair_score()("query", "normalized_sentence")), "query")
     # a single character matches every other sentence by a change: its score is the
     # same for all, so the first k will do

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.functions.text import normalize_query, query_trigrams, trigrams
-from sentria.shared import delete, listed, qualified, size_of, write_at
+from sentria.operators.running import numbered
+from sentria.shared import delete, listed, passing, qualified, size_of, write_at
 
 #: One edit damages this many trigrams of a query at most.
 DAMAGE = 3
 #: Bytes of a row group of postings: a trigram is read with what little stands around it.
 ROW_GROUP = 1 << 20
+#: Ids of a block of postings.
+BLOCK_BITS = 12
+BLOCK = 1 << BLOCK_BITS
+#: Postings of a query's shortest lists that are sent to every task; more are joined.
+LISTED_POSTINGS = 1_000_000
 
 
 def postings(sentences: DataFrame, *key: str) -> DataFrame:
@@ -66,39 +72,87 @@ def _statistics(sentences: DataFrame, sizes: DataFrame) -> DataFrame:
     return both.agg(*(F.sum(c).alias(c) for c in counts.columns))
 
 
+def posting_blocks(sentences: DataFrame, key: str) -> DataFrame:
+    """(trigram, block, places): the postings of sentences numbered without gaps, packed.
+
+    A row holds what one trigram has in one block of ``BLOCK`` ids, as sorted distances
+    from where the block begins, 12 bits each as Parquet packs them. Sentences are
+    brought together by block before their trigrams are taken apart, so single postings
+    are never shuffled.
+    """
+    placed = sentences.select(F.shiftright(key, BLOCK_BITS).alias("block"), F.col(key).bitwiseAND(BLOCK - 1).cast("short").alias("place"), "normalized_sentence")
+    grams = placed.repartition("block").select("block", "place", F.explode(trigrams("normalized_sentence")).alias("trigram"))
+    return grams.groupBy("block", "trigram").agg(F.sort_array(F.collect_list("place")).alias("places")).select("trigram", "block", "places")
+
+
+def unpacked(blocks: DataFrame, key: str) -> DataFrame:
+    """(trigram, key): a row for each posting."""
+    return blocks.select("trigram", "block", F.explode("places").alias("place")).select("trigram", _id().alias(key))
+
+
+def _id() -> Column:
+    return F.shiftleft("block", BLOCK_BITS) + F.col("place")
+
+
+def merged(blocks: DataFrame, sizes: dict[str, int], key: str) -> DataFrame:
+    """(key, shared) of the sentences that have all but ``DAMAGE`` of the trigrams in
+    ``sizes``, a query's with their posting sizes.
+
+    Such a sentence is in one of the ``DAMAGE + 1`` shortest lists. Of the longer lists
+    only blocks are opened in which the shortest have something, and of a block only
+    what the shortest have is taken out.
+    """
+    order = sorted(sizes, key=lambda g: (sizes[g], g))
+    short, long = order[: DAMAGE + 1], order[DAMAGE + 1 :]
+    probes = blocks.where(F.col("trigram").isin(short))
+    hits = probes.select("block", F.explode("places").alias("place"))
+    if long:
+        there = probes.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("probed"))
+        there = F.broadcast(there) if sum(sizes[g] for g in short) <= LISTED_POSTINGS else there
+        met = blocks.where(F.col("trigram").isin(long)).join(there, "block")
+        hits = hits.unionByName(met.select("block", F.explode(F.array_intersect("places", "probed")).alias("place")))
+    counted = hits.groupBy("block", "place").agg(F.count("*").alias("shared"))
+    return counted.where(F.col("shared") >= len(order) - DAMAGE).select(_id().alias(key), "shared")
+
+
 class SentenceIndex:
-    """Sentences, postings and posting sizes, stored once and used by every query after."""
+    """Sentences, packed postings and posting sizes, stored once and used by every query after."""
 
     KEY = "sentence_id"
 
     def __init__(self, spark: SparkSession, path: str):
         self.path = path
-        self.sentences, self.postings, self.sizes, self._stats = (spark.read.parquet(f"{path}/{t}") for t in ("sentences", "postings", "sizes", "stats"))
+        self.sentences, self.blocks, self.sizes, self._stats = (spark.read.parquet(f"{path}/{t}") for t in ("sentences", "postings", "sizes", "stats"))
+        self._known: tuple[int, dict[str, int]] | None = None
 
     @classmethod
     def build(cls, spark: SparkSession, sentences: DataFrame, path: str) -> SentenceIndex:
         """Write a new version of the index below ``path``.
 
-        Sentences are stored with the ids they were given, and postings are made
-        from the stored table, so the two agree whatever is run again. Postings
-        are sorted by trigram: a query's trigrams are few row groups of each file.
-        Statistics come last and make the version the current one; whoever has
-        opened the version before keeps it, those before that are deleted.
+        Sentences get dense ids in the order of source and offset, the same in every
+        build; postings are made from the stored table, so the two agree whatever is
+        run again. Counts are observed while tables are written. Statistics come last
+        and make the version the current one; whoever has opened the version before
+        keeps it, those before that are deleted.
         """
         began, path = time.perf_counter(), qualified(spark, path)
         older = cls._versions(spark, path)
         now = f"{path}/version={time.time_ns():020d}"
-        # a source of few large files would keep all later work in as few tasks
-        tasks = spark.sparkContext.defaultParallelism
-        if sentences.rdd.getNumPartitions() < tasks:
-            sentences = sentences.repartition(tasks)
-        stored = write_at(sentences.withColumn(cls.KEY, F.monotonically_increasing_id()), f"{now}/sentences")
-        # partitions of one size whatever the trigrams: a common one may fill several
-        posts = postings(stored, cls.KEY).hint("rebalance", "trigram").sortWithinPartitions("trigram", cls.KEY)
-        posts = write_at(posts, f"{now}/postings", **{"parquet.block.size": ROW_GROUP})
-        sizes = write_at(posting_sizes(posts).coalesce(1).sortWithinPartitions("trigram"), f"{now}/sizes")
-        stats = _statistics(stored, sizes).withColumn("build_seconds", F.lit(time.perf_counter() - began)).withColumn("index_bytes", F.lit(size_of(spark, now)))
-        write_at(stats, f"{now}/stats")
+        records, packed = Observation(), Observation()
+        with passing(spark):
+            # a source of few large files would keep the normalising in as few tasks
+            ordered = [F.col(c).asc_nulls_first() for c in ("source_text", "offset", "original_sentence")]
+            numbers = numbered(sentences, ordered, cls.KEY).observe(records, F.count("*").alias("record_count"))
+            stored = write_at(numbers, f"{now}/sentences")
+        layout = ["trigram", "block"]
+        blocks = posting_blocks(stored, cls.KEY).repartitionByRange(*layout).sortWithinPartitions(*layout)
+        blocks = write_at(blocks, f"{now}/postings", **{"parquet.block.size": ROW_GROUP})
+        sizes = blocks.groupBy("trigram").agg(F.sum(F.size("places")).cast("long").alias("postings")).coalesce(1).sortWithinPartitions("trigram")
+        sizes = sizes.observe(packed, F.count("*").alias("distinct_trigrams"), F.coalesce(F.sum("postings"), F.lit(0)).cast("long").alias("total_postings"))
+        write_at(sizes, f"{now}/sizes")
+        counts = {**records.get, **packed.get}
+        row = (counts["record_count"], counts["distinct_trigrams"], counts["total_postings"], time.perf_counter() - began, size_of(spark, now))
+        write_at(spark.createDataFrame([row], "record_count long, distinct_trigrams long, total_postings long, build_seconds double, index_bytes long"), f"{now}/stats")
         for version in older[:-1]:
             delete(spark, version)
         return cls(spark, now)
@@ -114,9 +168,40 @@ class SentenceIndex:
     def _versions(spark: SparkSession, path: str) -> list[str]:
         return [found.removesuffix("/stats/_SUCCESS") for found in listed(spark, f"{path}/version=*/stats/_SUCCESS")]
 
+    def keep(self) -> SentenceIndex:
+        """Hold the index in the executors' memory from its first use on."""
+        for df in (self.sentences, self.blocks, self.sizes):
+            df.cache()
+        return self
+
+    @property
+    def postings(self) -> DataFrame:
+        """(trigram, sentence_id), unpacked."""
+        return unpacked(self.blocks, self.KEY)
+
+    def common(self, share: float) -> tuple[int, dict[str, int]]:
+        """The number of sentences, and the sizes of trigrams that a ``share`` of them
+        have: at most the trigrams of an average sentence, divided by ``share``. Read once."""
+        if self._known is None:
+            n = self._stats.head().record_count
+            self._known = n, {r.trigram: r.postings for r in self.sizes.where(F.col("postings") >= max(1, share * n)).collect()}
+        return self._known
+
+    def sizes_of(self, grams: list[str]) -> dict[str, int]:
+        """How many sentences have each of a query's trigrams."""
+        known = {r.trigram: r.postings for r in self.sizes.where(F.col("trigram").isin(grams)).collect()}
+        return {g: known.get(g, 0) for g in grams}
+
     def candidates(self, prefix: str) -> DataFrame:
+        """The sentences that could match with one edit; all for a query of too few trigrams."""
         query = normalize_query(self.sentences.sparkSession, prefix)
-        return candidates(self.sentences, self.postings, query, self.KEY).drop("shared")
+        grams = query_trigrams(query)
+        if not query or len(grams) <= DAMAGE:
+            return self.sentences.where(F.lit(bool(query)))
+        sizes = self.sizes_of(grams)
+        if sum(not n for n in sizes.values()) > DAMAGE:
+            return self.sentences.where(F.lit(False))
+        return self.sentences.join(merged(self.blocks, sizes, self.KEY), self.KEY).drop("shared")
 
     def stats(self) -> DataFrame:
         """One row: record_count, distinct_trigrams, total_postings, build_seconds,

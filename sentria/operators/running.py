@@ -60,6 +60,16 @@ def running(df: DataFrame, by: list[str], order: list[Column], totals: dict[str,
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` with the number of each row in ``order``, from 0, without a gap."""
-    out = running(df, [], order, {name: ("sum", F.lit(1))})
-    return out.withColumn(name, F.col(name) - 1)
+    """``df`` with the number of each row in ``order``, from 0, without a gap: the same
+    for every partitioning, if no two rows are equal in ``order``.
+
+    The rows are sorted in range partitions and stored; a row's number is its place in
+    its partition and the sizes of those before, so it moves no further.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_PLACE, F.monotonically_increasing_id())
+    rows = written(rows.withColumn(_PART, F.shiftright(_PLACE, 33)), "ranged")
+    sizes = rows.groupBy(_PART).agg(F.count("*").alias("__size"))
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = written(sizes.select(_PART, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")), "starts")
+    number = F.col("__start") + F.col(_PLACE).bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(starts), _PART).select(*df.columns, number.alias(name))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentria.functions.scoring import best_match, extra_character_score, exact_score, insertion_deletion_penalty, missing_character_score, partition_filter, patterns, substitution_penalty, substitution_score
+from sentria.functions.scoring import best_match, extra_character_score, exact_score, insertion_deletion_penalty, missing_character_score, pair_score, partition_filter, patterns, substitution_penalty, substitution_score
 from sentria.functions.text import PUNCTUATION
 from sentria.operators import index
-from sentria.operators.complete import complete, complete_batch, complete_indexed, sessions
+from sentria.operators.complete import complete, complete_batch, complete_indexed, complete_stored, sessions
 from sentria.service import CompletionService, initialize_corpus
 from sentria.shared import new_path
 from sentria.sources.corpus import from_table, from_text_tree, from_zip, to_text_tree, to_zip
+from sentria.sources.zipsource import NAME, register, zip_sentences
 from sentria.streaming.completions import stream_completions
+from sentria.streaming.sessions import session_stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -148,15 +150,16 @@ def _(spark, sf_dir):
     return index.statistics(docs, index.postings(docs, *KEY))
 
 
-def _candidates(name: str, q: str) -> None:
+def _candidates_sql(q: str) -> str:
     grams = sorted({q[i : i + 3] for i in range(len(q) - 2)})
     if len(grams) <= index.DAMAGE:
-        sql = f'WITH {DOCS} SELECT doc_id, "offset" FROM s'
-    else:
-        listed = ", ".join(f"'{g}'" for g in grams)
-        sql = f'WITH {DOCS}, {GRAMS} SELECT doc_id, "offset" FROM grams WHERE trigram IN ({listed}) GROUP BY doc_id, "offset" HAVING count(*) >= {len(grams) - index.DAMAGE}'
+        return f'WITH {DOCS} SELECT doc_id, "offset" FROM s'
+    listed = ", ".join(f"'{g}'" for g in grams)
+    return f'WITH {DOCS}, {GRAMS} SELECT doc_id, "offset" FROM grams WHERE trigram IN ({listed}) GROUP BY doc_id, "offset" HAVING count(*) >= {len(grams) - index.DAMAGE}'
+
 
-    @query(name, sql)
+def _candidates(name: str, q: str) -> None:
+    @query(name, _candidates_sql(q))
     def _(spark, sf_dir):
         docs = documents(spark, sf_dir)
         return index.candidates(docs, index.postings(docs, *KEY), q, *KEY).select(*KEY)
@@ -204,6 +207,13 @@ def _(spark, sf_dir):
     return documents(spark, sf_dir).select(*KEY, best_match("and the").alias("score")).where("score IS NOT NULL")
 
 
+@query("best_match_batched", _windows("the eratre the"))
+def _(spark, sf_dir):
+    """Sentences scored together, as batches of queries are."""
+    scored = documents(spark, sf_dir).select(*KEY, pair_score()(F.lit("the eratre the"), "normalized_sentence").alias("score"))
+    return scored.where("score IS NOT NULL")
+
+
 @query("best_match_long", _windows("the eratre the"))
 def _(spark, sf_dir):
     return documents(spark, sf_dir).select(*KEY, best_match("the eratre the").alias("score")).where("score IS NOT NULL")
@@ -293,18 +303,32 @@ def _(spark, sf_dir):
     return scored.where("score IS NOT NULL").groupBy("completed_sentence", "source_text", "score", "offset").agg(F.count("*").alias("times"))
 
 
-_SESSION = [(1, "to be"), (2, "unknown"), (3, "a # b"), (4, "or not"), (5, "#"), (6, "x")]
+#: Every document's lines as a session: what is typed line by line.
+_SESSIONS = f"""WITH {DOCS} SELECT doc_id, "offset", original_sentence AS line,
+  sum(CASE WHEN contains(original_sentence, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY "offset")::INT AS query_number,
+  NOT contains(original_sentence, '#') AS searched, CASE WHEN contains(original_sentence, '#') THEN '' ELSE original_sentence END AS current_input FROM s"""
 
 
-@query(
-    "cli_session",
-    "SELECT session, seq, line, sum(CASE WHEN contains(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq)::INT AS query_number,"
-    " NOT contains(line, '#') AS searched, CASE WHEN contains(line, '#') THEN '' ELSE line END AS current_input FROM (VALUES "
-    + ", ".join(f"(1::BIGINT, {i}::BIGINT, '{line}')" for i, line in _SESSION)
-    + ") AS t(session, seq, line)",
-)
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "offset", F.col("original_sentence").alias("line"))
+
+
+@query("cli_session", _SESSIONS)
 def _(spark, sf_dir):
-    return sessions(spark.createDataFrame([(1, *r) for r in _SESSION], "session long, seq long, line string"), "session", "seq")
+    return sessions(_lines(spark, sf_dir), "doc_id", "offset")
+
+
+@query("session_stream", _SESSIONS)
+def _(spark, sf_dir):
+    """The same lines as a stream of three files: the beginnings of all sessions, and so on."""
+    path = new_path(spark, "sessions")
+    lines = _lines(spark, sf_dir).withColumn("part", F.least(F.floor(F.col("offset") / 4), F.lit(2)))
+    for part in range(3):  # files are read by age
+        lines.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").json(f"{path}/in")
+    stream = spark.readStream.schema("doc_id long, offset int, line string").option("maxFilesPerTrigger", 1).json(f"{path}/in")
+    found = session_stream(stream, "doc_id", "offset").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress")
+    found.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
 
 
 # --- files, the stored index, streams ----------------------------------------
@@ -330,6 +354,19 @@ def _(spark, sf_dir):
     return from_zip(spark, _archives(spark, sf_dir))
 
 
+@query("zip_source_sentences", f"{_FILES} SELECT * FROM f")
+def _(spark, sf_dir):
+    return zip_sentences(spark, _archives(spark, sf_dir))
+
+
+@query("zip_source_members", "SELECT doc_id || '.txt' AS member, length(text)::INT AS size FROM documents WHERE text IS NOT NULL AND starts_with(doc_id::VARCHAR, '1')")
+def _(spark, sf_dir):
+    """Only the members with these names are inflated."""
+    register(spark)
+    found = spark.read.format(NAME).load(_archives(spark, sf_dir)).where(F.col("member").startswith("1"))
+    return found.select("member", F.length("text").alias("size"))
+
+
 @query("text_tree_sentences", f"{_FILES} SELECT * FROM f")
 def _(spark, sf_dir):
     path = new_path(spark, "texts")
@@ -348,12 +385,36 @@ def _(spark, sf_dir):
     return stats.select("record_count", "distinct_trigrams", "total_postings", (F.col("build_seconds") > 0).alias("timed"), (F.col("index_bytes") > 0).alias("sized"))
 
 
+_PLACES = """JOIN s USING (doc_id, "offset")"""
+
+
+@query("stored_postings", f'WITH {DOCS}, {GRAMS} SELECT trigram, source_text, "offset" FROM grams {_PLACES}')
+def _(spark, sf_dir):
+    """The packed postings, unpacked."""
+    built = index.SentenceIndex.build(spark, documents(spark, sf_dir).drop("doc_id"), new_path(spark, "index"))
+    return built.postings.join(built.sentences.select(built.KEY, "source_text", "offset"), built.KEY).drop(built.KEY)
+
+
+@query("sentence_ids", f'WITH {DOCS} SELECT source_text, "offset", row_number() OVER (ORDER BY source_text, "offset") - 1 AS sentence_id FROM s')
+def _(spark, sf_dir):
+    built = index.SentenceIndex.build(spark, documents(spark, sf_dir).repartition(5), new_path(spark, "index"))
+    return built.sentences.select("source_text", "offset", built.KEY)
+
+
+for _name, _q in (("long", LONG), ("typo", TYPO), ("short", SHORT), ("impossible", NONE)):
+
+    @query(f"stored_candidates_{_name}", _candidates_sql(_q))
+    def _(spark, sf_dir, prefix=_q):
+        built = index.SentenceIndex.build(spark, documents(spark, sf_dir), new_path(spark, "index"))
+        return built.candidates(prefix).select(*KEY)
+
+
 @query("stored_index_search", _best(LONG))
 def _(spark, sf_dir):
     path = new_path(spark, "index")
     index.SentenceIndex.build(spark, documents(spark, sf_dir), path)
     opened = index.SentenceIndex.open(spark, path)
-    return complete_indexed(opened.sentences, opened.postings, LONG, opened.KEY, sizes=opened.sizes, share=1.0)
+    return complete_stored(opened, LONG, share=1.0)
 
 
 @query("initialized_corpus", _best(TYPO).replace(_FROM, _FROM_FILES))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from sentria.operators.complete import LIMIT, complete
+from sentria.operators.complete import LIMIT, complete_stored
 from sentria.operators.index import SentenceIndex
 from sentria.sources.corpus import from_text_tree, from_zip
 
@@ -32,14 +32,13 @@ class CompletionService:
         self._index = index
 
     def configure(self, index: SentenceIndex) -> None:
-        """Use this index from now on; its sentences are kept in memory."""
-        self._index = index
-        index.sentences.cache()
+        """Use this index from now on; it is kept in memory."""
+        self._index = index.keep()
 
     def completions(self, prefix: str, k: int = LIMIT) -> list[Completion]:
         if self._index is None:
             raise RuntimeError(UNCONFIGURED)
-        return [Completion(*row) for row in complete(self._index.sentences, prefix, k).collect()]
+        return [Completion(*row) for row in complete_stored(self._index, prefix, k).collect()]
 
 
 def initialize_corpus(spark: SparkSession, source: str, path: str) -> SentenceIndex:

@@ -7,6 +7,7 @@ source_text, offset), offset counted from 1 with blank lines included.
 from __future__ import annotations
 
 import bz2
+import lzma
 import os
 import struct
 import zipfile
@@ -19,7 +20,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,14 +57,24 @@ def from_table(df: DataFrame, id_col: str, text_col: str, folder: str, keep_id:
 def from_text_tree(spark: SparkSession, root: str) -> DataFrame:
     """All ``*.txt`` files below a folder; ``source_text`` is the path from there.
 
-    Spark skips names that begin with ``_`` or ``.``, and reads bytes that are not
-    UTF-8 as U+FFFD; a byte order mark stays.
+    Files are read in splits, a large one by many tasks, and no row is more than a
+    line. A line's number is its place in its split and the lines of the splits before.
+    Spark skips names that begin with ``_`` or ``.``, reads bytes that are not UTF-8 as
+    U+FFFD and drops a byte order mark.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
+    # rows of a split follow each other, and so do these numbers
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    lines = written(lines, "lines")
+    splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(splits.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift")), "splits")
+    full = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
     base = unquote(PurePosixPath(root.split(":", 1)[-1]).as_posix()).lstrip("/").rstrip("/")
-    source = F.substring_index(full, f"/{base}/", -1)
-    return sentences(files, source, F.col("value"))
+    found = lines.where(~is_blank("value")).join(starts, ["path", "split"])
+    return found.select(
+        F.col("value").alias("original_sentence"), normalize("value").alias("normalized_sentence"), F.substring_index(full, f"/{base}/", -1).alias("source_text"), (F.col("place") + F.col("shift")).cast("int").alias("offset")
+    )
 
 
 class UnsafeMember(ValueError):
@@ -96,6 +107,17 @@ TASK_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
 _LOCAL_HEADER = struct.Struct("<4s22xHH")
 
 
+def _unpacked_lzma(packed: bytes) -> bytes:
+    """A member's LZMA: two bytes of version, the length of five bytes of properties (literal
+    bits, size of the dictionary), those, and the stream."""
+    size = int.from_bytes(packed[2:4], "little")
+    if size != 5:
+        raise zipfile.BadZipFile("LZMA properties of an unknown form")
+    first, dictionary = packed[4], int.from_bytes(packed[5:9], "little")
+    kind = {"id": lzma.FILTER_LZMA1, "lc": first % 9, "lp": first // 9 % 5, "pb": first // 45, "dict_size": max(dictionary, 4096)}
+    return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[kind]).decompress(packed[9:])
+
+
 def _inflated(source, row: dict) -> str:
     """The text of one member, from its own place in the archive."""
     source.seek(row["place"])
@@ -110,6 +132,8 @@ def _inflated(source, row: dict) -> str:
         content = zlib.decompress(packed, -zlib.MAX_WBITS)
     elif row["method"] == zipfile.ZIP_BZIP2:
         content = bz2.decompress(packed)
+    elif row["method"] == zipfile.ZIP_LZMA:
+        content = _unpacked_lzma(packed)
     else:
         raise NotImplementedError(f"{row['member']} is compressed by method {row['method']}")
     if zlib.crc32(content) != row["crc"]:

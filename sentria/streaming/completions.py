@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sentria.operators.complete import LIMIT, complete_batch
 from sentria.operators.index import SentenceIndex
+from sentria.shared import passing
 
 
 def stream_completions(queries: DataFrame, index: SentenceIndex, out: str, checkpoint: str, k: int = LIMIT, available_now: bool = False) -> StreamingQuery:
@@ -14,11 +15,12 @@ def stream_completions(queries: DataFrame, index: SentenceIndex, out: str, check
 
     Each batch is a folder ``out/batch=<n>``; a batch that runs twice replaces its
     own folder, so every query is answered once. No state is kept: a line that is
-    submitted is the whole query.
+    submitted is the whole query. A batch leaves no working table behind.
     """
 
     def answer(batch: DataFrame, number: int) -> None:
-        complete_batch(index.sentences, index.postings, batch, SentenceIndex.KEY, k=k, sizes=index.sizes).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with passing(batch.sparkSession):
+            complete_batch(index.sentences, index.postings, batch, SentenceIndex.KEY, k=k, sizes=index.sizes).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
