@@ -12,6 +12,11 @@ how far the frontier can ever fall back: with ``lookahead(rules)`` symbols after
 it, a token of the prefix can no longer change. A boundary of the final
 segmentation is crossed by no merge, so encoding may restart at it with nothing
 remembered.
+
+That bound is the merge list's, for the worst text. For a text at hand the same
+chains are followed over the tokens that it really had, with the ranks at which each
+came and went: only rules that can still touch a token count. What no chain reaches is
+stable at once, so tokens of ordinary words come out before the words end.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ from pyspark.sql import DataFrame
 from sentria.llm.common import slices
 from sentria.llm.wordbpe import OpenChunk, WordBpe, byte_symbols, pieces, word_bpe
 
-#: Chunks of text up to this length are remembered, this many of them per process.
-MEMO_CHARS, MEMO_ENTRIES = 48, 200_000
+#: Chunks of text up to this length are remembered,
+MEMO_CHARS = 48
+#: and this many bytes of them and of words, about, with what an entry weighs by itself.
+MEMO_BYTES, WORD_BYTES, ENTRY_BYTES = 32 << 20, 16 << 20, 400
 #: Characters of a piece of text, about.
 PIECE = 1 << 14
 
@@ -64,11 +71,23 @@ def lookahead(rules: list[tuple[str, str]]) -> int:
 class Encoder:
     """What transducers of one merge list share."""
 
-    def __init__(self, bpe: WordBpe, block: int = 1024):
+    def __init__(self, bpe: WordBpe, block: int = 8):
         self.bpe, self.block = bpe, block
         self.lookahead = lookahead(bpe.rules)
         #: rank and merged id of a pair in one number, so that min() finds the rule
         self._ranked = {pair: rank << _ID_BITS | merged for pair, (rank, merged) in bpe.merges.items()}
+        #: token -> lowest rank of a rule with it on the left
+        self._left: dict[int, int] = {}
+        #: (token, another) -> lowest and highest rank of a rule that has the first on the
+        #: left, and on its right a token which begins with the other
+        self._meets: dict[int, tuple[int, int]] = {}
+        begins: dict[int, set[int]] = {}  # token -> tokens on its left edge, itself included
+        for (u, v), (rank, merged) in sorted(bpe.merges.items(), key=lambda rule: rule[1][0]):
+            self._left[u] = min(rank, self._left.get(u, rank))
+            for edge in begins.get(v, (v,)):
+                low, high = self._meets.get(u << _ID_BITS | edge, (rank, rank))
+                self._meets[u << _ID_BITS | edge] = min(low, rank), max(high, rank)
+            begins.setdefault(merged, {merged}).update(begins.get(u, (u,)))
 
     def _settle(self, ids: list[int]) -> list[int]:
         """The segmentation of a run of symbols, in place: again and again the lowest
@@ -88,10 +107,56 @@ class Encoder:
                 pairs[i] = found((merged, ids[i + 1]), _NEVER)
         return ids
 
-    def width(self, token: int) -> int:
-        """How many symbols a token is made of."""
-        text = self.bpe.text_of[token]
-        return len(text.removesuffix(self.bpe.end) if self.bpe.end else text)
+    def stable(self, symbols: list[int]) -> tuple[list[int], int]:
+        """The tokens of a run of symbols that nothing behind it can change, and how
+        many symbols those are.
+
+        Settles the run, keeping for every place the tokens that ever ended there, where
+        they began, and the rank at which each was merged with what stands before it.
+        Then every chain of rules is followed from the end of the run back.
+        """
+        found, n = self._ranked.get, len(symbols)
+        ids, nodes = list(symbols), [[s, i, i + 1, _NEVER] for i, s in enumerate(symbols)]
+        at = list(range(n))  # places in nodes
+        ended: list[list[int]] = [[], *([i] for i in range(n))]
+        pairs = list(map(found, zip(ids, ids[1:]), repeat(_NEVER)))
+        while pairs:
+            best = min(pairs)
+            if best == _NEVER:
+                break
+            i, merged = pairs.index(best), best & _ID
+            right = nodes[at[i + 1]]
+            right[3] = best >> _ID_BITS
+            ended[right[2]].append(len(nodes))
+            nodes.append([merged, nodes[at[i]][1], right[2], _NEVER])
+            ids[i], at[i] = merged, len(nodes) - 1
+            del ids[i + 1], at[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = found((ids[i - 1], merged), _NEVER)
+            if i < len(pairs):
+                pairs[i] = found((merged, ids[i + 1]), _NEVER)
+        reached, seen, todo = n, {}, []
+
+        def move(place: int, token: int, rank: int) -> None:
+            if seen.get((place, token), _NEVER) > rank:
+                seen[place, token] = rank
+                todo.append((place, token, rank))
+
+        for k in ended[n]:
+            token, start, _, gone = nodes[k]
+            rank = self._left.get(token, _NEVER)
+            if rank < gone:
+                move(start, token, rank)
+        while todo:
+            place, token, rank = todo.pop()
+            reached = min(reached, place)
+            for k in ended[place]:
+                before, start, _, gone = nodes[k]
+                low, high = self._meets.get(before << _ID_BITS | token, (_NEVER, -1))
+                if high > rank and low < gone:
+                    move(start, before, max(low, rank))
+        out = [(t, nodes[k][2]) for t, k in zip(ids, at) if nodes[k][2] <= reached]
+        return [t for t, _ in out], out[-1][1] if out else 0
 
     def stream(self, symbols: Iterable[int]) -> Iterator[int]:
         """Token ids of one word, as soon as they are stable."""
@@ -104,34 +169,31 @@ class Encoder:
 class Transducer:
     """Symbols in, token ids out as soon as they are stable.
 
-    Between calls fewer than block + lookahead symbols are held, whatever has been
-    read. A word's last symbol bears the end marker and merges with nothing after
-    it, so there all that is held is stable.
+    What is held is looked at again when it has grown by a block or by half, so a symbol
+    is settled a few times at most. Once the lookahead of the merge list stands behind a
+    token, that token is stable for certain, so what is held is bounded, whatever has been
+    read. A word's last symbol bears the end marker and merges with nothing after it, so
+    there all that is held is stable.
     """
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
         self._held: list[int] = []
-        self._room = encoder.block + encoder.lookahead
+        self._room = encoder.block
 
     def push(self, symbols: list[int]) -> list[int]:
         self._held += symbols
         out: list[int] = []
-        while len(self._held) >= self._room:
-            block, used = self._room - self.encoder.lookahead, 0
-            for t in self.encoder._settle(self._held[: self._room]):
-                width = self.encoder.width(t)
-                if used + width > block:
-                    break
-                used += width
-                out.append(t)
-            # of a token longer than the block nothing is stable yet: wait for more
-            self._room = self.encoder.lookahead + (self.encoder.block if used else block + self.encoder.block)
+        while len(self._held) > self._room:
+            tokens, used = self.encoder.stable(self._held[: self._room])
+            out += tokens
             del self._held[:used]
+            left = self._room - used
+            self._room = left + max(self.encoder.block, left // 2)
         return out
 
     def end(self) -> list[int]:
-        held, self._held = self._held, []
+        held, self._held, self._room = self._held, [], self.encoder.block
         return self.encoder._settle(held)
 
 
@@ -236,6 +298,7 @@ class Codec:
         self.surface, self.plain = Decoder(self.bpe), Decoder(self.bpe, "plain")
         self._memo: dict[str, Made] = {}
         self._words: dict[str, Made] = {}
+        self._memo_bytes = self._words_bytes = 0
 
     def _made(self, ids: list[int]) -> Made:
         """The decoders' next output; what parts it from the output before is left out."""
@@ -256,8 +319,10 @@ class Codec:
         if out is None:
             out = self._made(self._ids(word, True))
             if len(word) <= MEMO_CHARS:
-                if len(self._words) >= MEMO_ENTRIES:
+                self._words_bytes += ENTRY_BYTES + 2 * sum(map(len, out[:3]))
+                if self._words_bytes > WORD_BYTES:
                     self._words.clear()
+                    self._words_bytes = 0
                 self._words[word] = out
         return out
 
@@ -265,8 +330,10 @@ class Codec:
         parts = [self._word(w) for w in self.bpe.words(chunk)]
         out = parts[0] if len(parts) == 1 else _together(parts)
         if len(chunk) <= MEMO_CHARS:
-            if len(self._memo) >= MEMO_ENTRIES:
+            self._memo_bytes += ENTRY_BYTES + 2 * sum(map(len, out[:3]))
+            if self._memo_bytes > MEMO_BYTES:
                 self._memo.clear()
+                self._memo_bytes = 0
             self._memo[chunk] = out
         return out
 

