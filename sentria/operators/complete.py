@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from sentria.functions.scoring import best_match, pair_score, split_filter, split_filter_columns, substitution_score
 from sentria.functions.text import normalize, normalize_query, query_trigrams, trigrams, windows
-from sentria.operators.index import DAMAGE, LISTED_POSTINGS, SentenceIndex, merged, posting_sizes, rarest
+from sentria.operators.index import DAMAGE, LISTED_POSTINGS, NAMED_POSTINGS, SentenceIndex, merged, posting_sizes, probed, rarest
 from sentria.session import ship_code
 from sentria.shared import written
 
 LIMIT = 5
 #: The index serves a query whose rarest trigrams are in less than this share of the
-#: sentences; for a commoner one a scan of the sentences reads less.
-SHARE = 0.25
+#: sentences; for a commoner one a scan of the sentences, in order, costs less.
+SHARE = 0.05
 #: Queries, or trigrams of queries, that may be named in a plan; more are joined.
 LISTED = 1000
 #: Best first; equal scores by the sentence as written, then by where it stands.
@@ -84,8 +84,8 @@ def complete_stored(index: SentenceIndex, prefix: str, k: int = LIMIT, share: fl
 
     A query that has fewer than four trigrams which are rarer than ``share`` is
     scanned for without asking the index. Otherwise its four rarest lists name the
-    sentences: if they are many, the longer lists are merged with them first, so that
-    only sentences which share enough trigrams are read.
+    sentences: if they are more than a plan may name, the longer lists are merged with
+    them first, so that only sentences which share enough trigrams are read.
     """
     query = normalize_query(index.sentences.sparkSession, prefix)
     grams = query_trigrams(query)
@@ -99,6 +99,9 @@ def complete_stored(index: SentenceIndex, prefix: str, k: int = LIMIT, share: fl
     met = sum(sizes[g] for g in probes)
     if met >= share * n:
         return complete(index.sentences, prefix, k)
+    if met <= NAMED_POSTINGS:  # the score is only computed behind the test of the id
+        named = index.sentences.where(F.col(index.KEY).isin(probed(index.blocks, probes))).where(split_filter(query))
+        return _best(named.withColumn("score", best_match(query)), k)
     hits = merged(index.blocks, sizes, index.KEY)
     if met <= LISTED_POSTINGS:
         hits = F.broadcast(hits)

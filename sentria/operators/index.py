@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from sentria.functions.text import normalize_query, query_trigrams, trigrams
 from sentria.operators.running import numbered
-from sentria.shared import delete, listed, passing, qualified, size_of, write_at
+from sentria.shared import delete, listed, passing, qualified, setting, size_of, write_at, written
 
 #: One edit damages this many trigrams of a query at most.
 DAMAGE = 3
 #: Bytes of a row group of postings: a trigram is read with what little stands around it.
 ROW_GROUP = 1 << 20
+#: So many lists grow in a task's memory before it sorts instead; a block has some 10,000.
+GROUPS, HELD_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 100_000
 #: Ids of a block of postings.
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
-#: Postings of a query's shortest lists that are sent to every task; more are joined.
-LISTED_POSTINGS = 1_000_000
+#: Postings of a query's shortest lists that are sent to every task, and that may be named
+#: in a plan; more are joined.
+LISTED_POSTINGS, NAMED_POSTINGS = 1_000_000, 10_000
 
 
 def postings(sentences: DataFrame, *key: str) -> DataFrame:
@@ -115,6 +118,11 @@ def merged(blocks: DataFrame, sizes: dict[str, int], key: str) -> DataFrame:
     return counted.where(F.col("shared") >= len(order) - DAMAGE).select(_id().alias(key), "shared")
 
 
+def probed(blocks: DataFrame, trigrams: list[str]) -> list[int]:
+    """The ids in the lists of some trigrams whose sizes have been checked."""
+    return [r[0] for r in blocks.where(F.col("trigram").isin(trigrams)).select("block", F.explode("places").alias("place")).select(_id()).distinct().collect()]
+
+
 class SentenceIndex:
     """Sentences, packed postings and posting sizes, stored once and used by every query after."""
 
@@ -140,13 +148,14 @@ class SentenceIndex:
         now = f"{path}/version={time.time_ns():020d}"
         records, packed = Observation(), Observation()
         with passing(spark):
-            # a source of few large files would keep the normalising in as few tasks
             ordered = [F.col(c).asc_nulls_first() for c in ("source_text", "offset", "original_sentence")]
-            numbers = numbered(sentences, ordered, cls.KEY).observe(records, F.count("*").alias("record_count"))
+            # stored first: range partitions are chosen by a pass of their own
+            numbers = numbered(written(sentences, "sentences"), ordered, cls.KEY).observe(records, F.count("*").alias("record_count"))
             stored = write_at(numbers, f"{now}/sentences")
         layout = ["trigram", "block"]
         blocks = posting_blocks(stored, cls.KEY).repartitionByRange(*layout).sortWithinPartitions(*layout)
-        blocks = write_at(blocks, f"{now}/postings", **{"parquet.block.size": ROW_GROUP})
+        with setting(spark, GROUPS, str(HELD_GROUPS)):
+            blocks = write_at(blocks, f"{now}/postings", **{"parquet.block.size": ROW_GROUP})
         sizes = blocks.groupBy("trigram").agg(F.sum(F.size("places")).cast("long").alias("postings")).coalesce(1).sortWithinPartitions("trigram")
         sizes = sizes.observe(packed, F.count("*").alias("distinct_trigrams"), F.coalesce(F.sum("postings"), F.lit(0)).cast("long").alias("total_postings"))
         write_at(sizes, f"{now}/sizes")

@@ -48,10 +48,18 @@ def sentences(texts: DataFrame, source: Column, text: Column, *keep: str) -> Dat
     return lines.where(~is_blank("original_sentence")).select(*keep, "original_sentence", "normalized_sentence", "source_text", (F.col("pos") + 1).alias("offset"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table in fewer parts than there are cores is dealt to all of them before its
+    texts are cut; one of many parts stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_table(df: DataFrame, id_col: str, text_col: str, folder: str, keep_id: bool = False) -> DataFrame:
     """A table's rows as the files ``folder/<id>.txt``."""
     source = F.concat(F.lit(f"{folder}/"), F.col(id_col).cast("string"), F.lit(".txt"))
-    return sentences(df, source, F.col(text_col), *([id_col] if keep_id else []))
+    kept = [id_col] if keep_id else []
+    return sentences(dealt(df.select(*dict.fromkeys([id_col, text_col]))), source, F.col(text_col), *kept)
 
 
 def from_text_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -189,8 +197,8 @@ def from_zip(spark: SparkSession, path: str) -> DataFrame:
     texts = members.where(F.col("member").endswith(".txt"))
     packed = texts.agg(F.coalesce(F.sum("packed"), F.lit(0))).head()[0]
     tasks = max(spark.sparkContext.defaultParallelism, packed // TASK_BYTES + 1)
-    dealt = texts.repartitionByRange(tasks, "archive", "place").sortWithinPartitions("archive", "place")
-    return sentences(dealt.mapInArrow(_read, "member string, text string"), F.col("member"), F.col("text"))
+    placed = texts.repartitionByRange(tasks, "archive", "place").sortWithinPartitions("archive", "place")
+    return sentences(placed.mapInArrow(_read, "member string, text string"), F.col("member"), F.col("text"))
 
 
 def to_zip(texts: DataFrame, path: str, name_col: str, text_col: str) -> None:
