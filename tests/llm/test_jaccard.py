@@ -80,16 +80,16 @@ def parts_of(docs):
     sketches = j.written(j._sketches(docs, "doc_id", "text", 5), "sketches")
     distinct = sketches.groupBy("key").agg(F.min("row").alias("row"))
     banded = j._banded(sketches)
-    return j, banded, j._sets(sketches, distinct, banded, 5)
+    return j, banded, j._texts(sketches, distinct, banded)
 
 
 def test_a_chain_costs_no_more_than_its_band_pairs(spark):
     """Each text is 0.7 like the next, so bands connect long chains, and none is a near copy."""
     words = [f"w{i}" for i in range(1200 + 21 * 400)]
     docs = spark.createDataFrame([(i, " ".join(words[21 * i : 21 * i + 120])) for i in range(400)], "doc_id long, text string")
-    j, banded, sets = parts_of(docs)
+    j, banded, texts = parts_of(docs)
     pairs = banded.groupBy("band").count().selectExpr("sum(count * (count - 1) / 2)").head()[0]
-    found = j._compared(j._rooted(banded, None), sets)
+    found = j._compared(j._rooted(banded, None), texts, 5)
     assert found.where("a is not null").count() == 0
     assert 0 < found.agg(F.sum("compares")).head()[0] <= pairs < 3000
     assert near_copies(docs).select("component_id").distinct().count() == 400
@@ -103,11 +103,11 @@ def test_near_copies_are_connected_by_few_compares(spark):
     for i in range(400):
         at = rng.randrange(390)
         rows.append((i, " ".join(base[:at] + [f"x{i}"] + base[at + 1 :])))
-    j, banded, sets = parts_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    j, banded, texts = parts_of(spark.createDataFrame(rows, "doc_id long, text string"))
     stars = j._stars(j._rooted(banded, None), True)
-    links = j._confirmed(stars, sets)
+    links = j._confirmed(stars, texts, 5)
     assert stars.count() < 400 and links.count() > 380
-    left = j._compared(j._rooted(banded, j.components(links)), sets)
+    left = j._compared(j._rooted(banded, j.components(links)), texts, 5)
     assert left.agg(F.sum("compares")).head()[0] < 400
 
 
