@@ -131,7 +131,7 @@ class SentenceIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.path = path
         self.sentences, self.blocks, self.sizes, self._stats = (spark.read.parquet(f"{path}/{t}") for t in ("sentences", "postings", "sizes", "stats"))
-        self._known: tuple[int, dict[str, int]] | None = None
+        self._known: dict[float, tuple[int, dict[str, int]]] = {}
 
     @classmethod
     def build(cls, spark: SparkSession, sentences: DataFrame, path: str) -> SentenceIndex:
@@ -191,10 +191,10 @@ class SentenceIndex:
     def common(self, share: float) -> tuple[int, dict[str, int]]:
         """The number of sentences, and the sizes of trigrams that a ``share`` of them
         have: at most the trigrams of an average sentence, divided by ``share``. Read once."""
-        if self._known is None:
+        if share not in self._known:
             n = self._stats.head().record_count
-            self._known = n, {r.trigram: r.postings for r in self.sizes.where(F.col("postings") >= max(1, share * n)).collect()}
-        return self._known
+            self._known[share] = n, {r.trigram: r.postings for r in self.sizes.where(F.col("postings") >= max(1, share * n)).collect()}
+        return self._known[share]
 
     def sizes_of(self, grams: list[str]) -> dict[str, int]:
         """How many sentences have each of a query's trigrams."""
