@@ -35,7 +35,7 @@ from sentria.llm.wordbpe import OpenChunk, WordBpe, byte_symbols, pieces, word_b
 #: Chunks of text up to this length are remembered,
 MEMO_CHARS = 48
 #: and this many bytes of them and of words, about, with what an entry weighs by itself.
-MEMO_BYTES, WORD_BYTES, ENTRY_BYTES = 32 << 20, 16 << 20, 400
+MEMO_BYTES, WORD_BYTES, ENTRY_BYTES = 96 << 20, 48 << 20, 400
 #: Characters of a piece of text, about.
 PIECE = 1 << 14
 
@@ -71,7 +71,7 @@ def lookahead(rules: list[tuple[str, str]]) -> int:
 class Encoder:
     """What transducers of one merge list share."""
 
-    def __init__(self, bpe: WordBpe, block: int = 8):
+    def __init__(self, bpe: WordBpe, block: int = 16):
         self.bpe, self.block = bpe, block
         self.lookahead = lookahead(bpe.rules)
         #: rank and merged id of a pair in one number, so that min() finds the rule
@@ -319,7 +319,7 @@ class Codec:
         if out is None:
             out = self._made(self._ids(word, True))
             if len(word) <= MEMO_CHARS:
-                self._words_bytes += ENTRY_BYTES + 2 * sum(map(len, out[:3]))
+                self._words_bytes += ENTRY_BYTES + 12 * len(word)
                 if self._words_bytes > WORD_BYTES:
                     self._words.clear()
                     self._words_bytes = 0
@@ -330,7 +330,7 @@ class Codec:
         parts = [self._word(w) for w in self.bpe.words(chunk)]
         out = parts[0] if len(parts) == 1 else _together(parts)
         if len(chunk) <= MEMO_CHARS:
-            self._memo_bytes += ENTRY_BYTES + 2 * sum(map(len, out[:3]))
+            self._memo_bytes += ENTRY_BYTES + 12 * len(chunk)
             if self._memo_bytes > MEMO_BYTES:
                 self._memo.clear()
                 self._memo_bytes = 0
