@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 #: pattern), and all Unicode white space (\s is ASCII only there).
 PUNCTUATION = string.punctuation
 WHITE = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-LINE_END = r"\r\n|\r|\n"
+#: \r\n, \r or \n; one class at each character is several times as fast as three branches.
+LINE_END = r"[\n\r](?:(?<=\r)\n)?"
+#: White space and punctuation together. Single characters below U+0100 are one lookup in a
+#: Java class, where every range and every named class is a test of its own.
+_NEAR = "".join(rf"\x{ord(c):02x}" for c in "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0" + PUNCTUATION)
+_FAR = r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
 
 
 def normalize(text: Column | str) -> Column:
     """Lower case, punctuation as spaces, single spaces, none at the ends."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.regexp_replace(F.lower(text), f"[{WHITE}\\p{{Punct}}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), f"[{_NEAR}{_FAR}]+", " "))
 
 
 def normalize_query(spark: SparkSession, text: str) -> str:
