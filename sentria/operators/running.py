@@ -67,7 +67,7 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     its partition and the sizes of those before, so it moves no further.
     """
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_PLACE, F.monotonically_increasing_id())
-    rows = written(rows.withColumn(_PART, F.shiftright(_PLACE, 33)), "ranged")
+    rows = written(rows.withColumn(_PART, F.shiftright(_PLACE, 33)), "ranged", compression="zstd")
     sizes = rows.groupBy(_PART).agg(F.count("*").alias("__size"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = written(sizes.select(_PART, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")), "starts")

@@ -137,7 +137,7 @@ def _(spark, sf_dir):
 
 @query("posting_list_sizes", f"WITH {DOCS}, {GRAMS} SELECT trigram, count(*) AS postings FROM grams GROUP BY trigram")
 def _(spark, sf_dir):
-    return index.posting_sizes(index.postings(documents(spark, sf_dir), *KEY))
+    return index.trigram_sizes(documents(spark, sf_dir)).where("trigram IS NOT NULL")
 
 
 @query(
@@ -146,8 +146,7 @@ def _(spark, sf_dir):
   (SELECT count(DISTINCT trigram) FROM grams)::BIGINT AS distinct_trigrams, (SELECT count(*) FROM grams)::BIGINT AS total_postings""",
 )
 def _(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return index.statistics(docs, index.postings(docs, *KEY))
+    return index.statistics(documents(spark, sf_dir))
 
 
 def _candidates_sql(q: str) -> str:
@@ -392,7 +391,7 @@ _PLACES = """JOIN s USING (doc_id, "offset")"""
 def _(spark, sf_dir):
     """The packed postings, unpacked."""
     built = index.SentenceIndex.build(spark, documents(spark, sf_dir).drop("doc_id"), new_path(spark, "index"))
-    return built.postings.join(built.sentences.select(built.KEY, "source_text", "offset"), built.KEY).drop(built.KEY)
+    return built.located("source_text", "offset")
 
 
 @query("sentence_ids", f'WITH {DOCS} SELECT source_text, "offset", row_number() OVER (ORDER BY source_text, "offset") - 1 AS sentence_id FROM s')

@@ -75,10 +75,10 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and a lost
     executor costs no recomputation of what came before."""
-    return write_at(df, new_path(df.sparkSession, name))
+    return write_at(df, new_path(df.sparkSession, name), **options)
 
 
 def write_at(df: DataFrame, path: str, **options) -> DataFrame:
