@@ -10,8 +10,8 @@ from sentria.functions.text import PUNCTUATION
 from sentria.operators import index
 from sentria.operators.complete import complete, complete_batch, complete_indexed, complete_stored, sessions
 from sentria.service import CompletionService, initialize_corpus
-from sentria.shared import new_path
-from sentria.sources.corpus import from_table, from_text_tree, from_zip, to_text_tree, to_zip
+from sentria.shared import new_path, written
+from sentria.sources.corpus import dealt, from_table, from_text_tree, from_zip, to_text_tree, to_zip
 from sentria.sources.zipsource import NAME, register, zip_sentences
 from sentria.streaming.completions import stream_completions
 from sentria.streaming.sessions import session_stream
@@ -319,12 +319,17 @@ def _(spark, sf_dir):
 
 @query("session_stream", _SESSIONS)
 def _(spark, sf_dir):
-    """The same lines as a stream of three files: the beginnings of all sessions, and so on."""
+    """The same lines as a stream in three parts: the beginnings of all sessions, and so on.
+
+    A part is as many files as the lines have partitions, and a session's lines of a
+    part are in one of them: whatever files a batch takes by age, they come in order.
+    """
     path = new_path(spark, "sessions")
-    lines = _lines(spark, sf_dir).withColumn("part", F.least(F.floor(F.col("offset") / 4), F.lit(2)))
+    lines = written(_lines(spark, sf_dir).withColumn("part", F.least(F.floor(F.col("offset") / 4), F.lit(2))), "lines", compression="zstd")
+    files = max(spark.sparkContext.defaultParallelism, lines.rdd.getNumPartitions())
     for part in range(3):  # files are read by age
-        lines.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").json(f"{path}/in")
-    stream = spark.readStream.schema("doc_id long, offset int, line string").option("maxFilesPerTrigger", 1).json(f"{path}/in")
+        lines.where(F.col("part") == part).drop("part").repartition(files, "doc_id").write.mode("append").json(f"{path}/in")
+    stream = spark.readStream.schema("doc_id long, offset int, line string").option("maxFilesPerTrigger", files).json(f"{path}/in")
     found = session_stream(stream, "doc_id", "offset").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress")
     found.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
