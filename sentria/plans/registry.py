@@ -344,9 +344,9 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _archives(spark: SparkSession, sf_dir: str) -> str:
-    """The documents as ZIP archives in the shared folder."""
+    """The documents as ZIP archives in the shared folder, one for each part of the table."""
     path = new_path(spark, "archives")
-    to_zip(_texts(spark, sf_dir).repartition(3, "name"), path, "name", "text")
+    to_zip(dealt(_texts(spark, sf_dir)), path, "name", "text")
     return f"{path}/*.zip"
 
 
