@@ -19,6 +19,8 @@ LIMIT = 5
 SHARE = 0.05
 #: Queries, or trigrams of queries, that may be named in a plan; more are joined.
 LISTED = 1000
+#: Queries of a batch that are scored in one scan of the sentences, each by its own CASE.
+SCANNED = 32
 #: Best first; equal scores by the sentence as written, then by where it stands.
 ORDER = (F.desc, "score"), (F.asc, "completed_sentence"), (F.asc, "source_text"), (F.asc, "offset")
 
@@ -75,6 +77,8 @@ def complete_indexed(sentences: DataFrame, posts: DataFrame, prefix: str, *key:
     if sum(probes.values()) >= share * sentences.count():
         return complete(sentences, prefix, k)
     hits = posts.where(F.col("trigram").isin(list(probes))).groupBy(*key).agg(F.count("*").alias("shared"))
+    if sum(probes.values()) <= LISTED_POSTINGS:
+        hits = F.broadcast(hits)
     score = F.when((F.col("shared") >= 1) & split_filter(query), best_match(query))
     return _best(sentences.join(hits, list(key)).withColumn("score", score), k)
 
@@ -130,23 +134,56 @@ def complete_batch(sentences: DataFrame, posts: DataFrame, queries: DataFrame, *
     ship_code(sentences.sparkSession)
     asked = queries.select(F.col(id_col).alias("query_id"), normalize(text_col).alias("query")).where("query <> ''")
     texts = asked.select("query").distinct()
-    sizes = posting_sizes(posts) if sizes is None else sizes
-    exact = written(top_k(_exact(sentences, posts, sizes, texts, listed, *key), "query", k=k), "exact")
+    probes = _probes(texts, posting_sizes(posts) if sizes is None else sizes)
+    exact = written(top_k(_exact(sentences, posts, probes, texts, listed, *key), "query", k=k), "exact")
     done = exact.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query")
-    rest = texts.join(done, "query", "left_anti")
-    found = exact.join(done, "query", "left_semi").unionByName(top_k(_edited(sentences, posts, sizes, rest, k, listed, *key), "query", k=k))
+    rest = written(texts.join(done, "query", "left_anti"), "rest")
+    found = exact.join(done, "query", "left_semi").unionByName(top_k(_edited(sentences, posts, probes, rest, k, listed, *key), "query", k=k))
     return asked.join(found, "query").select("query_id", "rank", "completed_sentence", "source_text", "offset", "score")
 
 
-def _probed(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, n: int, listed: int, *key: str) -> DataFrame:
-    """Each query beside the sentences among the postings of its ``n`` rarest trigrams."""
+def _probes(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(query, trigram, postings, place, most): each query's rarest trigrams, rarest first,
+    and the size of the longest list there is, which is no more than the sentences are."""
     grams = texts.select("query", F.explode(trigrams("query")).alias("trigram"))
     order = F.row_number().over(Window.partitionBy("query").orderBy("postings", "trigram"))
-    probes = grams.join(sizes, "trigram", "left").fillna(0, ["postings"]).withColumn("place", order).where(F.col("place") <= n).select("query", "trigram")
+    sizes = written(sizes, "sizes")
+    most = sizes.agg(F.coalesce(F.max("postings"), F.lit(0)).alias("most"))
+    probes = grams.join(sizes, "trigram", "left").fillna(0, ["postings"]).withColumn("place", order).where(F.col("place") <= DAMAGE + 1)
+    return written(probes.crossJoin(F.broadcast(most)), "probes")
+
+
+def _split(texts: DataFrame, probes: DataFrame, n: int, listed: int) -> tuple[list[str], DataFrame]:
+    """The texts whose ``n`` rarest trigrams are common, which are looked for in one pass over
+    the sentences, and the probes of the others. Too many common ones are others too."""
+    probes = probes.where(F.col("place") <= n).join(texts, "query", "left_semi")
+    met = probes.groupBy("query").agg(F.sum("postings").alias("met"), F.first("most").alias("most"))
+    common = [r.query for r in met.where(F.col("met") >= SHARE * F.col("most")).select("query").limit(min(listed, SCANNED) + 1).collect()]
+    if len(common) > min(listed, SCANNED):
+        return [], probes
+    return common, probes.where(~F.col("query").isin(common))
+
+
+def _scanned(sentences: DataFrame, queries: list[str], kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(query, sentence, score) of some queries, in one pass over the sentences."""
+    if not queries:
+        return sentences.where(F.lit(False)).select("*", F.lit("").alias("query"), F.lit(None).cast("int").alias("score"))
+    score = lambda q: best_match(q, kinds=kinds) if kinds else F.when(split_filter(q), best_match(q))
+    each = F.array(*(F.struct(F.lit(q).alias("query"), score(q).cast("int").alias("score")) for q in queries))
+    met = sentences.withColumn("hit", F.explode(F.filter(each, lambda x: x["score"].isNotNull())))
+    return met.select(*sentences.columns, "hit.query", "hit.score")
+
+
+def _probed(sentences: DataFrame, posts: DataFrame, probes: DataFrame, listed: int, *key: str) -> DataFrame:
+    """Each query beside the sentences among the postings of its rarest trigrams."""
     few = [r.trigram for r in probes.select("trigram").distinct().limit(listed + 1).collect()]
+    if not few:
+        return sentences.where(F.lit(False)).withColumn("query", F.lit(""))
     if len(few) <= listed:  # named in the scan, they are few row groups of the postings
         posts = posts.where(F.col("trigram").isin(few))
-    return probes.join(posts, "trigram").select("query", *key).distinct().join(sentences, list(key))
+    # stored first: its size is known when the sentences are joined, and few hits are broadcast
+    hits = written(F.broadcast(probes.select("query", "trigram")).join(posts, "trigram").select("query", *key).distinct(), "hits")
+    return hits.join(sentences, list(key))
 
 
 def _holding(sentences: DataFrame, texts: DataFrame, parts: Callable[[Column], Column], *key: str, listed: int = LISTED) -> DataFrame:
@@ -182,18 +219,26 @@ def _halves(query: Column) -> Column:
     return F.array_distinct(F.filter(both, lambda part: part != ""))
 
 
-def _exact(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, listed: int, *key: str) -> DataFrame:
+def _exact(sentences: DataFrame, posts: DataFrame, probes: DataFrame, texts: DataFrame, listed: int, *key: str) -> DataFrame:
     n = F.length("query")
-    met = _probed(sentences, posts, sizes, texts.where(n >= 3), 1, listed, *key).where(F.contains("normalized_sentence", "query"))
+    common, rare = _split(texts.where(n >= 3), probes, 1, listed)
+    met = _probed(sentences, posts, rare, listed, *key).where(F.contains("normalized_sentence", "query"))
     met = met.unionByName(_holding(sentences, texts.where(n < 3), _whole, *key, listed=listed).select(*met.columns))
-    return _result(met.withColumn("score", (2 * n).cast("int")), "query")
+    found = _result(met.withColumn("score", (2 * n).cast("int")), "query")
+    return found.unionByName(_result(_scanned(sentences, common, ("exact",)), "query"))
 
 
-def _edited(sentences: DataFrame, posts: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, listed: int, *key: str) -> DataFrame:
+def _edited(sentences: DataFrame, posts: DataFrame, probes: DataFrame, texts: DataFrame, k: int, listed: int, *key: str) -> DataFrame:
     many = F.size(trigrams("query")) > DAMAGE
-    met = _probed(sentences, posts, sizes, texts.where(many), DAMAGE + 1, listed, *key).where(split_filter_columns(F.col("query"), F.col("normalized_sentence")))
-    met = met.unionByName(_holding(sentences, texts.where(~many), _halves, *key, listed=listed).select(*met.columns))
+    common, rare = _split(texts.where(many), probes, DAMAGE + 1, listed)
+    short = texts.where(~many)
+    few = [r.query for r in short.where(F.length("query") > 1).limit(min(listed, SCANNED) + 1).collect()]
+    if len(common) + len(few) <= min(listed, SCANNED):  # a half of a short query says little: most sentences have it
+        common, short = common + few, short.where(F.length("query") == 1)
+    met = _probed(sentences, posts, rare, listed, *key).where(split_filter_columns(F.col("query"), F.col("normalized_sentence")))
+    met = met.unionByName(_holding(sentences, short, _halves, *key, listed=listed).select(*met.columns))
     scored = _result(met.withColumn("score", pair_score()("query", "normalized_sentence")), "query")
+    scored = scored.unionByName(_result(_scanned(sentences, common), "query"))
     # a single character matches every other sentence by a change: its score is the
     # same for all, so the first k will do
     first = sentences.where("normalized_sentence <> ''").orderBy("original_sentence", "source_text", "offset")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.functions.scoring import best_match, extra_character_score, exact_score, insertion_deletion_penalty, missing_character_score, pair_score, partition_filter, patterns, substitution_penalty, substitution_score
-from sentria.functions.text import PUNCTUATION
+from sentria.functions.text import PUNCTUATION, normalize_query, query_trigrams
 from sentria.operators import index
 from sentria.operators.complete import complete, complete_batch, complete_indexed, complete_stored, sessions
 from sentria.service import CompletionService, initialize_corpus
@@ -262,10 +262,19 @@ def _(spark, sf_dir):
     return complete(documents(spark, sf_dir), COMMON, exact_first=True)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences as a table, for queries that read them several times."""
+    return written(documents(spark, sf_dir), "sentences", compression="zstd")
+
+
+def _grams(spark: SparkSession, prefixes) -> list[str]:
+    return sorted({g for p in prefixes for g in query_trigrams(normalize_query(spark, p))})
+
+
 @query("complete_indexed", _best(LONG))
 def _(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return complete_indexed(docs, index.postings(docs, *KEY), LONG, *KEY)
+    docs = _stored(spark, sf_dir)
+    return complete_indexed(docs, index.postings(docs, *KEY, only=_grams(spark, [LONG])), LONG, *KEY)
 
 
 @query("complete_empty_query", "SELECT '' AS completed_sentence, '' AS source_text, 0::INT AS \"offset\", 0::INT AS score WHERE false")
@@ -285,9 +294,9 @@ BATCH = {1: "and the", 2: "the eratre the", 3: "a", 4: "thq", 5: NONE, 6: "", 7:
 SELECT query_id, rank, completed_sentence, source_text, "offset", score FROM ranked WHERE rank <= 5""",
 )
 def _(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    docs = _stored(spark, sf_dir)
     asked = spark.createDataFrame([(i, q.upper()) for i, q in BATCH.items()], "query_id long, prefix string")
-    return complete_batch(docs, index.postings(docs, *KEY), asked, *KEY)
+    return complete_batch(docs, index.postings(docs, *KEY, only=_grams(spark, BATCH.values())), asked, *KEY)
 
 
 @query(
