@@ -27,7 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or
-    more) the document with the smallest id stays."""
+    more) the document with the smallest id stays. SimHash's tiles find them first and are
+    confirmed exactly; bands find those whose fingerprints are further apart."""
     return representatives(docs, groups=jaccard.groups)
 
 

@@ -5,8 +5,10 @@ only such pairs are ever compared, exactly, by their sets of shingles, and only
 as links of ``LEAST`` similarity or more have not connected them already. A pair at just that similarity
 agrees in no band with a chance of (1 - 0.8**5)**40 = 1.2e-7, a closer one with less.
 
-SimHash is no help here: at this similarity fingerprints differ in about 10 of 64
-bits, so a radius that loses nothing skips no tiles and links texts at random.
+SimHash comes first: fingerprints of the same shingles are compared by tiles, as op8
+does, and what they link is confirmed exactly. At just this similarity fingerprints differ
+in about 10 of 64 bits, where a radius that loses nothing would skip no tiles; so bands
+find what is left, and nothing is compared that fingerprints have connected.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from sentria.llm.common import slices, text_key, written
 from sentria.llm.components import components
 from sentria.llm.rolling import mixed, rolling
-from sentria.llm.simhash import lowest, rank
+from sentria.llm.simhash import RADIUS, bit_sums, lowest, majority, near_links, rank
 
 SHINGLE = 5
 #: The least similarity of near copies, as a fraction of whole numbers.
@@ -87,7 +89,8 @@ def similar(left: np.ndarray, right: np.ndarray) -> bool:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, text, text_key, key, n, bands, row) of every row; equal sets of shingles have one key."""
+    """(id, text, text_key, key, n, fp, bands, row) of every row; equal sets of shingles have one
+    key. fp: the SimHash fingerprint of the set."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -99,10 +102,11 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
             ends = np.cumsum([0, *map(len, values)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.record_batch([*batch.columns, pa.array(keys.view(np.int64)), sizes, lists], names=["id", "text", "text_key", "key", "n", "bands"])
+            fps = np.fromiter((majority(bit_sums(s), len(s)) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.record_batch([*batch.columns, pa.array(keys.view(np.int64)), sizes, pa.array(fps), lists], names=["id", "text", "text_key", "key", "n", "fp", "bands"])
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key"))
-    return found.mapInArrow(run, f"id {id_type}, text string, text_key long, key long, n long, bands array<long>").withColumn("row", F.monotonically_increasing_id())
+    return found.mapInArrow(run, f"id {id_type}, text string, text_key long, key long, n long, fp long, bands array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
 def _banded(sketches: DataFrame) -> DataFrame:
@@ -114,12 +118,24 @@ def _banded(sketches: DataFrame) -> DataFrame:
     return written(banded.join(full, "band"), "banded")
 
 
-def _texts(sketches: DataFrame, distinct: DataFrame, banded: DataFrame) -> DataFrame:
-    """(key, text, n, bands) of every key that shares a band. Texts move and not their
+def _fingerprinted(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): the pairs of keys that SimHash finds. Of each fingerprint its keys with the
+    smallest of them, and the smallest keys of fingerprints that op8's tiles link."""
+    least = written(distinct.groupBy("fp").agg(F.min("key").alias("low")), "fingerprints")
+    same = distinct.join(least, "fp").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    a, b = least.select(F.col("fp").alias("a"), F.col("low").alias("low_a")), least.select(F.col("fp").alias("b"), F.col("low").alias("low_b"))
+    links = written(near_links(least.select("fp"), radius), "links").distinct()
+    return written(same.unionByName(links.join(a, "a").join(b, "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))), "near")
+
+
+def _texts(sketches: DataFrame, distinct: DataFrame, banded: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(key, text, n, bands) of every key that shares a band or is near another's fingerprint. Texts move and not their
     shingles, which are more bytes and do not compress."""
     # stored before the texts are fetched, so that its size is known when that join is planned:
     # it is broadcast if Spark's threshold allows, and else all texts are shuffled
-    members = written(distinct.join(banded.select("key").distinct(), "key", "left_semi").select("row"), "members")
+    keys = banded.select("key")
+    keys = keys if near is None else keys.union(near.select("a")).union(near.select("b"))
+    members = written(distinct.join(keys.distinct(), "key", "left_semi").select("row"), "members")
     return written(sketches.select("row", "key", "text", "n", "bands").join(members, "row").drop("row"), "texts")
 
 
@@ -238,14 +254,16 @@ def _compared(rooted: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 def _roots(sketches: DataFrame, distinct: DataFrame, shingle: int) -> DataFrame:
     """(node, root): what links of ``LEAST`` similarity or more connect.
 
-    First each key is compared with the smallest that it shares a band with, then with
-    the smallest of each band where that left anything apart. Near copies are nearly
+    First what SimHash finds is confirmed. Then each key is compared with the smallest that
+    it shares a band with, unless they are connected, then with the smallest of each band where that left anything apart. Near copies are nearly
     all connected then, by about as many compares as there are texts; only bands
     whose keys still are not are compared pair by pair.
     """
     banded = _banded(sketches)
-    texts = _texts(sketches, distinct, banded)
-    links = _confirmed(_stars(_rooted(banded, None), True), texts, shingle)
+    near = _fingerprinted(distinct)
+    texts = _texts(sketches, distinct, banded, near)
+    links = _confirmed(near, texts, shingle)
+    links = links.unionByName(_confirmed(_stars(_rooted(banded, components(links)), True), texts, shingle))
     links = links.unionByName(_confirmed(_stars(_rooted(banded, components(links)), False), texts, shingle))
     links = links.unionByName(_compared(_rooted(banded, components(links)), texts, shingle).where("a is not null").select("a", "b"))
     return components(links)
@@ -255,7 +273,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """(id, text_key, first) of every row, ``first`` the (id, text_key) of least rank
     that links of ``LEAST`` similarity or more reach."""
     sketches = written(_sketches(docs, id_col, text_col, shingle), "sketches")
-    distinct = sketches.groupBy("key").agg(F.min(rank()).alias("least"), F.min("row").alias("row"), F.min("n").alias("n"))
+    distinct = sketches.groupBy("key").agg(F.min(rank()).alias("least"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("fp").alias("fp"))
     distinct = written(distinct, "distinct")
     roots = _roots(sketches, distinct, shingle)
     named = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import free_name, slices, text_key, written
+from sentria.llm.common import free_name, new_path, slices, text_key, write_at, written
 from sentria.llm.components import components
+from sentria.shared import passing
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints in a tile, about; a fuller cell of bit counts becomes several tiles.
@@ -44,10 +45,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     for at in range(0, n, BLOCK):
         part = words[at : min(at + BLOCK, n) + shingle - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
-        lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
+        sums += bit_sums(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+    return majority(sums, n)
+
+
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each of the 64 bits is set."""
+    sums = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        lanes = _LANES[hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)]
         for i in range(0, len(lanes), 255):  # a lane holds up to 255
             sums += lanes[i : i + 255].sum(axis=0).view(np.uint8)
+    return sums
+
+
+def majority(sums: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes: a bit is set if it is in over half of them."""
     return int(np.packbits(2 * sums > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -95,7 +108,7 @@ def spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
     return nodes[keep], roots[keep]
 
 
-def _near_links(distinct: DataFrame, radius: int) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     """(a, b): links that connect all fingerprints within ``radius`` of each other."""
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(65535)) for k in range(4)]
     code = lambda q: sum((q[k] * 17**k for k in range(1, 4)), q[0])
@@ -151,7 +164,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     rank that links of ``radius`` or fewer differing bits reach."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min(rank()).alias("least")), "distinct")
-    roots = components(_near_links(distinct.select("fp"), radius))
+    roots = components(near_links(distinct.select("fp"), radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = written(named.join(lowest(named), "root").select("fp", "first"), "named")
     return fps.join(named, "fp")
@@ -180,7 +193,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the groups: (id, text_key, first) of every row.
     """
     id_key, of_text = free_name(docs, "_gone_id"), free_name(docs, "_gone_text")
-    found = groups(docs, id_col, text_col, **kw)
-    gone = found.where(rank() != F.col("first")).select(F.col("id").alias(id_key), F.col("text_key").alias(of_text)).distinct()
-    gone = written(gone, "gone")  # its size is known when the join is planned
+    spark = docs.sparkSession
+    at = new_path(spark, "gone")
+    with passing(spark):  # all that finds the groups goes, before whatever comes next needs room
+        found = groups(docs, id_col, text_col, **kw)
+        gone = found.where(rank() != F.col("first")).select(F.col("id").alias(id_key), F.col("text_key").alias(of_text)).distinct()
+        gone = write_at(gone, at)  # its size is known when the join is planned
     return docs.join(gone, (F.col(id_col) == F.col(id_key)) & (text_key(text_col) == F.col(of_text)), "left_anti")
