@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from sentria.functions.text import LINE_END, is_blank, normalize
 from sentria.session import ship_code
-from sentria.shared import listed, qualified, written
+from sentria.shared import listed, qualified, setting, written
 
 SENTENCES = T.StructType(
     [
@@ -62,6 +62,10 @@ def from_table(df: DataFrame, id_col: str, text_col: str, folder: str, keep_id:
     return sentences(dealt(df.select(*dict.fromkeys([id_col, text_col]))), source, F.col(text_col), *kept)
 
 
+#: What opening a file counts as, when files are dealt to tasks.
+OPEN_COST, SMALL_FILE = "spark.sql.files.openCostInBytes", str(64 << 10)
+
+
 def from_text_tree(spark: SparkSession, root: str) -> DataFrame:
     """All ``*.txt`` files below a folder; ``source_text`` is the path from there.
 
@@ -73,7 +77,8 @@ def from_text_tree(spark: SparkSession, root: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
     # rows of a split follow each other, and so do these numbers
     lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
-    lines = written(lines, "lines")
+    with setting(spark, OPEN_COST, SMALL_FILE):  # at Spark's 4 MB a file, 32 small files are a task
+        lines = written(lines, "lines", compression="zstd")
     splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(splits.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift")), "splits")
@@ -227,9 +232,12 @@ def to_text_tree(texts: DataFrame, path: str, name_col: str, text_col: str) -> N
 
     def run(batches):
         store, at = fs.FileSystem.from_uri(folder)
+        made = set()
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store.create_dir(f"{at}/{name}".rpartition("/")[0], recursive=True)
+                if (under := f"{at}/{name}".rpartition("/")[0]) not in made:
+                    store.create_dir(under, recursive=True)
+                    made.add(under)
                 with store.open_output_stream(f"{at}/{name}") as out:
                     out.write(text.encode("utf-8"))
             yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["files"])

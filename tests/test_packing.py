@@ -10,6 +10,8 @@ from sentria.functions.text import LINE_END, WHITE, normalize, query_trigrams
 from sentria.operators.index import BLOCK, SentenceIndex, distinct_trigrams, posting_blocks, statistics, trigram_sizes
 from sentria.plans import registry
 from sentria.shared import listed
+from sentria.sources import corpus as corpus_source
+from sentria.sources.corpus import from_text_tree
 
 
 def corpus(spark, texts):
@@ -73,3 +75,18 @@ def test_sessions_and_archives_are_written_by_many_tasks(spark, sf, monkeypatch)
     cores = spark.sparkContext.defaultParallelism
     assert spark.read.text(f"{paths[0]}/in").select("_metadata.file_path").distinct().count() > 3
     assert len(listed(spark, archives)) >= cores
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Some hundred small files are a few tasks, not one for each 32 of them."""
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text(f"line {i}\n\nlast")
+    made = []
+    plain = corpus_source.written
+    try:
+        corpus_source.written = lambda df, name, **o: made.append(df.rdd.getNumPartitions()) or plain(df, name, **o)
+        found = from_text_tree(spark, str(tmp_path)).collect()
+    finally:
+        corpus_source.written = plain
+    assert made[0] <= spark.sparkContext.defaultParallelism + 1
+    assert sorted(r.offset for r in found) == [1] * 300 + [3] * 300
