@@ -12,6 +12,18 @@ from sentria.shared import delete, new_path, write_at, written  # noqa: F401  fo
 
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE = 256
+#: Bytes of an Arrow batch, about: Spark bounds only its rows, and a task has a batch in
+#: the JVM, on its way, and in the worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches are bounded by bytes too, unless it bounds
+    them already. Operators on whole texts ask for it; it stays, because what they return
+    runs later."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import slices, text_key, written
+from sentria.llm.common import bounded_batches, slices, text_key, written
 from sentria.llm.components import components
 from sentria.llm.rolling import mixed, rolling
 from sentria.llm.simhash import RADIUS, bit_sums, lowest, majority, near_links, rank
@@ -272,6 +272,7 @@ def _roots(sketches: DataFrame, distinct: DataFrame, shingle: int) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, text_key, first) of every row, ``first`` the (id, text_key) of least rank
     that links of ``LEAST`` similarity or more reach."""
+    bounded_batches(docs.sparkSession)
     sketches = written(_sketches(docs, id_col, text_col, shingle), "sketches")
     distinct = sketches.groupBy("key").agg(F.min(rank()).alias("least"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("fp").alias("fp"))
     distinct = written(distinct, "distinct")

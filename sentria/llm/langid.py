@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import hashed_sample, held_out, slices
+from sentria.llm.common import bounded_batches, hashed_sample, held_out, slices
 from sentria.llm.wordtable import WordTable, buckets, codes, inner, windows
 
 UNKNOWN = "und"
@@ -283,6 +283,7 @@ def accepted(docs: DataFrame, crf: Crf, text_col: str = "text", min_score: float
     """The rows of ``docs`` in a known language, all columns as they are, without a
     shuffle: those that are not ``und`` and whose words agree on their language at
     least as far as ``min_score``."""
+    bounded_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(crf), docs.columns.index(text_col)
 
     def run(batches):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import free_name, single_texts, slices, text_key, written
+from sentria.llm.common import bounded_batches, free_name, single_texts, slices, text_key, written
 from sentria.llm.rolling import lowest, mixed, rolling
 
 #: What parts the units, as text and as it joins them again.
@@ -235,6 +235,7 @@ def joined(spans: list[tuple]) -> list[tuple[int, int, int, list]]:
 
 def _spans(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int) -> DataFrame:
     """(id, text_key, spans): the stretches to remove of each text that has any."""
+    bounded_batches(docs.sparkSession)
     texts = single_texts(docs, id_col, text_col)
     lines = _repeated_units(texts, unit, min_words).select("id", "text_key", "start_char", "end_char", F.col("first.id").alias("first_id"), F.lit(LINE).alias("kind"))
     gone = lines.unionByName(_repeated_phrases(texts))
