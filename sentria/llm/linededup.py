@@ -17,13 +17,15 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentria.llm import wordhash
 from sentria.llm.common import bounded_batches, free_name, single_texts, slices, text_key, written
 from sentria.llm.rolling import lowest, mixed, rolling
 
@@ -33,15 +35,19 @@ BREAKS = {"line": "\n", "paragraph": "\n\n"}
 MIN_WORDS = 8
 #: Words of a phrase, and how far apart the beginnings of two may lie.
 PHRASE, APART = 16, 10
-MEMO_ENTRIES = 200_000
+#: Characters of texts that are looked at together, about.
+GROUP = 1 << 19
 
 _SPACES = re.compile(r"[ \t-\r]+")
-_WORD = re.compile(r"\S+")
+_CONTROLS = re.compile(r"[\t-\r]")
 
 
 def normalise(unit: str) -> str:
     """Lower case, runs of ASCII white space as one space, none at the ends."""
-    return _SPACES.sub(" ", unit.lower()).strip(" ")
+    low = unit.lower()
+    if "  " in low or _CONTROLS.search(low):
+        low = _SPACES.sub(" ", low)
+    return low.strip(" ")
 
 
 def _units(texts: DataFrame, unit: str, min_words: int) -> DataFrame:
@@ -98,51 +104,66 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.select(F.col("id").alias(id_col), "text_key", "pos", "start_char", "end_char", "words", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"), "copies")
 
 
-class Phrases:
-    """The phrases of texts, with a bounded memory of words' hashes."""
-
-    def __init__(self):
-        self._memo: dict[str, int] = {}
-
-    def _hash(self, word: str) -> int:
-        if len(self._memo) >= MEMO_ENTRIES:
-            self._memo.clear()
-        h = self._memo[word] = (xxhash.xxh64_intdigest(word.lower().encode()) >> 1) or 1
-        return h
-
-    def digests(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, first digest, second digest) of each phrase taken."""
-        if len(words) < PHRASE:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        known, make = self._memo.get, self._hash
-        codes = np.array([known(w) or make(w) for w in words], np.int64).view(np.uint64)
-        found = mixed(rolling(codes, PHRASE))
-        at = lowest(found, min(APART, len(found)))
-        return at, found[at], mixed(rolling(mixed(codes), PHRASE)[at])
-
-    def of(self, text: str) -> tuple[np.ndarray, ...]:
-        """(start, end, end of the word before, start of the word after, first digest,
-        second digest) of each phrase taken."""
-        words = text.split()
-        at, d1, d2 = self.digests(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        if int(lengths.sum()) + len(words) - 1 == len(text):  # one space between words
-            starts = np.cumsum(lengths + 1) - lengths - 1
-        else:
-            starts = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64, len(words))
-        ends = starts + lengths
-        last = at + PHRASE - 1
-        return starts[at], ends[last], np.concatenate([[0], ends])[at], np.concatenate([starts, [len(text)]])[last + 1], d1, d2
+def _taken(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, text, first digest) of each phrase taken of the texts that have
+    ``sizes`` of these words. Windows that reach from one into the next are left out."""
+    found, ends = mixed(rolling(codes, PHRASE)), np.cumsum(sizes)
+    begins = ends - sizes
+    full = sizes >= PHRASE + APART - 1
+    runs = np.where(full, sizes - (PHRASE + APART - 2), 0)  # of APART windows in a row, within a text
+    at = np.zeros(0, np.int64)
+    if full.any():
+        first = np.repeat(begins - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+        inside = np.zeros(len(found) - APART + 1, bool)
+        inside[first] = True
+        at = lowest(found, APART, inside)
+    few = [begins[i] + lowest(w := found[begins[i] : ends[i] - PHRASE + 1], len(w)) for i in np.flatnonzero((sizes >= PHRASE) & ~full)]
+    if few:
+        at = np.sort(np.concatenate([at, *few]))
+    return at, np.searchsorted(ends, at, "right"), found[at]
+
+
+def digests(texts: list[str]) -> np.ndarray:
+    """The first digest of each phrase taken of the texts, in order."""
+    sizes, _, _, codes = wordhash.words(texts)
+    return _taken(np.maximum(codes >> np.uint64(1), np.uint64(1)), sizes)[2]
+
+
+def phrases(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(text, start, end, end of the word before, start of the word after, first digest,
+    second digest) of each phrase taken of the texts, in order."""
+    sizes, starts, stops, codes = wordhash.words(texts)
+    codes = np.maximum(codes >> np.uint64(1), np.uint64(1))
+    at, owner, d1 = _taken(codes, sizes)
+    d2 = mixed(rolling(mixed(codes), PHRASE)[at]) if len(at) else d1
+    ends, chars = np.cumsum(sizes), np.fromiter(map(len, texts), np.int64, len(texts))
+    origin = (np.cumsum(chars + 1) - chars - 1)[owner]
+    last = at + PHRASE - 1
+    before = np.where(at > (ends - sizes)[owner], stops[at - 1] - origin, 0)
+    after = np.where(last + 1 < ends[owner], np.append(starts, 0)[last + 1] - origin, chars[owner])
+    return owner, starts[at] - origin, stops[last] - origin, before, after, d1, d2
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of neighbours that have about ``GROUP`` characters together."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= GROUP:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
 
 
 def _digests(texts: DataFrame) -> DataFrame:
     """(d1): the phrases of every text, by their first digest alone."""
 
     def run(batches):
-        taken = Phrases()
         for batch in slices(batches):
-            found = [taken.digests(t.as_py().split())[1] for t in batch.column(0)]
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["d1"])
+            for _, held in _groups(batch.column(0)):
+                yield pa.record_batch([pa.array(digests(held).view(np.int64))], names=["d1"])
 
     return texts.select("text").mapInArrow(run, "d1 long")
 
@@ -155,12 +176,11 @@ def _phrases(texts: DataFrame) -> DataFrame:
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
-        taken = Phrases()
         for batch in slices(batches):
-            found = [taken.of(t.as_py()) for t in batch.column(2)]
-            rows = pa.array(np.repeat(np.arange(len(found)), np.array([len(f[0]) for f in found], np.int64)), pa.int64())
-            cols = [np.concatenate([np.zeros(0, np.int64), *(f[k].view(np.int64) for f in found)]) for k in range(len(_PLACES))]
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, cols)], names=["id", "text_key", *_PLACES])
+            for first, held in _groups(batch.column(2)):
+                owner, *cols = phrases(held)
+                rows = pa.array(first + owner, pa.int64())
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c.view(np.int64)) for c in cols)], names=["id", "text_key", *_PLACES])
 
     return texts.mapInArrow(run, f"id {id_type}, text_key long, " + ", ".join(f"{c} long" for c in _PLACES))
 
@@ -241,14 +261,16 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: in
     gone = lines.unionByName(_repeated_phrases(texts))
     lists = gone.groupBy("id", "text_key").agg(F.collect_set(F.struct("start_char", "end_char", "first_id", "kind")).alias("found"))
     id_type = texts.schema["id"].dataType.simpleString()
-    fields = [("start_char", pa.int64()), ("end_char", pa.int64()), ("units", pa.int32())]
-
     def run(batches):
         for batch in slices(batches):
-            ids = batch.column(0)
-            kind = pa.list_(pa.struct([*fields, ("first_ids", pa.list_(ids.type))]))
-            out = [[{"start_char": a, "end_char": b, "units": n, "first_ids": firsts} for a, b, n, firsts in joined([tuple(x.values()) for x in found])] for found in batch.column(2).to_pylist()]
-            yield pa.record_batch([ids, batch.column(1), pa.array(out, kind)], names=["id", "text_key", "spans"])
+            ids, found = batch.column(0), batch.column(2)
+            ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            pieces = list(zip(*(c.to_pylist() for c in found.flatten().flatten())))
+            out = [joined(pieces[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+            starts, stops, units, firsts = zip(*rows) if (rows := list(chain.from_iterable(out))) else [()] * 4
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(list(chain.from_iterable(firsts)), ids.type))
+            spans = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(units, pa.int32()), lists], ["start_char", "end_char", "units", "first_ids"])
+            yield pa.record_batch([ids, batch.column(1), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), spans)], names=["id", "text_key", "spans"])
 
     found = lists.mapInArrow(run, f"id {id_type}, text_key long, spans array<struct<start_char: long, end_char: long, units: int, first_ids: array<{id_type}>>>")
     return found.where(F.size("spans") > 0)
@@ -301,8 +323,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for batch in slices(batches):
-            texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            new = [t if not s else cut(t, [(x["start_char"], x["end_char"]) for x in s]) for t, s in zip(texts, spans)]
+            texts, lost_in = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1)
+            sizes = lost_in.value_lengths().fill_null(0).to_pylist()
+            spans = list(zip(*(c.to_pylist() for c in lost_in.flatten().flatten()[:2])))
+            new = [cut(t, spans[e - n : e]) if n else t for t, n, e in zip(texts, sizes, accumulate(sizes))]
             yield batch.set_column(at, batch.field(at), pa.array(new, batch.column(at).type))
 
     out = met.mapInArrow(run, met.schema)

@@ -42,9 +42,12 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return out
 
 
-def lowest(values: np.ndarray, width: int) -> np.ndarray:
-    """Places whose value is the least of some ``width`` neighbours, ties all."""
+def lowest(values: np.ndarray, width: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Places whose value is the least of some ``width`` neighbours, ties all. ``among``:
+    whether the neighbours from each place on count; those of other places are left out."""
     least = sliding(values, width, np.minimum)
+    if among is not None:
+        least = np.where(among, least, 0)
     ends = np.zeros(width - 1, values.dtype)  # values are not negative
     return np.flatnonzero(sliding(np.concatenate([ends, least, ends]), width, np.maximum) == values)
 
