@@ -29,7 +29,7 @@ from itertools import repeat
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sentria.llm.common import slices
+from sentria.llm.common import bounded_batches, slices
 from sentria.llm.wordbpe import OpenChunk, WordBpe, byte_symbols, pieces, word_bpe
 
 #: Chunks of text up to this length are remembered,
@@ -192,6 +192,12 @@ class Transducer:
             self._room = left + max(self.encoder.block, left // 2)
         return out
 
+    def whole(self, symbols: list[int]) -> list[int]:
+        """All ids of a word that is there at once, nothing being held."""
+        if len(symbols) <= self._room:
+            return self.encoder._settle(symbols)
+        return self.push(symbols) + self.end()
+
     def end(self) -> list[int]:
         held, self._held, self._room = self._held, [], self.encoder.block
         return self.encoder._settle(held)
@@ -217,10 +223,12 @@ class Decoder:
         self._byte_of = {s: b for b, s in enumerate(byte_symbols())}
         self._special = frozenset(bpe.special.values())
         self._whole: dict[int, str] = {}  # what tokens of whole characters spell
+        self._held = bytearray()
         self.reset()
 
     def reset(self) -> None:
-        self._first, self._need, self._held = True, 0, bytearray()
+        self._first, self._need = True, 0
+        self._held.clear()
 
     def push(self, *tokens: int) -> str:
         """What more ids bring."""
@@ -299,11 +307,13 @@ class Codec:
         self._memo: dict[str, Made] = {}
         self._words: dict[str, Made] = {}
         self._memo_bytes = self._words_bytes = 0
+        self._digits = list(map(str, range(max(self.bpe.text_of, default=-1) + 1)))
 
     def _made(self, ids: list[int]) -> Made:
         """The decoders' next output; what parts it from the output before is left out."""
         self.surface.reset()
-        return " ".join(map(str, ids)), self.surface.push(*ids), self.plain.push(*ids), len(ids)
+        digits = self._digits
+        return " ".join([digits[t] for t in ids]), self.surface.push(*ids), self.plain.push(*ids), len(ids)
 
     def _ids(self, word: str, ends: bool) -> list[int]:
         """What is stable after more characters of a word."""
@@ -317,7 +327,7 @@ class Codec:
             return self._made([word])
         out = self._words.get(word)
         if out is None:
-            out = self._made(self._ids(word, True))
+            out = self._made(self.transducer.whole(self.bpe.symbols(word.encode("utf-8"))))
             if len(word) <= MEMO_CHARS:
                 self._words_bytes += ENTRY_BYTES + 12 * len(word)
                 if self._words_bytes > WORD_BYTES:
@@ -396,6 +406,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     become special ids, as in the library. Rows with a null or repeated id come out
     as they are; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     extra = [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if texts else []
     id_type = docs.schema[id_col].dataType.simpleString()
 

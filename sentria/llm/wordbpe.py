@@ -90,9 +90,12 @@ class WordBpe:
         if part.isascii():
             return part.lower(), self._words
         late = not self._newer.isdisjoint(part)
-        lower = self._lower if late else {}
-        # character by character: the library knows no final sigma
-        clean = "".join([lower.get(c) or c.lower() for c in unicodedata.normalize("NFC", part)])
+        clean = unicodedata.normalize("NFC", part)
+        if late or "\u03a3" in clean:  # character by character: the library knows no final sigma
+            lower = self._lower if late else {}
+            clean = "".join([lower.get(c) or c.lower() for c in clean])
+        else:
+            clean = clean.lower()
         return clean, self._late_words if late else self._words
 
     def words(self, chunk: str) -> list:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sentria.llm.bpe import Codec, Decoder, Encoder, encode_decode, lookahead
+from sentria.llm.bpe import Codec, Decoder, Encoder, Transducer, encode_decode, lookahead
 from sentria.llm.tokencount import Counter, token_counts
 from sentria.llm.wordbpe import word_bpe
 
@@ -184,3 +184,13 @@ def test_tables(spark, library):
     texts = {r.doc_id: r for r in encode_decode(df, PATH, texts=True).collect()}
     assert texts[3].ids == library.encode(rows[2][1], add_special_tokens=False).ids and texts[1].ids == []
     assert encode_decode(df.limit(0), PATH).collect() == [] and token_counts(df.limit(0), PATH).collect() == []
+
+
+def test_a_word_that_is_there_at_once(codec):
+    """Short words are settled without being held, longer ones in blocks: the same ids."""
+    for n in (1, 2, 7, 16, 17, 40, 300):
+        word = ("unbelievableness" * n)[: 3 * n]
+        symbols = codec.bpe.symbols(word.encode())
+        t = Transducer(codec.encoder)
+        want = t.push(list(symbols)) + t.end()
+        assert t.whole(list(symbols)) == want == list(codec.encoder.stream(symbols))
