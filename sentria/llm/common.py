@@ -15,6 +15,8 @@ SLICE = 256
 #: Bytes of an Arrow batch, about: Spark bounds only its rows, and a task has a batch in
 #: the JVM, on its way, and in the worker.
 BATCH_BYTES = 4 << 20
+#: Bits that say which keys a table may hold: about so many for each key, and at most.
+MARKS, MOST_MARKS = 8, 1 << 25
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -62,6 +64,24 @@ def single_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(again, ["id", "text_key"], "left_anti").unionByName(once)
 
 
+def apart(rows: DataFrame, on: list[Column | str], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``on`` may be among ``keys`` (a stored table of such columns),
+    and those that are not. Wide rows that surely have no partner need not be shuffled.
+
+    What is broadcast are bits, one at the hash of each key, so an eighth of the others at most
+    come along with the first; beyond four million keys, of which the bits become no more, a
+    growing share of them.
+    """
+    slots = max(64, min(MARKS * keys.count(), MOST_MARKS))
+    slot, word, bits = (free_name(rows, c) for c in ("_slot", "_word", "_bits"))
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(slots).cast("long"))
+    bit = lambda: F.col(slot).bitwiseAND(63).cast("int")
+    marks = keys.select(place(keys.columns).alias(slot)).groupBy(F.shiftright(slot, 6).alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit())).alias(bits))
+    met = rows.withColumn(slot, place(on)).join(F.broadcast(marks), F.shiftright(slot, 6) == F.col(word), "left")
+    hit = F.coalesce(F.getbit(bits, bit()) == 1, F.lit(False))
+    return tuple(met.where(where).drop(slot, word, bits) for where in (hit, ~hit))
+
+
 def held_out(doc_id: Column | str, remainder: int = 2) -> Column:
     """True for the documents that no model may learn from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import bounded_batches, slices, text_key, written
+from sentria.llm.common import apart, bounded_batches, slices, text_key, written
 from sentria.llm.components import components
 from sentria.llm.rolling import mixed, rolling
 from sentria.llm.simhash import RADIUS, bit_sums, lowest, majority, near_links, rank
@@ -131,12 +131,12 @@ def _fingerprinted(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _texts(sketches: DataFrame, distinct: DataFrame, banded: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(key, text, n, bands) of every key that shares a band or is near another's fingerprint. Texts move and not their
     shingles, which are more bytes and do not compress."""
-    # stored before the texts are fetched, so that its size is known when that join is planned:
-    # it is broadcast if Spark's threshold allows, and else all texts are shuffled
     keys = banded.select("key")
     keys = keys if near is None else keys.union(near.select("a")).union(near.select("b"))
     members = written(distinct.join(keys.distinct(), "key", "left_semi").select("row"), "members")
-    return written(sketches.select("row", "key", "text", "n", "bands").join(members, "row").drop("row"), "texts")
+    # no other text moves, however many members there are
+    maybe, _ = apart(sketches.select("row", "key", "text", "n", "bands"), ["row"], members)
+    return written(maybe.join(members, "row").drop("row"), "texts")
 
 
 def _rooted(banded: DataFrame, roots: DataFrame | None) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import free_name, new_path, slices, text_key, write_at, written
+from sentria.llm.common import apart, free_name, new_path, slices, text_key, write_at, written
 from sentria.llm.components import components
 from sentria.shared import passing
 
@@ -199,4 +199,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = groups(docs, id_col, text_col, **kw)
         gone = found.where(rank() != F.col("first")).select(F.col("id").alias(id_key), F.col("text_key").alias(of_text)).distinct()
         gone = write_at(gone, at)  # its size is known when the join is planned
-    return docs.join(gone, (F.col(id_col) == F.col(id_key)) & (text_key(text_col) == F.col(of_text)), "left_anti")
+    # only what may go is looked for among what goes: all other texts stay where they are
+    maybe, stay = apart(docs, [id_col, text_key(text_col)], gone)
+    return stay.union(maybe.join(gone, (F.col(id_col) == F.col(id_key)) & (text_key(text_col) == F.col(of_text)), "left_anti"))
