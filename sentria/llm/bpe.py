@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from sentria.llm.common import bounded_batches, slices
 from sentria.llm.wordbpe import OpenChunk, WordBpe, byte_symbols, pieces, word_bpe
 
-#: Chunks of text up to this length are remembered,
+#: Words up to this length are remembered,
 MEMO_CHARS = 48
-#: and this many bytes of them and of words, about, with what an entry weighs by itself.
-MEMO_BYTES, WORD_BYTES, ENTRY_BYTES = 96 << 20, 48 << 20, 400
+#: and this many bytes of them, about, with what an entry weighs by itself.
+MEMO_BYTES, ENTRY_BYTES = 144 << 20, 400
 #: Characters of a piece of text, about.
 PIECE = 1 << 14
 
@@ -240,6 +240,8 @@ class Decoder:
             self._first = self._first and not tokens
             return out
         known, out = self._whole, ""
+        if not self._held and None not in (found := [known.get(t) for t in tokens]):
+            return "".join(found)
         for t in tokens:
             out += (not self._held and known.get(t)) or self._spelled(t)
         return out
@@ -291,12 +293,41 @@ class Decoder:
 Made = tuple[str, str, str, int]
 
 
+class Memory:
+    """What came out for short stretches of text, within about ``most`` bytes.
+
+    There are two halves. When the newer is full it becomes the older, whose own
+    entries go; what is found in the older moves to the newer. So what is met often stays.
+    """
+
+    def __init__(self, most: int):
+        self.half, self.size = most // 2, 0
+        self.newer: dict[str, Made] = {}
+        self._older: dict[str, Made] = {}
+
+    def find(self, key: str) -> Made | None:
+        out = self.newer.get(key)
+        if out is None:
+            out = self._older.get(key)
+            if out is not None:
+                self.put(key, out)
+        return out
+
+    def put(self, key: str, made: Made) -> None:
+        if len(key) > MEMO_CHARS or key in self.newer:
+            return
+        self.size += ENTRY_BYTES + 12 * len(key)
+        if self.size > self.half:
+            self._older, self.newer, self.size = self.newer, {}, ENTRY_BYTES + 12 * len(key)
+        self.newer[key] = made
+
+
 class Codec:
     """Texts of any length through the transducer and the two decoders.
 
-    A text is read in pieces, and what they give goes on at once. Between chunks
-    without white space between them the machines are at rest, so the outputs for a
-    bounded number of short chunks and words are remembered.
+    A text is read in pieces, and what they give goes on at once. Between words
+    the machines are at rest, so the outputs for a bounded number of short words
+    are remembered.
     """
 
     def __init__(self, path: str, size: int = PIECE):
@@ -304,9 +335,7 @@ class Codec:
         self.encoder = encoder(path)
         self.transducer = Transducer(self.encoder)
         self.surface, self.plain = Decoder(self.bpe), Decoder(self.bpe, "plain")
-        self._memo: dict[str, Made] = {}
-        self._words: dict[str, Made] = {}
-        self._memo_bytes = self._words_bytes = 0
+        self._memo = Memory(MEMO_BYTES)
         self._digits = list(map(str, range(max(self.bpe.text_of, default=-1) + 1)))
 
     def _made(self, ids: list[int]) -> Made:
@@ -325,33 +354,26 @@ class Codec:
     def _word(self, word: str | int) -> Made:
         if isinstance(word, int):
             return self._made([word])
-        out = self._words.get(word)
+        out = self._memo.find(word)
         if out is None:
             out = self._made(self.transducer.whole(self.bpe.symbols(word.encode("utf-8"))))
-            if len(word) <= MEMO_CHARS:
-                self._words_bytes += ENTRY_BYTES + 12 * len(word)
-                if self._words_bytes > WORD_BYTES:
-                    self._words.clear()
-                    self._words_bytes = 0
-                self._words[word] = out
+            self._memo.put(word, out)
         return out
 
-    def _chunk(self, chunk: str) -> Made:
-        parts = [self._word(w) for w in self.bpe.words(chunk)]
-        out = parts[0] if len(parts) == 1 else _together(parts)
-        if len(chunk) <= MEMO_CHARS:
-            self._memo_bytes += ENTRY_BYTES + 12 * len(chunk)
-            if self._memo_bytes > MEMO_BYTES:
-                self._memo.clear()
-                self._memo_bytes = 0
-            self._memo[chunk] = out
-        return out
+    def _words(self, text: str) -> Made:
+        """The output for the words of a text that no piece cuts."""
+        words, known, make = self.bpe.words(text), self._memo.newer.get, self._word
+        return _together([known(w) or make(w) for w in words])
 
     def stream(self, text: str) -> Iterator[Made]:
         """The output for ``text``, stretch by stretch, each as soon as it is stable."""
-        known, make = self._memo.get, self._chunk
         chunk: OpenChunk | None = None  # one that the last piece left unfinished
         for piece, closed in pieces(text, self.size):
+            if closed and chunk is None:
+                made = self._words(piece)
+                if made[3]:
+                    yield made
+                continue
             found = self.bpe.chunks(piece)
             if chunk:
                 # the piece goes on where the last one was cut, unless white space comes first
@@ -359,14 +381,12 @@ class Codec:
                 last = closed or not goes_on or len(found) > 1
                 yield from self._open(chunk, found.pop(0) if goes_on else "", last)
                 chunk = None if last else chunk
-            if not closed and found and chunk is None and piece.endswith(found[-1]):
-                opened = found.pop()
-                if found:
-                    yield _together([known(c) or make(c) for c in found])
+            opened = found.pop() if not closed and found and chunk is None and piece.endswith(found[-1]) else None
+            if found:
+                yield _together([self._words(c) for c in found])
+            if opened is not None:
                 chunk = OpenChunk(self.bpe)
                 yield from self._open(chunk, opened, False)
-            elif found:
-                yield _together([known(c) or make(c) for c in found])
 
     def _open(self, chunk: OpenChunk, characters: str, closes: bool) -> Iterator[Made]:
         for word in chunk.feed(characters, closes):
@@ -393,7 +413,8 @@ class Codec:
 
 
 def _together(parts: list[Made]) -> Made:
-    return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), "".join([p[2] for p in parts]), sum([p[3] for p in parts])
+    ids, surface, plain, n = zip(*parts) if parts else [()] * 4
+    return " ".join(ids), " ".join(surface), "".join(plain), sum(n)
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:

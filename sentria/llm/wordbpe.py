@@ -19,6 +19,8 @@ import regex
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES = re.compile(f"[{SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: None of the characters that are newer than Python's tables is before these.
+_FAR = re.compile("[^\0-\xff]")
 
 
 def byte_symbols() -> list[str]:
@@ -71,6 +73,8 @@ class WordBpe:
         self.last_byte_ids = [self.ids[s + self.end] for s in symbols]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACE)
         self._words = regex.compile(split)
+        #: the same for ASCII text, by the quicker module
+        self._ascii_words = re.compile(split.replace("\\p{L}", "A-Za-z").replace("\\p{N}", "0-9"))
         self._other = regex.compile(split.rpartition("|")[2])
         self._newer, strange, self._lower = late_characters()
         if strange:
@@ -89,7 +93,7 @@ class WordBpe:
         """A part without special strings as the pattern sees it, and the pattern."""
         if part.isascii():
             return part.lower(), self._words
-        late = not self._newer.isdisjoint(part)
+        late = _FAR.search(part) is not None and not self._newer.isdisjoint(part)
         clean = unicodedata.normalize("NFC", part)
         if late or "\u03a3" in clean:  # character by character: the library knows no final sigma
             lower = self._lower if late else {}
@@ -99,9 +103,13 @@ class WordBpe:
         return clean, self._late_words if late else self._words
 
     def words(self, chunk: str) -> list:
-        """The words of a chunk, or the ids of special strings among them."""
-        if chunk.isascii() and "<|" not in chunk:
-            return self._words.findall(chunk.lower())
+        """The words of a text, or the ids of special strings among them. White space parts
+        them, and nothing is composed across it, so a text has the words of its chunks."""
+        if "<|" not in chunk:
+            if chunk.isascii():
+                return self._ascii_words.findall(chunk.lower())
+            clean, split = self._clean(chunk)
+            return split.findall(clean)
         out = []
         for i, part in enumerate(self._special.split(chunk)):
             if i % 2:

@@ -194,3 +194,26 @@ def test_a_word_that_is_there_at_once(codec):
         t = Transducer(codec.encoder)
         want = t.push(list(symbols)) + t.end()
         assert t.whole(list(symbols)) == want == list(codec.encoder.stream(symbols))
+
+
+def test_common_words_are_settled_once(monkeypatch):
+    """However many rare words come by, what is met often stays in memory."""
+    import sentria.llm.bpe as b
+
+    monkeypatch.setattr(b, "MEMO_BYTES", 200 * 512)
+    monkeypatch.setattr(b, "WORD_BYTES", 200 * 512, raising=False)
+    fresh, settled = b.Codec(PATH), []
+    whole = fresh.transducer.whole
+    monkeypatch.setattr(fresh.transducer, "whole", lambda symbols: settled.append(tuple(symbols)) or whole(symbols))
+    common = [f"{c}usual" for c in "abcdefghijklmnopqrst"]
+    for i in range(200):
+        fresh.digests(" ".join([*common, *(f"{c}{d}é{'x' * (i % 9)}{'y' * (i // 9)}" for c in "abcd" for d in "efghi")]))
+    assert len(settled) == len(set(settled)) > 3000
+
+
+def test_words_of_a_text_are_those_of_its_chunks(codec):
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choices([*PIECES, " ", " ", "a\u0301", "\u2000", "\u0301", "don't", "\U0001e4d0"], k=rng.randrange(1, 40)))
+        assert codec.bpe.words(text) == [w for c in codec.bpe.chunks(text) for w in codec.bpe.words(c)]
+    assert min(codec.bpe._newer, default="\u0100") > "\xff"
