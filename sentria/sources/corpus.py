@@ -13,7 +13,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
-from contextlib import ExitStack
+from contextlib import ExitStack, contextmanager
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
@@ -105,11 +105,34 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
+class _Sought:
+    """A file of pyarrow for zipfile, which looks for a record of 64 bits before the end of
+    each archive: in one without members that is before its beginning, and no OSError to pyarrow."""
+
+    def __init__(self, file: pa.NativeFile):
+        self._file = file
+
+    def __getattr__(self, name: str):
+        return getattr(self._file, name)
+
+    def seek(self, offset: int, whence: int = os.SEEK_SET) -> int:
+        try:
+            return self._file.seek(offset, whence)
+        except pa.ArrowInvalid as e:
+            raise OSError(str(e)) from e
+
+
+@contextmanager
+def opened_archive(uri: str) -> Iterator[zipfile.ZipFile]:
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as source, zipfile.ZipFile(_Sought(source)) as archive:
+        yield archive
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What an archive's central directory says of its members; no member is read."""
     for row in _rows(batches):
-        store, path = fs.FileSystem.from_uri(row["archive"])
-        with store.open_input_file(path) as source, zipfile.ZipFile(source) as archive:
+        with opened_archive(row["archive"]) as archive:
             found = [(row["archive"], m.filename, m.header_offset, m.compress_size, m.compress_type, m.CRC, bool(m.flag_bits & 1)) for m in archive.infolist() if not m.is_dir()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * len(_MEMBER), _MEMBER.types)], schema=_MEMBER)
 

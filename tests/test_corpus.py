@@ -114,3 +114,11 @@ def test_log(tmp_path):
     shutdown_logging()
     (line,) = path.read_text().splitlines()
     assert line.endswith("| INFO | said once")
+
+
+def test_a_corpus_of_which_an_archive_is_empty(spark, tmp_path):
+    archive(tmp_path / "a.zip", {})
+    archive(tmp_path / "b.zip", {"docs/a.txt": "Computer Science\nHello World"})
+    service = CompletionService(initialize_corpus(spark, str(tmp_path / "*.zip"), str(tmp_path / "index")))
+    assert service.completions("puter sci") == [Completion("Computer Science", "docs/a.txt", 1, 18)]
+    assert rows(from_zip(spark, str(tmp_path / "a.zip"))) == []
