@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator
+from contextlib import AbstractContextManager
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
 from pathlib import PurePosixPath
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sentria.session import ship_code
-from sentria.sources.corpus import BATCH_BYTES, TASK_BYTES, UnsafeMember, sentences
+from sentria.sources.corpus import BATCH_BYTES, TASK_BYTES, UnsafeMember, opened_archive, sentences
 from sentria.shared import listed
 
 NAME = "ziptext"
@@ -39,9 +40,8 @@ class MemberRange(InputPartition):
     last: int
 
 
-def _opened(uri: str):
-    store, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-    return store.open_input_file(path)
+def _opened(uri: str) -> AbstractContextManager[zipfile.ZipFile]:
+    return opened_archive(uri if "://" in uri else f"file://{uri}")
 
 
 def _archives(path: str) -> list[str]:
@@ -73,7 +73,7 @@ class ZipTextReader(DataSourceReader):
         out = []
         for uri in _archives(self.path):
             first = size = last = 0
-            with _opened(uri) as source, zipfile.ZipFile(source) as archive:
+            with _opened(uri) as archive:
                 for last, info in enumerate(archive.infolist(), 1):
                     if unsafe(info.filename):
                         raise UnsafeMember(f"Unsafe path inside ZIP: {info.filename}")
@@ -94,7 +94,7 @@ class ZipTextReader(DataSourceReader):
 
         if partition is None:  # no archive has a member that is wanted
             return
-        with _opened(partition.archive) as source, zipfile.ZipFile(source) as archive:
+        with _opened(partition.archive) as archive:
             for info in archive.infolist()[partition.first : partition.last]:
                 if not self.wanted(info):
                     continue
