@@ -25,3 +25,7 @@ def test_zip_sentences(spark, folder):
 def test_zip_source_members(spark, folder):
     found = e.queries()["zip_source_members"](spark, folder)
     assert sorted(map(tuple, found.collect())) == [("10.txt", len("line 10\n\nother 70")), ("11.txt", len("line 11\n\nother 77"))]
+
+
+def test_zip_source_sentences(spark, folder):
+    assert sorted((r.source_text, r.offset, r.original_sentence) for r in e.queries()["zip_source_sentences"](spark, folder).collect()) == SENTENCES
