@@ -93,6 +93,13 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub(r"^file:/+", "file:///", uri)
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """``qualified``, of any characters: those that a URI can't have are quoted."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    quoted = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().toASCIIString()
+    return re.sub(r"^file:/+", "file:///", quoted)
+
+
 def listed(spark: SparkSession, pattern: str) -> list[str]:
     """The paths that a pattern names, in order."""
     where = spark._jvm.org.apache.hadoop.fs.Path(pattern)

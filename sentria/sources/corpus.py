@@ -9,11 +9,14 @@ from __future__ import annotations
 import bz2
 import lzma
 import os
+import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
-from contextlib import ExitStack, contextmanager
+from contextlib import ExitStack, contextmanager, suppress
+from functools import partial, reduce
+from itertools import batched
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 
 from sentria.functions.text import LINE_END, is_blank, normalize
 from sentria.session import ship_code
-from sentria.shared import listed, qualified, setting, written
+from sentria.shared import listed, qualified, setting, uri, written
 
 SENTENCES = T.StructType(
     [
@@ -62,18 +65,152 @@ def from_table(df: DataFrame, id_col: str, text_col: str, folder: str, keep_id:
     return sentences(dealt(df.select(*dict.fromkeys([id_col, text_col]))), source, F.col(text_col), *kept)
 
 
-#: What opening a file counts as, when files are dealt to tasks.
-OPEN_COST, SMALL_FILE = "spark.sql.files.openCostInBytes", str(64 << 10)
+#: What opening a file counts as, when files are dealt to tasks: for Spark, and here.
+OPEN_COST, SMALL_FILE, OPEN_BYTES = "spark.sql.files.openCostInBytes", str(64 << 10), 16 << 10
+#: Names that Spark does not read, of files and of folders.
+_HIDDEN = re.compile(r"\.|_[^=]*\Z|.*\._COPYING_/?\Z", re.DOTALL)
+_ANY_END = re.compile(rb"\r\n?|\n")
+_ENTRIES = pa.schema([("name", pa.string()), ("size", pa.int64())])
+_COUNTED = pa.schema([("name", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("lines", pa.int64())])
+_TEXTS = pa.schema([("name", pa.string()), ("before", pa.int64()), ("text", pa.string())])
 
 
 def from_text_tree(spark: SparkSession, root: str) -> DataFrame:
     """All ``*.txt`` files below a folder; ``source_text`` is the path from there.
 
-    Files are read in splits, a large one by many tasks, and no row is more than a
-    line. A line's number is its place in its split and the lines of the splits before.
-    Spark skips names that begin with ``_`` or ``.``, reads bytes that are not UTF-8 as
-    U+FFFD and drops a byte order mark.
+    The driver holds no list of files: folders are listed by tasks, a level of the tree at
+    a time, and files are dealt to tasks by name. A large one is many parts of whole lines;
+    a line's number is its place in its part and the lines of the parts before, which are
+    counted first. Names that begin with ``_`` or ``.`` are skipped, bytes that are not
+    UTF-8 read as U+FFFD and a byte order mark is dropped, as Spark does. What pyarrow
+    can't open as a folder here (a store that only Spark knows) is read by Spark's own
+    reader, for which the driver lists all files.
     """
+    folder = uri(spark, root)
+    if not _is_folder(folder):
+        return _tree_by_spark(spark, root)
+    ship_code(spark)
+    files = _files(spark, folder)
+    n, size, largest = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).head()
+    part = min(BATCH_BYTES, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    tasks = max(spark.sparkContext.defaultParallelism, (size + n * OPEN_BYTES) // TASK_BYTES + 1)
+    parts = files.where(F.col("size").between(1, part)).select("name", F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("before"))
+    if largest > part:
+        cut = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(part).cast("long"))).alias("start")
+        end = F.when(F.col("start") + part < F.col("size"), F.col("start") + part).alias("end")  # null: to the end of the file
+        large = files.where(F.col("size") > part).select("name", "size", cut).select("name", "start", end)
+        counted = large.repartition(tasks, "name", "start").mapInArrow(partial(_counted, folder), "name string, start long, end long, lines long")
+        earlier = Window.partitionBy("name").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.union(written(counted.select("name", "start", "end", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before")), "parts"))
+    texts = parts.repartition(tasks, "name", "start").mapInArrow(partial(_texts, folder), "name string, before long, text string")
+    found = sentences(texts, F.col("name"), F.col("text"), "before")
+    return found.select("original_sentence", "normalized_sentence", "source_text", (F.col("offset") + F.col("before")).cast("int").alias("offset"))
+
+
+def _is_folder(folder: str) -> bool:
+    try:
+        store, at = fs.FileSystem.from_uri(folder)
+        return store.get_file_info(at).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, size) of the text files below a folder; a task lists a folder."""
+    level, found = spark.range(0, 1, 1, 1).select(F.lit("").alias("name")), []
+    while True:
+        entries = written(level.mapInArrow(partial(_entries, folder), "name string, size long"), "entries")
+        found.append(entries.where("size IS NOT NULL"))
+        below = entries.where("size IS NULL")
+        if below.isEmpty():
+            return reduce(DataFrame.union, found)
+        level = below.select("name").repartition(spark.sparkContext.defaultParallelism)
+
+
+def _entries(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is in folders: text files with their sizes, and folders, which end in a slash, with none."""
+    store, at = fs.FileSystem.from_uri(folder)
+    for row in _rows(batches):
+        inside = ((row["name"] + name, size) for name, size in _inside(store, f"{at}/{row['name']}".rstrip("/") or "/") if not _HIDDEN.match(name))
+        for some in batched(inside, 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _ENTRIES.types)], schema=_ENTRIES)
+
+
+def _inside(store: fs.FileSystem, at: str) -> Iterator[tuple[str, int | None]]:
+    """A local folder is not held whole, however many files it has."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(at) as found:
+            for x in found:
+                if x.is_dir():
+                    yield f"{x.name}/", None
+                elif x.name.endswith(".txt"):
+                    with suppress(FileNotFoundError):  # gone, or a link to nothing
+                        yield x.name, x.stat().st_size
+    else:
+        for x in store.get_file_info(fs.FileSelector(at)):
+            if x.type == fs.FileType.Directory:
+                yield f"{x.base_name}/", None
+            elif x.base_name.endswith(".txt"):
+                yield x.base_name, x.size
+
+
+def _line_from(source: pa.NativeFile, at: int, until: int | None = None) -> int:
+    """Where the first line begins that begins at a place or after; the end of the file, if
+    none does. If none begins before ``until``, a place there or after: a long line is not
+    read through again for each part that it covers."""
+    if not at:
+        return 0
+    at -= 1
+    source.seek(at)
+    returned = False
+    while block := source.read(64 << 10):
+        if returned:
+            return at + block.startswith(b"\n")
+        if found := _ANY_END.search(block):
+            if found.end() < len(block) or block.endswith(b"\n"):
+                return at + found.end()
+            returned = True  # its \n may be in the next block
+        at += len(block)
+        if until is not None and at >= until:
+            return at
+    return at
+
+
+def _cut(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
+    """Parts of files and the lines that begin in them."""
+    store, at = fs.FileSystem.from_uri(folder)
+    for row in _rows(batches):
+        with store.open_input_file(f"{at}/{row['name']}") as source:
+            first, end = _line_from(source, row["start"], row["end"]), row["end"]
+            last = None if end is None else first if first >= end else _line_from(source, end)
+            source.seek(first)
+            content = source.read(None if last is None else last - first)
+        yield row, content if row["start"] else content.removeprefix(b"\xef\xbb\xbf")
+
+
+def _counted(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts with the number of line ends in each."""
+    for row, content in _cut(folder, batches):
+        lines = content.count(b"\n") + content.count(b"\r") - content.count(b"\r\n")
+        yield pa.RecordBatch.from_pylist([row | {"lines": lines}], _COUNTED)
+
+
+def _texts(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    held = 0
+    for row, content in _cut(folder, batches):
+        rows.append({"name": row["name"], "before": row["before"], "text": content.decode("utf-8", "replace")})
+        held += len(content) + OPEN_BYTES // 16  # a row is something too
+        if held >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, _TEXTS)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _TEXTS)
+
+
+def _tree_by_spark(spark: SparkSession, root: str) -> DataFrame:
+    """A text tree in Spark's splits: a line's number is its place in its split and the
+    lines of the splits before."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
     # rows of a split follow each other, and so do these numbers
     lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
