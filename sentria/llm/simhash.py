@@ -149,6 +149,9 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+_near_links = near_links  #: its name in the tests
+
+
 def lowest(named: DataFrame) -> DataFrame:
     """(root, first): the (id, text_key) of least rank in each group, null without an id."""
     return named.groupBy("root").agg(F.min("least").alias("first"))
